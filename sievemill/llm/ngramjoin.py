@@ -6,10 +6,10 @@
    asked for share a shingle in their prefixes, the first ``n - ceil(t * n) + 1`` of each.
 3. Classes with the same prefix and size are collapsed into one group, which takes one place in the
    posting lists.  Lists with one place are dropped.
-4. Group pairs from the lists are filtered by size and prefix position; first each list's members meet
-   the list's first and their neighbour, so that clusters become connected with few pairs; then members
-   of different components meet.  Groups are expanded and pairs verified on their full sets; pairs
-   within a component need no verification, as they add no connection.
+4. Groups are expanded to their classes.  First each list's members meet the list's heaviest class, so
+   that clusters become connected with few pairs; then members of different components meet wherever
+   they share a list.  Pairs are filtered by size and by histograms of their shingles (a bound), and what
+   is left is verified on the full sets; pairs within a component would add no connection.
 5. Verified links are joined into components by hooking and pointer jumping.
 
 Defined results: a text with fewer than n words is one shingle, all its words; null and wordless texts
@@ -39,13 +39,15 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 CELLS, CELL_BLOCK = 1 << 22, 1 << 18
 #: Bits of the filter that finds classes to verify.  It only spares work: what passes is joined exactly.
 FILTER_BITS = 1 << 23
-#: Bins of a class's histogram of shingles, and heaviest classes of a list that all its members meet.
-BINS, HUBS = 128, 2
+#: Bins of a class's histogram of shingles.
+BINS = 128
 #: Places of a list that are held at a time; longer lists are dealt into blocks that meet two by two.
 LIST_ROWS = 20_000
 #: Texts are taken up to 2^OWNER_BITS at a time; a shingle's hash has the other bits of 64, so that two
 #: different shingles of a pair of documents fall together about once in 10^11 pairs.
 OWNER_BITS = 10
+#: Bytes of a shingle's hash that are compared: two sets of 500 differ by chance once in 10^9 pairs.
+SET_BYTES = 6
 _HASH = np.uint64((1 << (64 - OWNER_BITS)) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -288,9 +290,8 @@ _LISTED = "token long, lo int, hi int, block int, digest binary, size long, hist
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _lists(classes: DataFrame, most: int = LIST_ROWS) -> DataFrame:
+def _lists(posted: DataFrame, most: int = LIST_ROWS) -> DataFrame:
     """Postings of classes; a list longer than ``most`` is dealt into blocks, and each two blocks meet in one list."""
-    posted = classes.withColumn("token", F.explode("tokens"))
     long_ = posted.groupBy("token").count().where(F.col("count") > most).select(F.col("token").alias("long_token"), F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     met = posted.join(long_, F.col("token") == F.col("long_token"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -338,6 +339,14 @@ def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
+def _allowed(x: np.ndarray, y: np.ndarray, x_size, y_size, t: Fraction) -> np.ndarray:
+    """Whether sets with these histograms and sizes can be as similar as ``t``."""
+    common = np.minimum(x, y).sum(1, dtype=np.int64)
+    # bins that are full may hold more
+    common += ((x == 255) & (y == 255)).sum(1) * (1 << 40)
+    return common >= _least_common(x_size, y_size, t)
+
+
 class _List:
     """A list's columns as arrays."""
 
@@ -351,21 +360,7 @@ class _List:
         js = js[least * t.denominator >= most * t.numerator]
         for at in range(0, len(js), 4096):
             part = js[at : at + 4096]
-            mine, theirs = self.histogram[i][None], self.histogram[part]
-            common = np.minimum(mine, theirs).sum(1, dtype=np.int64)
-            # bins that are full may hold more
-            common += ((mine == 255) & (theirs == 255)).sum(1) * (1 << 40)
-            yield part[common >= _least_common(self.size[i], self.size[part], t)]
-
-
-def _hub_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
-    """Each member with the list's heaviest classes: a number of pairs in proportion to the list."""
-    rows = _List(part)
-    n = len(rows.size)
-    for i in range(min(HUBS, n - 1)):
-        for js in rows.close(i, np.arange(i + 1, n), t):
-            for j in js.tolist():
-                yield i, j
+            yield part[_allowed(self.histogram[i][None], self.histogram[part], self.size[i], self.size[part], t)]
 
 
 def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
@@ -389,17 +384,38 @@ def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
                     yield i, j
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs whose sets are as similar as asked for, compared in full."""
-    left = sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y"))
+def _could_match(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """Those of distinct pairs (a, b) whose histograms allow the similarity."""
+    side = lambda key, x: classes.select(F.col("digest").alias(key), F.col("size").alias(f"{x}_size"), F.col("histogram").alias(f"{x}_bins"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a_bins", "b_bins"))
+            sizes = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_allowed(x, y, *sizes, t)))
+
+    return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins").mapInArrow(run, "a binary, b binary")
+
+
+def _hub_pairs(classes: DataFrame, t: Fraction) -> DataFrame:
+    """Each class with the heaviest one (in most lists) of each of its lists: pairs in proportion to the lists."""
+    posted = classes.select("digest", "size", "weight", F.explode("tokens").alias("token"))
+    hubs = posted.groupBy("token").agg(F.max(F.struct("weight", "digest", "size")).alias("hub")).select(F.col("token").alias("hub_token"), F.col("hub.digest").alias("a"), F.col("hub.size").alias("hub_size"))
+    met = posted.join(hubs, F.col("token") == F.col("hub_token")).where(F.col("a") != F.col("digest"))
+    alike = F.least("size", "hub_size") * t.denominator >= F.greatest("size", "hub_size") * t.numerator
+    return met.where(alike).select("a", F.col("digest").alias("b")).distinct()
+
+
+def _verify(docs: DataFrame, n: int, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """Of a materialized table of pairs those whose sets are as similar as asked for, compared in full."""
+    left = _sets(docs, n, pairs.select(F.col("a").alias("digest"))).select(F.col("digest").alias("a"), F.col("hashes").alias("x"))
+    right = _sets(docs, n, pairs.select(F.col("b").alias("digest"))).select(F.col("digest").alias("b"), F.col("hashes").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate([u, v])
+                both = np.concatenate([_unpacked(x.as_buffer()), _unpacked(y.as_buffer())])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(t.denominator * common >= t.numerator * (len(both) - common))
@@ -408,10 +424,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
-    """digest, hashes of all classes in ``classes``."""
+def _packed(hashed: np.ndarray) -> bytes:
+    """SET_BYTES of each hash."""
+    return (hashed >> np.uint64(64 - OWNER_BITS - 8 * SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _sets(docs: DataFrame, n: int, digests: DataFrame) -> DataFrame:
+    """digest, hashes of the classes in ``digests`` and of few others, in one shuffle by digest."""
     slot = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long") % FILTER_BITS
-    words = classes.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
+    words = digests.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     for row in words:
         bits[row["word"]] = np.uint64(row["bits"] & (2**64 - 1))
@@ -433,11 +460,10 @@ def _sets(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
                     if int(sent.value[at // 64]) >> (at % 64) & 1:
                         met.add(d)
                         keys.append(d)
-                        data.append(hashed[ends[r] - counts[r] : ends[r]].astype("<u8").tobytes())
+                        data.append(_packed(hashed[ends[r] - counts[r] : ends[r]]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["digest", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "digest binary, hashes binary")
-    return found.join(classes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    return docs.select("text").mapInArrow(run, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -471,14 +497,17 @@ def join(docs: DataFrame, n: int = WORDS, similarity: Fraction = SIMILARITY) ->
     postings = second.where("kind = 0").select("key", "group", "place").unionByName(own)
     by_group = postings.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("tokens"))
     classes = materialize(members.join(by_group, "group").select("digest", "size", "histogram", "tokens", F.size("tokens").alias("weight")))
-    sets = materialize(_sets(docs, n, classes))
-    lists = _lists(classes.withColumn("label", F.col("digest")))
-    near = _in_lists(lists, similarity, _hub_pairs).distinct()
-    links = materialize(_verify(near, sets, similarity))
+    links = materialize(_verify(docs, n, materialize(_could_match(_hub_pairs(classes, similarity), classes, similarity)), similarity))
     joined = materialize(components(links))
     labelled = classes.join(joined, F.col("digest") == F.col("node"), "left").select(*classes.columns, F.coalesce("label", "digest").alias("label"))
-    # a pair was verified if one of its components is the other's: only pairs of different ones are left
-    more = materialize(_verify(_in_lists(_lists(labelled), similarity, _cross_pairs), sets, similarity))
+    # classes of one component need no more links; those of different ones meet wherever they share a list
+    posted = labelled.select("label", F.explode("tokens").alias("token"))
+    mixed = posted.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select(F.col("token").alias("mixed"))
+    open_ = labelled.withColumn("token", F.explode("tokens")).join(mixed, F.col("token") == F.col("mixed"), "left_semi")
+    cross = materialize(_in_lists(_lists(open_), similarity, _cross_pairs))
+    if cross.isEmpty():
+        return rows, joined
+    more = materialize(_verify(docs, n, cross, similarity))
     if more.isEmpty():
         return rows, joined
     return rows, materialize(components(links.unionByName(more)))
