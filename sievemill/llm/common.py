@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sievemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    # what the finished step shuffled is no longer needed: lets the driver's cleaner find it
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

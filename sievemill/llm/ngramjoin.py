@@ -36,13 +36,15 @@ from .common import fresh, materialize, partitions, slices, table
 #: Near-duplicate stages take five words and a similarity of 0.8.
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Counters of the sketch of common shingles and of a block of it; the sketch is what is broadcast (bytes).
-CELLS, CELL_BLOCK = 1 << 22, 1 << 18
+CELLS, CELL_BLOCK = 1 << 24, 1 << 19
 #: Bits of the filter that finds classes to verify.  It only spares work: what passes is joined exactly.
 FILTER_BITS = 1 << 23
 #: Bins of a class's histogram of shingles.
-BINS = 128
+BINS, FULL = 128, 15
 #: Places of a list that are held at a time; longer lists are dealt into blocks that meet two by two.
 LIST_ROWS = 20_000
+#: Long lists up to which their table, of two numbers each, is broadcast.
+BROADCAST_LISTS = 100_000
 #: Texts are taken up to 2^OWNER_BITS at a time; a shingle's hash has the other bits of 64, so that two
 #: different shingles of a pair of documents fall together about once in 10^11 pairs.
 OWNER_BITS = 10
@@ -135,19 +137,21 @@ def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     squeeze = zstandard.ZstdCompressor(level=1)
     for i in range(0, CELLS, CELL_BLOCK):
         if counts[i : i + CELL_BLOCK].any():
-            yield i // CELL_BLOCK, squeeze.compress(counts[i : i + CELL_BLOCK].astype("<u4").tobytes())
+            yield i // CELL_BLOCK, squeeze.compress(counts[i : i + CELL_BLOCK].astype("<u2").tobytes())
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """A row (doc_id, text_hash, n_shingles, digest) for each document, and each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(CELLS, np.uint32)
+        sketch = np.zeros(CELLS, np.uint16)
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for part in slices(batch, "text"):
                 hashed, counts = shingles(part.column("text"), n)
-                np.add.at(sketch, (hashed & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                cells, times = np.unique(hashed & np.uint64(CELLS - 1), return_counts=True)
+                cells = cells.astype(np.int64)
+                sketch[cells] = np.minimum(65535, sketch[cells] + times.astype(np.uint32)).astype(np.uint16)
                 nothing = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(counts, pa.int64()), pa.array(_digests(hashed, counts), pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=schema)
         for block, data in _blocks(sketch):
@@ -164,7 +168,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(open_.decompress(data), "<u4").astype(np.uint64)
+                part = np.frombuffer(open_.decompress(data), "<u2").astype(np.uint32)
                 sums[block] = sums[block] + part if block in sums else part
         for block, total in sums.items():
             level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
@@ -187,9 +191,15 @@ def _least_common(a, b, t: Fraction):
 
 
 def _histogram(hashed: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """How many shingles of each text fall in each of BINS bins, at most 255: a bound on what two sets share."""
+    """How many shingles of each text fall in each of BINS bins, at most 15, two to a byte: a bound on what two sets share."""
     bins = ((hashed >> np.uint64(24)) & np.uint64(BINS - 1)).astype(np.int64)
-    return np.minimum(255, np.bincount(owner * BINS + bins, minlength=rows * BINS)).astype(np.uint8).reshape(rows, BINS)
+    counts = np.minimum(FULL, np.bincount(owner * BINS + bins, minlength=rows * BINS)).astype(np.uint8).reshape(rows, BINS)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def _bins(data: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), BINS // 2)
+    return np.concatenate([packed & 15, packed >> 4], 1)
 
 
 _SECOND = "kind int, key long, group long, size long, place int, digest binary, histogram binary"
@@ -286,21 +296,27 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("kind", "key", "group").mapInArrow(run, _SECOND)
 
 
-_LISTED = "token long, lo int, hi int, block int, digest binary, size long, histogram binary, tokens array<long>, weight int, label binary"
+_LISTED = ["token", "lo", "hi", "block", "digest", "size", "histogram", "before", "label"]
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _lists(posted: DataFrame, most: int = LIST_ROWS) -> DataFrame:
-    """Postings of classes; a list longer than ``most`` is dealt into blocks, and each two blocks meet in one list."""
-    long_ = posted.groupBy("token").count().where(F.col("count") > most).select(F.col("token").alias("long_token"), F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    met = posted.join(long_, F.col("token") == F.col("long_token"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _lists(classes: DataFrame, most: int = LIST_ROWS) -> DataFrame:
+    """Postings of classes by their ``tokens``; a list longer than ``most`` is dealt into blocks that meet two by two."""
+    counts = classes.select(F.explode("tokens").alias("long_token")).groupBy("long_token").count()
+    long_ = materialize(counts.where(F.col("count") > most).select("long_token", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
+    few = long_.count()
+    posted = classes.select("digest", "size", "histogram", "label", "tokens", F.posexplode("tokens").alias("nth", "token"))
+    posted = posted.withColumn("before", F.slice("tokens", F.lit(1), F.col("nth")))
+    if few:
+        met = posted.join(F.broadcast(long_) if few <= BROADCAST_LISTS else long_, F.col("token") == F.col("long_token"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        met = posted.withColumn("blocks", F.lit(1))
     met = met.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    return met.select(*[x.split()[0] for x in _LISTED.split(", ")])
+    return met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*_LISTED)
 
 
 def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
-    """Applies ``pairs_of`` to each whole list, heaviest classes first; gives pairs of classes."""
+    """Applies ``pairs_of`` to each whole list; gives pairs of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -335,7 +351,7 @@ def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
             yield from settle(held.combine_chunks())
 
     n = partitions(lists.sparkSession)
-    ordered = lists.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", F.desc("weight"), "digest")
+    ordered = lists.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
@@ -343,7 +359,7 @@ def _allowed(x: np.ndarray, y: np.ndarray, x_size, y_size, t: Fraction) -> np.nd
     """Whether sets with these histograms and sizes can be as similar as ``t``."""
     common = np.minimum(x, y).sum(1, dtype=np.int64)
     # bins that are full may hold more
-    common += ((x == 255) & (y == 255)).sum(1) * (1 << 40)
+    common += ((x == FULL) & (y == FULL)).sum(1) * (1 << 40)
     return common >= _least_common(x_size, y_size, t)
 
 
@@ -352,7 +368,7 @@ class _List:
 
     def __init__(self, part: pa.Table):
         self.size = part.column("size").to_numpy()
-        self.histogram = np.frombuffer(b"".join(part.column("histogram").to_pylist()), np.uint8).reshape(-1, BINS)
+        self.histogram = _bins(part.column("histogram").to_pylist())
 
     def close(self, i: int, js: np.ndarray, t: Fraction) -> np.ndarray:
         """Those of ``js`` whose sizes and histograms allow the similarity to ``i``."""
@@ -365,13 +381,13 @@ class _List:
 
 def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
     """All pairs of different components that could be similar, in the list of their first common shingle."""
-    labels = np.unique(part.column("label").to_pylist(), return_inverse=True)[1]
-    if labels.max() == 0:
+    labels = part.column("label").to_numpy()
+    if (labels == labels[0]).all():
         return
-    rows, token = _List(part), part.column("token")[0].as_py()
+    rows = _List(part)
     lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
     block = part.column("block").to_numpy()
-    before = [set(x[: x.index(token)]) for x in part.column("tokens").to_pylist()]
+    before = [set(x) for x in part.column("before").to_pylist()]
     n = len(labels)
     for i in range(n - 1):
         js = np.arange(i + 1, n)
@@ -390,7 +406,7 @@ def _could_match(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a_bins", "b_bins"))
+            x, y = (_bins(batch.column(c).to_pylist()) for c in ("a_bins", "b_bins"))
             sizes = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(_allowed(x, y, *sizes, t)))
 
@@ -501,9 +517,10 @@ def join(docs: DataFrame, n: int = WORDS, similarity: Fraction = SIMILARITY) ->
     joined = materialize(components(links))
     labelled = classes.join(joined, F.col("digest") == F.col("node"), "left").select(*classes.columns, F.coalesce("label", "digest").alias("label"))
     # classes of one component need no more links; those of different ones meet wherever they share a list
-    posted = labelled.select("label", F.explode("tokens").alias("token"))
+    posted = labelled.select("digest", "label", F.posexplode("tokens").alias("nth", "token"))
     mixed = posted.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select(F.col("token").alias("mixed"))
-    open_ = labelled.withColumn("token", F.explode("tokens")).join(mixed, F.col("token") == F.col("mixed"), "left_semi")
+    still = posted.join(mixed, F.col("token") == F.col("mixed"), "left_semi").groupBy(F.col("digest").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "token"))), lambda x: x["token"]).alias("open"))
+    open_ = materialize(labelled.join(still, F.col("digest") == F.col("class")).select("digest", "size", "histogram", F.xxhash64("label").alias("label"), F.col("open").alias("tokens")))
     cross = materialize(_in_lists(_lists(open_), similarity, _cross_pairs))
     if cross.isEmpty():
         return rows, joined
