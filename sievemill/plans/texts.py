@@ -1,0 +1,71 @@
+"""Queries over texts: grep, reports, redaction, structure and reports as JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.functions import redact
+from sievemill.plans import views
+
+
+def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a licence or a token assignment, with their numbers."""
+    lines = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike("(?i)licensed|token =")).select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
+
+
+def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within one line of a hit, each once: hits mark their neighbours inside the row's own array."""
+    parts = views.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    near = F.exists(F.slice("lines", F.greatest(F.col("i") - 1, F.lit(1)), F.when(F.col("i") > 1, 3).otherwise(2)), lambda x: x.rlike("(?i)licensed"))
+    return parts.select("doc_id", "lines", F.posexplode("lines").alias("p", "line")).withColumn("i", F.col("p") + 1).where(near).select("doc_id", F.col("i").cast("long").alias("line_no"), F.col("line"))
+
+
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts by digest."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return d.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many card numbers (valid by network and checksum), tokens and urls with credentials texts hold."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = F.flatten(F.array(*[F.array_repeat(F.lit(k), n) for k, n in redact.counts(F.col("text")).items()]))
+    return d.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with secrets masked, where masking changes them."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("redacted", redact.mask(F.col("text")))
+    return d.where("redacted != text").select("doc_id", "redacted")
+
+
+def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SARIF-like result for each finding of file and class, as JSON."""
+    f = views.findings(spark, sf_dir).where("ord % 50 = 0")
+    row = F.struct(F.col("vuln_class").alias("ruleId"), F.when(F.col("confidence") >= 0.7, "error").otherwise("warning").alias("level"), F.struct(F.col("file").alias("uri"), F.col("line_start").alias("startLine")).alias("location"))
+    return f.select("ord", F.to_json(row).alias("result"))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads back a report written as Markdown: headings open a finding, field lines fill it."""
+    f = views.findings(spark, sf_dir).where("ord % 20 = 0")
+    one = F.concat(F.lit("### "), F.col("ord").cast("string"), F.lit(". ["), F.upper("vuln_class"), F.lit("] finding\n**File:** "), "file", F.lit(":"), F.col("line_start").cast("string"), F.lit("\n**Confidence:** "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%"))
+    reports = f.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("md")))), lambda x: x["md"]), "\n\n").alias("md"))
+    parts = reports.select("file", F.explode(F.split("md", "(?m)^### ")).alias("part")).where("part != ''")
+    get = lambda rx: F.regexp_extract("part", rx, 1)
+    return parts.select(get(r"^(\d+)\.").cast("long").alias("ord"), F.lower(get(r"^\d+\. \[([^\]]+)\]")).alias("vuln_class"), get(r"\*\*File:\*\* (.*):\d+").alias("file"), get(r"\*\*File:\*\* .*:(\d+)").cast("int").alias("line_start"), (get(r"\*\*Confidence:\*\* (\d+)%").cast("int")).alias("percent"))
+
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+
+QUERIES = {
+    "grep_lines": (grep_lines, f"WITH {_LINES} SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, '(?i)licensed|token =')"),
+    "context_lines": (context_lines, f"WITH {_LINES} SELECT DISTINCT a.doc_id, a.line_no, a.line FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 1 AND a.line_no + 1 WHERE regexp_matches(b.line, '(?i)licensed')"),
+    "duplicate_texts": (duplicate_texts, "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
+    "redact_counts": (redact_counts, None),
+    "redact_text": (redact_text, None),
+    "findings_json": (findings_json, f"""WITH {views.FINDINGS} SELECT ord, '{{"ruleId":"' || vuln_class || '","level":"' || (CASE WHEN confidence >= 0.7 THEN 'error' ELSE 'warning' END) || '","location":{{"uri":"' || file || '","startLine":' || CAST(line_start AS VARCHAR) || '}}}}' AS result FROM v_findings WHERE ord % 50 = 0"""),
+    "markdown_sections": (markdown_sections, f"WITH {views.FINDINGS} SELECT ord, vuln_class, file, line_start, CAST(round(confidence * 100) AS INT) AS percent FROM v_findings WHERE ord % 20 = 0"),
+}
