@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ MODEL = "byte_bpe_50k.json"
 CAPACITY, END_ID = 2048, 0
 #: Bins that are open at a time, and pieces that a task packs on average.
 OPEN_BINS, PIECES_PER_TASK = 4096, 20_000
-#: Stretches of text that a worker keeps encoded.
-STORE = 400_000
+#: Fixed value: the pre-tokens of the model's byte-level scheme.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stretches of text (and as many pre-tokens) that a worker keeps encoded.
+STORE = 500_000
 #: A blank before another white space or at the end belongs to a run, which the pre-tokenizer keeps together.
 _RUN = re.compile(r" (?=\s)| \Z")
 
@@ -45,7 +48,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.store: dict[str, bytes] = {}
+        self.store: dict = {}
+        #: pre-tokens, of which the stretches are made; with punctuation split off, far fewer differ
+        self.known: dict[str, bytes] = {}
+        self.pattern = regex.compile(PATTERN)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -56,6 +62,20 @@ class Encoder:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _stretches(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches, each of which is made of pre-tokens; those not met yet are encoded in one call."""
+        if len(self.known) > STORE:
+            self.known = {}
+        parts = [self.pattern.findall(s) for s in stretches]
+        new = list({p for x in parts for p in x}.difference(self.known))
+        if new:
+            found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1))).tolist()
+            self.known.update((p, data[a:b]) for p, a, b in zip(new, cuts, cuts[1:], strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in parts]
+
     def _whole(self, text: str) -> bool:
         return bool(_RUN.search(text)) or any(s in text for s in self.special)
 
@@ -75,7 +95,7 @@ class Encoder:
             new.update(dict.fromkeys(set(rest).difference(store)))
         if new:
             keys = list(new)
-            store.update(zip(keys, self._encode([" " + k if isinstance(k, str) else k[1] for k in keys]), strict=True))
+            store.update(zip(keys, self._stretches([" " + k if isinstance(k, str) else k[1] for k in keys]), strict=True))
         whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
         get = store.__getitem__
         return [next(whole) if s is None else get(("", s[0])) + b"".join(map(get, s[1])) for s in split]
