@@ -72,7 +72,7 @@ class Encoder:
             found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
             data = np.array(found.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1))).tolist()
-            self.known.update((p, data[a:b]) for p, a, b in zip(new, cuts, cuts[1:], strict=True))
+            self.known.update((p, data[a:b]) for p, a, b in zip(new, cuts[:-1], cuts[1:], strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in parts]
 
