@@ -218,7 +218,12 @@ class Words(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.pending, self.table = model, [], np.zeros((0, len(model.labels)))
+        self.model = model
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.pending, self.table = [], np.zeros((0, len(self.model.labels)))
 
     def __missing__(self, word: str) -> int:
         plain = normal(word)
@@ -239,7 +244,7 @@ class Words(dict):
 def tag(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Label marginals of all words with a letter of all texts, and how many each text has."""
     if len(words) > STORE:
-        words.__init__(words.model)
+        words.empty()
     ids = [np.fromiter(map(words.__getitem__, (t or "").split()), np.int64) for t in texts]
     ids = [x[x >= 0] for x in ids]
     counts = np.fromiter(map(len, ids), np.int64, len(ids))

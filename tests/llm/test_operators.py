@@ -341,3 +341,19 @@ def test_long_lists_meet_by_blocks(docs):
     many = ngramjoin._in_lists(ngramjoin._lists(classes, most=4), Fraction(0), ngramjoin._cross_pairs)
     n = classes.count()
     assert one.distinct().count() == many.distinct().count() == many.count() == n * (n - 1) // 2
+
+
+def test_full_store_starts_anew(monkeypatch):
+    rows = [("a", "red green blue word " * 8), ("b", "rot gruen blau wort " * 8)]
+    model = langid.train(rows)
+    texts = [f"red w{i} blau x{i}" for i in range(200)]
+    want = crf.tag(crf.Words(model), texts)[0]
+    monkeypatch.setattr(crf, "STORE", 30)
+    words = crf.Words(model)
+    got = np.concatenate([crf.tag(words, texts[i : i + 10])[0] for i in range(0, 200, 10)])
+    assert np.allclose(got, want)
+    path = tokencount.model_path()
+    counter = tokencount.Counter(path)
+    monkeypatch.setattr(tokencount, "STORE", 30)
+    whole = tokencount.Counter.of(path)(texts)
+    assert [int(n) for i in range(0, 200, 10) for n in counter(texts[i : i + 10])] == whole.tolist()
