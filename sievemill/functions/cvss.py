@@ -30,8 +30,7 @@ def _value(letter: Column, table: dict[str, float]) -> Column:
 
 def round_up(x: Column) -> Column:
     """Up to one decimal place, on hundred-thousandths."""
-    n = F.round(x * 100000).cast("long")
-    return F.when(n % 10000 == 0, n / 100000.0).otherwise((F.floor(n / 10000.0) + 1) / 10.0)
+    return F.ceil(F.round(x * 100000) / 10000.0).cast("double") / 10.0
 
 
 def base_score(vector: Column) -> Column:
