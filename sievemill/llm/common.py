@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -82,6 +83,39 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         yield batch.slice(lo, hi - lo)
 
 
+_held: list = []
+
+
+def held(owner, make: Callable):
+    """What ``make`` gives for ``owner``, kept in this worker until another owner comes or :func:`release` is called."""
+    if not _held or _held[0] is not owner:
+        _held[:] = [owner, make(owner)]
+    return _held[1]
+
+
+def release() -> None:
+    _held.clear()
+
+
+def give_back() -> None:
+    """Hand memory that a finished task has freed back to the system: workers idle between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` of an operator that keeps nothing in its workers, and needs the room of what others have kept."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(alone, schema)
+
+
 def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
 
@@ -89,6 +123,7 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             for part in slices(batch, text):
                 yield f(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_mod, hash_bucket, map_slices, table
+from .common import crc_mod, hash_bucket, held, map_slices, table
 
 #: Bounds of the labelled sample that the model learns from.
 DOCS_PER_LANGUAGE, WORDS_PER_DOC, SNIPPET = 300, 120, 20
@@ -93,19 +93,12 @@ def _judge(words: crf.Words | None, texts: list[str | None]) -> tuple[list[str],
 class Judge:
     """A broadcast model and, in each worker, its store of scored words."""
 
-    _own: dict[int, crf.Words] = {}
-
     def __init__(self, spark: SparkSession, model: crf.Model | None):
         self.sent = spark.sparkContext.broadcast(model)
 
     def words(self) -> crf.Words | None:
         model = self.sent.value
-        if model is None:
-            return None
-        if id(model) not in Judge._own:
-            Judge._own.clear()
-            Judge._own[id(model)] = crf.Words(model)
-        return Judge._own[id(model)]
+        return None if model is None else held(model, crf.Words)
 
 
 def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:

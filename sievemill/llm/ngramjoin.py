@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, partitions, slices, table
+from .common import fresh, map_arrow, materialize, partitions, slices, table
 
 #: Near-duplicate stages take five words and a similarity of 0.8.
 WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -157,7 +157,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
         for block, data in _blocks(sketch):
             yield pa.RecordBatch.from_arrays([pa.array([None], k.type) if k.name not in ("block", "counts") else pa.array([block if k.name == "block" else data], k.type) for k in schema], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, block int, counts binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, n_shingles long, digest binary, block int, counts binary")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -174,7 +174,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
             level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zstandard.ZstdCompressor(level=3).compress(level.tobytes())], pa.binary())], ["block", "levels"])
 
-    parts = first.where(F.col("block").isNotNull()).select("block", "counts").repartition(CELLS // CELL_BLOCK, "block").mapInArrow(add, "block int, levels binary")
+    parts = map_arrow(first.where(F.col("block").isNotNull()).select("block", "counts").repartition(CELLS // CELL_BLOCK, "block"), add, "block int, levels binary")
     out = np.zeros(CELLS, np.uint8)
     for row in parts.collect():
         out[row["block"] * CELL_BLOCK : (row["block"] + 1) * CELL_BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["levels"])), np.uint8)
@@ -264,7 +264,7 @@ def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> Da
                         ["kind", "key", "group", "size", "place", "digest", "histogram"],
                     )
 
-    return docs.select("text").mapInArrow(run, _SECOND)
+    return map_arrow(docs.select("text"), run, _SECOND)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield from settle(held)
 
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("kind", "key", "group").mapInArrow(run, _SECOND)
+    return map_arrow(rows.repartition(n, "key").sortWithinPartitions("kind", "key", "group"), run, _SECOND)
 
 
 _LISTED = ["token", "lo", "hi", "block", "digest", "size", "histogram", "before", "label"]
@@ -352,7 +352,7 @@ def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
 
     n = partitions(lists.sparkSession)
     ordered = lists.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return ordered.mapInArrow(run, "a binary, b binary")
+    return map_arrow(ordered, run, "a binary, b binary")
 
 
 def _allowed(x: np.ndarray, y: np.ndarray, x_size, y_size, t: Fraction) -> np.ndarray:
@@ -387,7 +387,9 @@ def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
     rows = _List(part)
     lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
     block = part.column("block").to_numpy()
-    before = [set(x) for x in part.column("before").to_pylist()]
+    before = part.column("before").combine_chunks()
+    bound, tokens = before.offsets.to_numpy(), before.values.to_numpy()
+    earlier = lambda k: tokens[bound[k] : bound[k + 1]]
     n = len(labels)
     for i in range(n - 1):
         js = np.arange(i + 1, n)
@@ -395,8 +397,9 @@ def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
         if lo != hi:
             js = js[block[js] != block[i]]
         for part_ in rows.close(i, js, t):
+            own = set(earlier(i).tolist())
             for j in part_.tolist():
-                if before[i].isdisjoint(before[j]):
+                if own.isdisjoint(earlier(j).tolist()):
                     yield i, j
 
 
@@ -410,7 +413,7 @@ def _could_match(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame
             sizes = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(_allowed(x, y, *sizes, t)))
 
-    return pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins"), run, "a binary, b binary")
 
 
 def _hub_pairs(classes: DataFrame, t: Fraction) -> DataFrame:
@@ -437,7 +440,7 @@ def _verify(docs: DataFrame, n: int, pairs: DataFrame, t: Fraction) -> DataFrame
                 keep.append(t.denominator * common >= t.numerator * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def _packed(hashed: np.ndarray) -> bytes:
@@ -479,7 +482,7 @@ def _sets(docs: DataFrame, n: int, digests: DataFrame) -> DataFrame:
                         data.append(_packed(hashed[ends[r] - counts[r] : ends[r]]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["digest", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    return map_arrow(docs.select("text"), run, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
 
 
 def components(links: DataFrame) -> DataFrame:

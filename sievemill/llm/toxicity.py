@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_mod, hash_bucket, map_slices, table
+from .common import crc_mod, hash_bucket, held, map_slices, table
 
 #: Labelled documents of each kind that the model learns from at most.
 DOCS_PER_KIND = 900
@@ -96,17 +96,11 @@ def fit_tables(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 class Judge:
-    _own: dict[int, crf.Words] = {}
-
     def __init__(self, spark: SparkSession, model: Model):
         self.sent = spark.sparkContext.broadcast(model)
 
     def tag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        model = self.sent.value
-        if id(model) not in Judge._own:
-            Judge._own.clear()
-            Judge._own[id(model)] = crf.Words(model.tagger)
-        return crf.tag(Judge._own[id(model)], texts)
+        return crf.tag(held(self.sent.value.tagger, crf.Words), texts)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         model = self.sent.value
