@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import coerce, cvss
 from sievemill.operators import aggregates, filters, graph, joins, votes, windows
-from sievemill.plans import texts, views
+from sievemill.plans import reports, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -286,7 +286,7 @@ def vote_collapse_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("tier", F.desc("confidence"), "ord").limit(50)
 
 
-for _name, (_f, _sql) in texts.QUERIES.items():
+for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql

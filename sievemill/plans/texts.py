@@ -43,14 +43,14 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A SARIF-like result for each finding of file and class, as JSON."""
-    f = views.findings(spark, sf_dir).where("ord % 50 = 0")
+    f = views.findings(spark, sf_dir)
     row = F.struct(F.col("vuln_class").alias("ruleId"), F.when(F.col("confidence") >= 0.7, "error").otherwise("warning").alias("level"), F.struct(F.col("file").alias("uri"), F.col("line_start").alias("startLine")).alias("location"))
     return f.select("ord", F.to_json(row).alias("result"))
 
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads back a report written as Markdown: headings open a finding, field lines fill it."""
-    f = views.findings(spark, sf_dir).where("ord % 20 = 0")
+    f = views.findings(spark, sf_dir)
     one = F.concat(F.lit("### "), F.col("ord").cast("string"), F.lit(". ["), F.upper("vuln_class"), F.lit("] finding\n**File:** "), "file", F.lit(":"), F.col("line_start").cast("string"), F.lit("\n**Confidence:** "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%"))
     reports = f.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("md")))), lambda x: x["md"]), "\n\n").alias("md"))
     parts = reports.select("file", F.explode(F.split("md", "(?m)^### ")).alias("part")).where("part != ''")
@@ -66,6 +66,6 @@ QUERIES = {
     "duplicate_texts": (duplicate_texts, "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "redact_counts": (redact_counts, None),
     "redact_text": (redact_text, None),
-    "findings_json": (findings_json, f"""WITH {views.FINDINGS} SELECT ord, '{{"ruleId":"' || vuln_class || '","level":"' || (CASE WHEN confidence >= 0.7 THEN 'error' ELSE 'warning' END) || '","location":{{"uri":"' || file || '","startLine":' || CAST(line_start AS VARCHAR) || '}}}}' AS result FROM v_findings WHERE ord % 50 = 0"""),
-    "markdown_sections": (markdown_sections, f"WITH {views.FINDINGS} SELECT ord, vuln_class, file, line_start, CAST(round(confidence * 100) AS INT) AS percent FROM v_findings WHERE ord % 20 = 0"),
+    "findings_json": (findings_json, f"""WITH {views.FINDINGS} SELECT ord, '{{"ruleId":"' || vuln_class || '","level":"' || (CASE WHEN confidence >= 0.7 THEN 'error' ELSE 'warning' END) || '","location":{{"uri":"' || file || '","startLine":' || CAST(line_start AS VARCHAR) || '}}}}' AS result FROM v_findings"""),
+    "markdown_sections": (markdown_sections, f"WITH {views.FINDINGS} SELECT ord, vuln_class, file, line_start, CAST(round(confidence * 100) AS INT) AS percent FROM v_findings"),
 }
