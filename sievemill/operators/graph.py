@@ -46,3 +46,18 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("label != old").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(node, root): the end of each node's chain of ``canonical`` nodes, by pointer jumping.
+
+    A link that is null or does not lead to a smaller node is none, so chains end; a canonical node without
+    a row of its own is a root.
+    """
+    at = _cut(links.select("node", F.when(F.col("canonical") < F.col("node"), F.col("canonical")).otherwise(F.col("node")).alias("root")))
+    while True:
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        new = _cut(at.join(up, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("root").alias("old")))
+        if new.where("root != old").isEmpty():
+            return new.select("node", "root")
+        at = new.select("node", "root")

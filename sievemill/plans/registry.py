@@ -242,11 +242,12 @@ def resolve_unique_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.resolve_unique(asked, f)
 
 
-@_query(f"""WITH RECURSIVE {views.EDGES}, reach(start, node, hops) AS (SELECT DISTINCT caller, caller, 0 FROM v_edges WHERE caller % 25 = 0 UNION SELECT r.start, e.callee, r.hops + 1 FROM reach r JOIN v_edges e ON r.node = e.caller WHERE r.hops < 4)
+@_query(f"""WITH RECURSIVE {views.EDGES}, reach(start, node, hops) AS (SELECT DISTINCT caller, caller, 0 FROM v_edges WHERE caller NOT IN (SELECT callee FROM v_edges) UNION SELECT r.start, e.callee, r.hops + 1 FROM reach r JOIN v_edges e ON r.node = e.caller WHERE r.hops < 4)
 SELECT start, node, min(hops) AS hops FROM reach GROUP BY ALL""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.edges(spark, sf_dir)
-    return graph.hops(e, e.where("caller % 25 = 0").select(F.col("caller").alias("start")).distinct(), 4)
+    entries = e.select(F.col("caller").alias("start")).join(e.select(F.col("callee").alias("start")), "start", "left_anti").distinct()
+    return graph.hops(e, entries, 4)
 
 
 @_query(f"""WITH RECURSIVE {views.EDGES}, b AS (SELECT caller AS x, callee AS y FROM v_edges UNION SELECT callee, caller FROM v_edges), r(node, other) AS (SELECT x, x FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.other = b.x)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions import names
-from sievemill.operators import sets
+from sievemill.operators import graph, sets
 from sievemill.plans import views
+from sievemill.streaming import reconcile
 
 
 def loc_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,21 @@ def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("ord", "qname", names.qualified_file(F.col("qname")).alias("file"), names.qualified_name(F.col("qname")).alias("name"))
 
 
+def transitive_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root of each order's chain: two of three orders point to the order of half their number."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("node"))
+    return graph.roots(o.select("node", F.when(F.col("node") % 3 != 0, F.expr("node div 2")).alias("canonical")))
+
+
+def stream_dedup_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confident findings judged from a stream, then reconciled to the surest of each file and class."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as a stream takes a plain path for a folder
+    arriving = views.as_findings(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events[.]parquet"))
+    judged = reconcile.judge_arriving(arriving.where("confidence >= 0.6").select("ord", "file", "vuln_class", "confidence"), reconcile.shared_folder(spark))
+    return reconcile.reconcile(judged, ["file", "vuln_class"], "confidence", "ord")
+
+
 _F, _I, _D = f"WITH {views.FINDINGS}", f"WITH {views.FINDINGS}, {views.INVENTORY}", f"WITH {views.FILES}"
 _PCT = "CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * {} / n, 1) END"
 
@@ -128,4 +144,6 @@ QUERIES = {
     "shortened_texts": (shortened_texts, f"SELECT doc_id, sha256(CASE WHEN length(text) > {names.LONGEST} THEN left(text, {names.HEAD}) || right(text, {names.TAIL}) ELSE text END) AS digest, CASE WHEN length(text) < {names.SMALL} THEN 'small' WHEN length(text) < {names.MEDIUM} THEN 'medium' ELSE 'large' END AS size_class FROM documents WHERE text IS NOT NULL"),
     "file_projection": (file_projection, f"WITH {views.EDGES} SELECT caller AS node, callee AS other FROM v_edges WHERE caller != callee UNION SELECT callee, caller FROM v_edges WHERE caller != callee"),
     "qualified_names": (qualified_names, f"{_F} SELECT ord, file || '::' || vuln_class AS qname, file, vuln_class AS name FROM v_findings"),
+    "transitive_root": (transitive_root, "WITH RECURSIVE c AS (SELECT CAST(o_orderkey AS BIGINT) AS node, CASE WHEN o_orderkey % 3 != 0 THEN CAST(o_orderkey // 2 AS BIGINT) ELSE CAST(o_orderkey AS BIGINT) END AS up FROM orders), r(node, root) AS (SELECT node, up FROM c UNION ALL SELECT r.node, c.up FROM r JOIN c ON r.root = c.node AND c.up != c.node) SELECT node, min(root) AS root FROM r GROUP BY 1"),
+    "stream_dedup_reconcile": (stream_dedup_reconcile, f"{_F} SELECT ord, file, vuln_class, confidence, row_number() OVER (PARTITION BY file, vuln_class ORDER BY confidence DESC, ord) = 1 AS retained FROM v_findings WHERE confidence >= CAST(0.6 AS DOUBLE)"),
 }

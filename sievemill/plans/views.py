@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return as_findings(table(spark, sf_dir, "events"))
+
+
+def as_findings(e: DataFrame) -> DataFrame:
     u = F.col("user_id")
     line = F.hour("ts") * 60 + F.minute("ts")
     kind = F.col("event_type")
@@ -90,12 +93,12 @@ v_inherited AS (SELECT a.id, a.parent_id, coalesce(a.external, p.external, false
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 200 = 0")
-    caller, callee = F.col("l_partkey") % 300, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 300
-    return li.select(caller.alias("caller"), callee.alias("callee")).where("caller != callee").distinct()
+    """Each customer calls one with about a third of its number."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("caller"), F.expr("cast(c_custkey div 3 + c_nationkey as long)").alias("callee"))
+    return c.where("caller != callee").distinct()
 
 
-EDGES = "v_edges AS (SELECT DISTINCT l_partkey % 300 AS caller, (l_suppkey * 7 + l_linenumber) % 300 AS callee FROM lineitem WHERE l_orderkey % 200 = 0 AND l_partkey % 300 != (l_suppkey * 7 + l_linenumber) % 300)"
+EDGES = "v_edges AS (SELECT DISTINCT CAST(c_custkey AS BIGINT) AS caller, CAST(c_custkey // 3 + c_nationkey AS BIGINT) AS callee FROM customer WHERE c_custkey != c_custkey // 3 + c_nationkey)"
 
 
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
