@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,22 +42,23 @@ def gate_score(gates: DataFrame, key: str = "finding_id") -> DataFrame:
     A set of gates that is not exactly the expected one, a critical gate that is skipped or invalid, or too
     little weight evaluated make it UNVERIFIABLE; a critical gate that is not clean caps the best label.
     """
-    weight = F.coalesce(*[F.when(F.col("gate") == g, F.lit(w)) for g, w in WEIGHTS.items()], F.lit(0.0))
     credit = F.coalesce(*[F.when(F.col("status") == s, F.lit(m)) for s, m in MULTIPLIERS.items()], F.lit(0.0))
     active = F.col("status") != "skip"
     critical = F.col("gate").isin(CRITICAL)
+    # each gate comes once or the set is bad; adding them in one order makes ties in rounding the same in every run
+    total = lambda share: reduce(add, [F.max(F.when(active & (F.col("gate") == g), share * w).otherwise(0.0)) for g, w in WEIGHTS.items()])
     sums = gates.groupBy(key).agg(
         F.count("*").alias("rows"),
         F.count_distinct("gate").alias("gates"),
         F.count_if(~F.col("gate").isin(list(WEIGHTS))).alias("unknown"),
-        F.sum(F.when(active, weight).otherwise(0.0)).alias("weight"),
-        F.sum(F.when(active, weight * credit).otherwise(0.0)).alias("earned"),
+        total(F.lit(1.0)).alias("weight"),
+        total(credit).alias("earned"),
         F.count_if(critical & F.col("status").isin("skip", "invalid")).alias("open"),
         F.count_if(critical & F.col("status").isin("partial", "fail")).alias("unclean"),
     )
     shape = (F.col("gates") != len(WEIGHTS)) | (F.col("unknown") > 0) | (F.col("rows") != F.col("gates"))
     bad = shape | (F.col("open") > 0) | (F.round("weight", 6) < COVERAGE)
-    score = F.when(bad, 0.0).otherwise(F.round(F.least(F.col("earned") / F.col("weight"), F.lit(1.0)), 4))
+    score = F.when(bad, 0.0).otherwise(F.floor(F.least(F.col("earned") / F.col("weight"), F.lit(1.0)) * 10000 + 0.5) / 10000)
     label = F.when(bad, "UNVERIFIABLE").when((score >= FIXED) & (F.col("unclean") == 0), "FIXED").when(score >= PARTIAL, "PARTIAL").otherwise("NOT_FIXED")
     return sums.select(key, score.alias("score"), label.alias("label"))
 
