@@ -33,33 +33,58 @@ def round_up(x: Column) -> Column:
     return F.ceil(F.round(x * 100000) / 10000.0).cast("double") / 10.0
 
 
+def _bind(values: dict[str, Column], use) -> Column:
+    """``use`` of columns that are computed once, however often it names them."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), 1)
+
+
+def _parts(vector: Column, use) -> Column:
+    """``use`` of the letters AV and S and of the values of the other base metrics."""
+
+    def valued(m: Column) -> Column:
+        changed = m["S"] == "C"
+        pr = F.when(changed, _value(m["PR"], PR_CHANGED)).otherwise(_value(m["PR"], PR))
+        cia = {x.lower(): _value(m[x], CIA) for x in "CIA"}
+        return _bind({"av": m["AV"], "changed": changed, "scope": m["S"].isin("U", "C"), "rest": _value(m["AC"], AC), "pr": pr, "ui": _value(m["UI"], UI), **cia}, use)
+
+    return _bind({x: metric(vector, x) for x in ("AV", "AC", "PR", "UI", "S", "C", "I", "A")}, valued)
+
+
 def base_score(vector: Column) -> Column:
     """Null if a metric is missing or unknown."""
-    changed = metric(vector, "S") == "C"
-    pr = F.when(changed, _value(metric(vector, "PR"), PR_CHANGED)).otherwise(_value(metric(vector, "PR"), PR))
-    exploit = F.lit(8.22) * _value(metric(vector, "AV"), AV) * _value(metric(vector, "AC"), AC) * pr * _value(metric(vector, "UI"), UI)
-    iss = 1 - (1 - _value(metric(vector, "C"), CIA)) * (1 - _value(metric(vector, "I"), CIA)) * (1 - _value(metric(vector, "A"), CIA))
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    raw = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    known = metric(vector, "S").isin("U", "C") & exploit.isNotNull() & iss.isNotNull()
-    return F.when(known & (impact <= 0), F.lit(0.0)).when(known, round_up(F.least(raw, F.lit(10.0))))
+
+    def score(m: Column) -> Column:
+        exploit = F.lit(8.22) * _value(m["av"], AV) * m["rest"] * m["pr"] * m["ui"]
+        iss = 1 - (1 - m["c"]) * (1 - m["i"]) * (1 - m["a"])
+        impact = lambda x: F.when(x["changed"], 7.52 * (x["iss"] - 0.029) - 3.25 * F.pow(x["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * x["iss"])
+        known = lambda x: x["scope"] & x["exploit"].isNotNull() & x["iss"].isNotNull()
+        ends = lambda x: _bind({"changed": x["changed"], "known": known(x), "exploit": x["exploit"], "impact": impact(x)}, lambda y: _ended(y, lambda raw: round_up(raw)))
+        return _bind({"changed": m["changed"], "scope": m["scope"], "exploit": exploit, "iss": iss}, ends)
+
+    return _parts(vector, score)
+
+
+def _ended(x: Column, scale) -> Column:
+    raw = F.when(x["changed"], 1.08 * (x["impact"] + x["exploit"])).otherwise(x["impact"] + x["exploit"])
+    return F.when(x["known"] & (x["impact"] <= 0), F.lit(0.0)).when(x["known"], scale(F.least(raw, F.lit(10.0))))
 
 
 def environmental_score(vector: Column, external: Column, pci: Column, pan: Column, pii: Column) -> Column:
     """Base metrics under an application's requirements; an internal application is adjacent at most."""
-    changed = metric(vector, "S") == "C"
-    av = F.when(~external & (metric(vector, "AV") == "N"), F.lit("A")).otherwise(metric(vector, "AV"))
     cr = F.when(pci | pan | pii, F.lit(REQUIREMENT["H"])).otherwise(F.lit(REQUIREMENT["M"]))
     ir = F.when(pci | pan, F.lit(REQUIREMENT["H"])).otherwise(F.lit(REQUIREMENT["M"]))
-    pr = F.when(changed, _value(metric(vector, "PR"), PR_CHANGED)).otherwise(_value(metric(vector, "PR"), PR))
-    c, i, a = (_value(metric(vector, x), CIA) for x in "CIA")
-    miss = F.least(1 - (1 - cr * c) * (1 - ir * i) * (1 - a), F.lit(0.915))
-    impact = F.when(changed, 7.52 * (miss - 0.029) - 3.25 * F.pow(miss * 0.9731 - 0.02, F.lit(13.0))).otherwise(6.42 * miss)
-    exploit = F.lit(8.22) * _value(av, AV) * _value(metric(vector, "AC"), AC) * pr * _value(metric(vector, "UI"), UI)
-    raw = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
     e, rl, rc = TEMPORAL
-    known = metric(vector, "S").isin("U", "C") & exploit.isNotNull() & miss.isNotNull()
-    return F.when(known & (impact <= 0), F.lit(0.0)).when(known, round_up(round_up(F.least(raw, F.lit(10.0))) * e * rl * rc))
+
+    def score(m: Column) -> Column:
+        av = F.when(~external & (m["av"] == "N"), F.lit("A")).otherwise(m["av"])
+        miss = F.least(1 - (1 - cr * m["c"]) * (1 - ir * m["i"]) * (1 - m["a"]), F.lit(0.915))
+        exploit = F.lit(8.22) * _value(av, AV) * m["rest"] * m["pr"] * m["ui"]
+        impact = lambda x: F.when(x["changed"], 7.52 * (x["miss"] - 0.029) - 3.25 * F.pow(x["miss"] * 0.9731 - 0.02, F.lit(13.0))).otherwise(6.42 * x["miss"])
+        known = lambda x: x["scope"] & x["exploit"].isNotNull() & x["miss"].isNotNull()
+        ends = lambda x: _bind({"changed": x["changed"], "known": known(x), "exploit": x["exploit"], "impact": impact(x)}, lambda y: _ended(y, lambda raw: round_up(round_up(raw) * e * rl * rc)))
+        return _bind({"changed": m["changed"], "scope": m["scope"], "exploit": exploit, "miss": miss}, ends)
+
+    return _parts(vector, score)
 
 
 def rating(score: Column) -> Column:
