@@ -1,7 +1,7 @@
 """Toxicity of whole texts by a linear-chain conditional random field that tags toxic words.
 
-Token labels come from document labels: a word that many labelled-toxic documents have and hardly any
-other is a toxic token.  A CRF with n-gram and affix features learns to tag such tokens in context;
+Token labels come from document labels: a word that labelled-toxic documents have beyond chance and hardly
+any other, or whose stem is such, is a toxic token.  A CRF with n-gram and affix features learns to tag such tokens in context;
 forward-backward marginals are aggregated per document, and a logistic curve maps them to a score.
 
 Defined results: null, empty and letterless texts are scored like texts without a toxic word; repeated
@@ -11,6 +11,7 @@ of toxic labels (0 if there are none); other columns are ignored (or kept by :fu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,9 @@ from .common import crc_mod, hash_bucket, held, map_slices, table
 DOCS_PER_KIND = 900
 #: Words of a sampled document that the tagger (not the score) learns from at most.
 WORDS_PER_DOC = 250
-#: A token is toxic if so many toxic documents (and such a share of them) have it and its odds are so high.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.02, 8.0
+#: A word or a stem of so many letters tells if so many toxic documents that nothing else explains have it, its odds
+#: are so high, and by chance no more than CHANCE of all that were looked at would do as well.
+LEAST_DOCS, STEM, LEAST_ODDS, CHANCE = 4, 4, 4.0, 1.0
 HELD_OUT = (5, 0)
 
 
@@ -60,23 +62,62 @@ def _summary(marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), np.log1p(mass), top, np.minimum(1, 25 * mass / np.maximum(counts, 20))], 1)
 
 
+def _by_chance(clean: int, toxic: int, share: float) -> float:
+    """Chance that of clean + toxic documents so many or more are toxic."""
+    n = clean + toxic
+    return sum(math.comb(n, j) * share ** (n - j) * (1 - share) ** j for j in range(clean + 1))
+
+
+def toxic_words(texts: list[tuple[int, set[str]]]) -> set[str]:
+    """Words of toxic documents that tell, or have a stem that does.
+
+    Found in rounds: what the words found so far explain no longer counts, so that the words of a few documents in one
+    language need not stand out among the toxic documents of all languages.
+    """
+    stems = lambda w: (w[:n] for n in range(min(STEM, len(w)), len(w) + 1))
+    have: dict[str, set[int]] = {}
+    for i, (y, words) in enumerate(texts):
+        if y:
+            for s in {s for w in words for s in stems(w)}:
+                have.setdefault(s, set()).add(i)
+    have = {s: docs for s, docs in have.items() if len(docs) >= LEAST_DOCS}
+    clean = dict.fromkeys(have, 0)
+    own: dict[str, int] = {}
+    for y, words in texts:
+        if not y:
+            for s in {s for w in words for s in stems(w) if s in clean}:
+                clean[s] += 1
+            for w in words:
+                own[w] = own.get(w, 0) + 1
+    left = {i for i, (y, _) in enumerate(texts) if y}
+    n_toxic, n_clean = len(left), len(texts) - len(left)
+    odds = lambda t, c: ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
+    open_ = {s for s, docs in have.items() if odds(len(docs), clean[s]) >= LEAST_ODDS}
+    telling: set[str] = set()
+    while left:
+        share = len(left) / (len(left) + n_clean)
+        found = {s for s in open_ if len(now := have[s] & left) >= LEAST_DOCS and _by_chance(clean[s], len(now), share) * len(have) <= CHANCE}
+        if not found:
+            break
+        telling |= found
+        open_ -= found
+        left = left.difference(*(have[s] for s in found))
+    counts: dict[str, int] = {}
+    for y, words in texts:
+        if y:
+            for w in words:
+                if any(s in telling for s in stems(w)):
+                    counts[w] = counts.get(w, 0) + 1
+    return {w for w, n in counts.items() if odds(n, own.get(w, 0)) >= LEAST_ODDS / 4}
+
+
 def train(rows: list[tuple[int, str]], share: float) -> Model:
     kinds = [sum(y == k for y, _ in rows) for k in (0, 1)]
     nothing = Model(None, np.zeros(4), share)
     if not all(kinds):
         return nothing
     texts = [(y, [w for w in map(crf.normal, t.split()) if w]) for y, t in rows]
-    seen: dict[str, list[int]] = {}
-    for y, words in texts:
-        for w in set(words):
-            seen.setdefault(w, [0, 0])[y] += 1
-    odds = lambda c: ((c[1] + 0.5) / (kinds[1] + 1)) / ((c[0] + 0.5) / (kinds[0] + 1))
-    listed = {w for w, c in seen.items() if c[1] >= max(LEAST_DOCS, LEAST_SHARE * kinds[1]) and odds(c) >= LEAST_ODDS}
-    # A toxic document is explained by its most telling words: keep those that some document needs.
-    ranked = sorted(listed, key=lambda w: (-odds(seen[w]), w))
-    order = {w: i for i, w in enumerate(ranked)}
-    needed = {min(own, key=order.__getitem__) for y, words in texts if y and (own := listed.intersection(words))}
-    toxic = {w for w in listed if w in needed or odds(seen[w]) >= 4 * LEAST_ODDS}
+    toxic = toxic_words([(y, set(words)) for y, words in texts])
     sequences = [words[:WORDS_PER_DOC] for _, words in texts if words]
     tags = [np.fromiter((w in toxic for w in words), np.int64, len(words)) for words in sequences]
     tagger = crf.fit(sequences, tags, [0, 1], {w: 1 for w in toxic})

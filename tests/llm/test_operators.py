@@ -289,6 +289,26 @@ def test_toxicity(spark, odd, none):
     assert [(r["doc_id"], r["start"], r["stop"], r["span"]) for r in toxicity.spans(text, model).collect()] == [(1, 4, 9, "idiot")]
 
 
+def test_toxic_words_of_a_small_language():
+    draw = random.Random(5)
+    common = [f"wo{draw.randrange(10**6)}" for _ in range(400)]
+    other = [f"zu{draw.randrange(10**6)}" for _ in range(400)]
+    fill = lambda words: [draw.choice(words) for _ in range(30)]
+    rows = [(1, " ".join([*fill(common), draw.choice(("idiot", "scum"))])) for _ in range(480)] + [(0, " ".join(fill(common))) for _ in range(480)]
+    rows += [(1, " ".join([*fill(other), "bomente" + draw.choice(("bo", "co", "ga", "ja", "ra", "ta"))])) for _ in range(20)] + [(0, " ".join(fill(other))) for _ in range(20)]
+    toxic = set(toxicity.train(rows, 0.1).tagger.lexicon)
+    planted = {w for _, text in rows for w in text.split() if w.startswith("bomente")} | {"idiot", "scum"}
+    assert planted <= toxic and len(toxic - planted) <= 3
+
+
+def test_toxicity_by_language(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    got = toxicity.predict(held, toxicity.fit_tables(table, labels)).join(labels.where("toxic = 1"), "doc_id").join(held.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        assert np.mean([r["predicted"] for r in got if r["lang"] == lang]) >= 0.8, lang
+
+
 def brute_components(rows, n, t):
     sets, parent = [], list(range(len(rows)))
 
