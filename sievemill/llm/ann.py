@@ -5,7 +5,8 @@ In a block, each random projection is one sorted array.  A query opens a window
 projection in each array and widens all windows step by step (virtual rehashing); a vector that falls in
 enough windows collides and is verified by its exact inner product.  Inner products become distances by
 one more coordinate, so that the longest vector of a block sets the scale.  A query stops when its
-results are closer than what the windows have surely found, or when enough vectors are verified.
+results are closer than what the windows have surely found.  Where many vectors collide before that, as
+without clusters or with varied lengths, it verifies the whole block instead, so its results are exact there.
 
 Defined results: vectors that are null, empty, zero or hold a null or a non-finite component take no
 part, nor do rows without an id; rows with the query's id are its own; a repeated query id is answered
@@ -30,7 +31,7 @@ TOP, EVERY = 20, 20
 BLOCK_ROWS, CHUNK_ROWS = 8192, 2048
 #: Projections, share of them a vector must collide in, first half-width and its growth (in units of the scale).
 PROJECTIONS, COLLIDE, WIDTH, GROWTH = 98, 0.58, 0.65, 1.15
-#: A query stops after verifying this share of the block and so many vectors besides.
+#: Once this share of the block and so many vectors besides are verified, the whole block is cheaper to verify than to search on.
 SHARE, BESIDES = 0.05, 200
 #: Half-width over distance at which a vector at that distance collides almost surely.
 SURE = 1.1
@@ -94,13 +95,16 @@ class Index:
                     seen[fresh] = True
                     score[fresh] = np.where(self.ids[fresh] == own[q], -np.inf, (self.vectors[fresh] * queries[q]).sum(1))
                 found = int(seen.sum())
-                if found >= min(n, enough):
+                if found == n:
                     break
                 if found > top:
                     kth = np.partition(score, n - top)[n - top]
                     length = math.sqrt((queries[q] ** 2).sum()) * self.scale
                     if kth > -np.inf and width >= SURE * math.sqrt(max(0.0, 2 - 2 * kth / length)):
                         break
+                if found >= enough:
+                    score = np.where(self.ids == own[q], -np.inf, (self.vectors * queries[q]).sum(1))
+                    break
             place = np.flatnonzero(score > -np.inf)
             if len(place) > top:
                 least = np.partition(score[place], len(place) - top)[len(place) - top]

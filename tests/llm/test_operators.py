@@ -87,6 +87,21 @@ def test_nearest(spark):
     assert ann.nearest(table.where("vec_id < 4")).count() == 3
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.2, 0.5])
+def test_nearest_in_a_full_block_without_clusters(sigma):
+    draw = np.random.default_rng(6)
+    vectors = draw.normal(size=(ann.BLOCK_ROWS, 64))
+    vectors *= np.exp(sigma * draw.normal(size=(len(vectors), 1))) / np.sqrt((vectors**2).sum(1))[:, None]
+    ids = np.arange(len(vectors))
+    place, found, _ = ann.Index(ids, vectors).search(ids[:40], vectors[:40])
+    hits = 0
+    for q in range(40):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hits += len(set(found[place == q]) & set(np.argsort(-score)[:20]))
+    assert hits / (20 * 40) >= 0.97
+
+
 def test_mixing(odd, none, docs):
     got = mixing.mix(docs).collect()
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect()}
