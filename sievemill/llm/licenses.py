@@ -1,11 +1,12 @@
 """Licence notices in whole texts by conditional compression.
 
-Candidate blocks are runs of lines with a licence word.  Each is compressed alone and with every template
+Candidate blocks are the words around a licence word, on both sides enough to hold the longest template however
+it is wrapped.  Each is compressed alone and with every template
 as a raw zstandard dictionary; templates are ranked by how much smaller they make the block, and the
 winner is confirmed by the exact differences in wording between block and template.
 
 Result: one row for each confirmed notice, with doc_id, start and stop (code points, stop excluded), the
-licence, the reduction (share of the block's compressed size that the template saves), n_words of the
+licence, the reduction (share of the notice's compressed size that the template saves), n_words of the
 template and n_differences (words missing, added or changed between them).
 
 Defined results: null and empty texts and texts without a notice have no row; a block with several
@@ -15,7 +16,9 @@ give repeated results; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import math
 import re
 
 import pyarrow as pa
@@ -40,10 +43,10 @@ TEMPLATES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-#: Words that a candidate line has, in lower case.
-CUES = ("licens", "licenc", "permission is", "redistribut", "free software")
-#: Lines without a cue that may stand inside a block, share of a template's words that may differ, and how many of the best templates are compared.
-GAP, MAY_DIFFER, COMPARED = 2, 0.1, 4
+#: Words of which a notice has one, also where a line ends between them.
+CUES = re.compile(r"licen[sc]|permission\W+is|redistribut|free\W+software", re.IGNORECASE)
+#: Share of a template's words that may differ, and how many of the best templates are compared.
+MAY_DIFFER, COMPARED = 0.1, 4
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -54,6 +57,7 @@ class Scanner:
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = [(name, [m.group().lower() for m in _WORD.finditer(text)]) for name, text in templates]
+        self.reach = math.ceil((1 + MAY_DIFFER) * max(len(words) for _, words in self.templates))
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
 
@@ -64,21 +68,26 @@ class Scanner:
         return cls._own
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Start and stop of the runs of lines with a cue."""
-        low = text.lower()
-        if not any(c in low for c in CUES):
+        """Start and stop of the stretches within a template's length of a cue."""
+        cues = [m.start() for m in CUES.finditer(text)]
+        if not cues:
             return []
+        words = [m.span() for m in _WORD.finditer(text)]
+        begins = [a for a, _ in words]
         out: list[list[int]] = []
-        at = 0
-        for number, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if any(c in low for c in CUES):
-                if out and number - out[-1][2] <= GAP:
-                    out[-1][1:] = [at + len(line), number]
-                else:
-                    out.append([at, at + len(line), number])
-            at += len(line) + 1
-        return [(a, b) for a, b, _ in out]
+        for at in cues:
+            i = bisect.bisect_right(begins, at) - 1
+            lo, hi = max(0, i - self.reach), min(len(words) - 1, i + self.reach)
+            if out and lo <= out[-1][1] + 1:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi])
+        return [(words[lo][0], words[hi][1]) for lo, hi in out]
+
+    def reduction(self, block: str, i: int) -> float:
+        data = block.encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(data))
+        return (alone - len(self.given[i].compress(data))) / alone
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """Reduction and number of the templates, best first."""
@@ -90,11 +99,15 @@ class Scanner:
     def differences(self, words: list[str], template: list[str]) -> tuple[int, int, int]:
         """Words that differ, and the words of the block from the first to the last one that agrees."""
         match = [m for m in difflib.SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
-            return len(template), 0, 0
-        first, last = match[0].b, match[-1].b + match[-1].size
-        agree = sum(m.size for m in match)
-        return max(len(template), last - first) - agree, first, last
+        best = (len(template), 0, 0)
+        # words of the template that stand far off in the text around the notice don't belong to it
+        for i, m in enumerate(match):
+            agree = 0
+            for n in match[i:]:
+                agree += n.size
+                stop = n.b + n.size
+                best = min(best, (max(len(template), stop - m.b) - agree, m.b, stop), key=lambda x: x[0])
+        return best
 
     def scan(self, text: str | None) -> list[tuple]:
         out = []
@@ -105,15 +118,16 @@ class Scanner:
             found = list(_WORD.finditer(block))
             words = [m.group().lower() for m in found]
             best = None
-            for reduction, i in self.rank(block)[:COMPARED]:
+            for _, i in self.rank(block)[:COMPARED]:
                 name, template = self.templates[i]
                 differ, a, b = self.differences(words, template)
                 if differ <= MAY_DIFFER * len(template) and (best is None or (differ - len(template), differ) < best[0]):
-                    best = ((differ - len(template), differ), start + found[a].start(), start + found[b - 1].end(), name, float(reduction), len(template), differ)
+                    best = ((differ - len(template), differ), start + found[a].start(), start + found[b - 1].end(), name, i, len(template), differ)
             if best:
-                out.append(best[1:])
+                begin, end, name, i, n, differ = best[1:]
+                out.append((begin, end, name, self.reduction(text[begin:end], i), n, differ))
                 # what stands before and after may hold other notices
-                todo += [(a, b) for lo, hi in ((start, best[1]), (best[2], stop)) if hi - lo > 0 for a, b in [(lo, hi)] if any(c in text[a:b].lower() for c in CUES)]
+                todo += [(a, b) for lo, hi in ((start, best[1]), (best[2], stop)) if hi - lo > 0 for a, b in [(lo, hi)] if CUES.search(text, a, b)]
         return sorted(out)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from fractions import Fraction
 
@@ -175,6 +176,20 @@ def test_licenses(odd, none, docs, spark):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("width", [60, 70, 80])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_licenses(width, prefix):
+    scanner = licenses.Scanner.own()
+    for name, notice in licenses.TEMPLATES:
+        lines = textwrap.wrap(notice, width)
+        text = "\n".join(prefix + x for x in ["The parts of this file are of the author.", "", *lines, "", "and the rest of it is any other text"])
+        got = scanner.scan(text)
+        assert [(r[2], r[5]) for r in got] == [(name, 0)], (name, got)
+        assert re.findall(r"\w+", text[got[0][0] : got[0][1]]) == re.findall(r"\w+", notice)
+    clause = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the above notice."
+    assert [r[2] for r in scanner.scan(clause)] == ["BSD-3-Clause"]
+
+
 def test_fingerprints(odd, none, docs):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), reverse=True)
     got = {r["doc_id"]: r for r in syncmers.fingerprint(docs.repartition(7)).collect()}
