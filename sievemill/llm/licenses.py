@@ -20,6 +20,7 @@ import bisect
 import difflib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -45,8 +46,8 @@ TEMPLATES = [
 ]
 #: Words of which a notice has one, also where a line ends between them.
 CUES = re.compile(r"licen[sc]|permission\W+is|redistribut|free\W+software", re.IGNORECASE)
-#: Share of a template's words that may differ, and how many of the best templates are compared.
-MAY_DIFFER, COMPARED = 0.1, 4
+#: Share of a template's words that may differ.
+MAY_DIFFER = 0.1
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -94,7 +95,7 @@ class Scanner:
         data = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
         found = [((alone - len(c.compress(data))) / alone, i) for i, c in enumerate(self.given)]
-        return sorted((x for x in found if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(found, key=lambda x: (-x[0], x[1]))
 
     def differences(self, words: list[str], template: list[str]) -> tuple[int, int, int]:
         """Words that differ, and the words of the block from the first to the last one that agrees."""
@@ -118,8 +119,12 @@ class Scanner:
             found = list(_WORD.finditer(block))
             words = [m.group().lower() for m in found]
             best = None
-            for _, i in self.rank(block)[:COMPARED]:
+            held = Counter(words)
+            for _, i in self.rank(block):
                 name, template = self.templates[i]
+                # no wording has more words in common than the two have without their order
+                if len(template) - (Counter(template) & held).total() > MAY_DIFFER * len(template):
+                    continue
                 differ, a, b = self.differences(words, template)
                 if differ <= MAY_DIFFER * len(template) and (best is None or (differ - len(template), differ) < best[0]):
                     best = ((differ - len(template), differ), start + found[a].start(), start + found[b - 1].end(), name, i, len(template), differ)

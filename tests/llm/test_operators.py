@@ -190,6 +190,14 @@ def test_wrapped_licenses(width, prefix):
     assert [r[2] for r in scanner.scan(clause)] == ["BSD-3-Clause"]
 
 
+def test_short_license_beside_reworded_long_ones():
+    long = [t.split() for _, t in licenses.TEMPLATES if len(t.split()) > 18]
+    reworded = " ".join(w for t in long for i, w in enumerate(t) if i % 5 != 4)
+    for name, notice in licenses.TEMPLATES:
+        if len(notice.split()) <= 18:
+            assert name in [r[2] for r in licenses.Scanner.own().scan(f"{reworded} {notice}")], name
+
+
 def test_fingerprints(odd, none, docs):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), reverse=True)
     got = {r["doc_id"]: r for r in syncmers.fingerprint(docs.repartition(7)).collect()}
