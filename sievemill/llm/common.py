@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text, and rows, that one step of a Python operator holds at a time.
@@ -133,6 +135,30 @@ def hash_bucket(column: str, seed: int = 17):
     return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\0")), F.lit(seed)), F.lit(1_000_000))
 
 
+def windows(text: str, key: Column, chars: int, n: int) -> Column:
+    """The text, or of one longer than ``n`` stretches of ``chars`` so many, placed by a hash of ``key`` and cut at blanks."""
+    c = F.col(text)
+    size = F.length(c)
+    parts = []
+    for i in range(n):
+        start = F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(size - chars + 1, F.lit(1))) + 1
+        parts.append(F.regexp_replace(c.substr(start.cast("int"), F.lit(chars)), r"^\S+\s|\s\S+$", ""))
+    return F.when(size <= chars * n, c).otherwise(F.concat_ws(" ", *parts))
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[tuple]], object]):
+    """What ``fit`` makes of all of a bounded table's rows, in one task; None if that gives nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ = [tuple(r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if held_:
+            data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps(fit(held_)))
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
+
+    got = map_arrow(rows.repartition(1), run, "model binary").collect()
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(got[0]["model"]))) if got else None
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -1,7 +1,8 @@
 """A linear-chain conditional random field over words, in numpy.
 
 Emissions are sums of hashed character n-gram weights (those that touch a word edge are its affixes),
-of the whole word, and of lexicon entries.  Transitions are learned.  Forward-backward runs exactly on
+of the whole word, of lexicon entries and, if asked for, of the same features of the words before and
+after.  Transitions are learned, from token labels or from labels of whole sequences.  Forward-backward runs exactly on
 sequences of any length: each is cut into blocks, the blocks' transfer matrices are chained, and the
 blocks are then swept together.
 """
@@ -94,8 +95,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (x @ np.ones((x.shape[-1], 1), x.dtype))
 
 
-def sweep(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Marginals of every token; with ``pairs`` also the expected transitions and first labels."""
+def sweep(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False, stay: np.ndarray | None = None, weigh=None):
+    """Marginals of every token; with ``pairs`` also the expected transitions and first labels.
+
+    ``stay`` takes, for each token, the probability of label 0 after labels 0 only: their product is that of a
+    sequence without another label.  ``weigh`` makes weights of the tokens of it, for the expected transitions.
+    """
     n, k = emission.shape
     expected, begun = np.zeros((k, k)), np.zeros(k)
     if not n:
@@ -139,6 +144,7 @@ def sweep(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray, star
         now = ahead[at[t] : at[t + 1]] = _unit(step)
     behind, back = leave, m.T.copy()
     result = np.empty((n, k))
+    joint: list[tuple] = []
     for t in range(BLOCK - 1, -1, -1):
         c = b.active[t]
         if not c:
@@ -150,18 +156,32 @@ def sweep(emission: np.ndarray, counts: np.ndarray, transition: np.ndarray, star
             inner = np.ones(c, bool) if t else ~b.first[:c]
             prior = (ahead[at[t - 1] : at[t - 1] + c] if t else reach[:c])[inner]
             mass = ((prior @ m) * seen[inner]).sum(1, keepdims=True)
-            expected += m * ((prior / mass).T @ seen[inner])
+            if weigh is None:
+                expected += m * ((prior / mass).T @ seen[inner])
+            else:
+                joint.append((b.perm[lo:hi][inner], prior / mass, seen[inner]))
+        if stay is not None:
+            stay[b.perm[lo:hi]] = m[0, 0] * seen[:, 0] / (seen @ m[0])
         behind[:c] = _unit(seen @ back)
     out = np.empty((n, k))
     out[b.perm] = _unit(result)
+    first = np.cumsum(counts) - counts
+    if stay is not None:
+        stay[first] = out[first, 0]
     if pairs:
-        begun = out[np.cumsum(counts) - counts].sum(0)
+        weights = np.ones(n) if weigh is None else weigh(stay)
+        for place, prior, seen in joint:
+            expected += m * ((prior * weights[place][:, None]).T @ seen)
+        begun = weights[first] @ out[first]
     return out, expected, begun
 
 
 @dataclass
 class Model:
-    """What a prediction needs: label names, feature weights, transitions, start weights, lexicon."""
+    """What a prediction needs: label names, feature weights, transitions, start weights, lexicon.
+
+    With context there are three weights for each label: of a word's own tag, the next word's and the one's before.
+    """
 
     labels: list
     weights: np.ndarray
@@ -175,6 +195,88 @@ class Model:
         return np.add.reduceat(self.weights[number].astype(np.float64), begin, axis=0) / np.sqrt(sizes)[:, None]
 
 
+def in_context(table: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Emissions of tokens from a table of words, with what their neighbours in the sequence add if it has that."""
+    e = table[tokens, :k]
+    if table.shape[1] > k:
+        first = np.zeros(len(tokens) + 1, bool)
+        first[np.cumsum(counts) - counts] = True
+        inner = ~first[1:-1]
+        e[1:] += table[tokens[:-1], k : 2 * k] * inner[:, None]
+        e[:-1] += table[tokens[1:], 2 * k :] * inner[:, None]
+    return e
+
+
+def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndarray], warm: int = 24, steps: int = 36, rate: float = 0.15, decay: float = 2e-5, beside: float = 10.0, bias: float = -5.0, doubt: float = 0.05, chunk: int = 100_000) -> Model:
+    """Tags 0 and 1 from labels of whole sequences: an unmarked one has no tag 1, a marked one has one at least.
+
+    Maximizes the likelihood of these two events.  Its gradient is the expected counts, less those of a sequence of
+    tags 0, times -1 or, for a marked sequence, times the odds of the event that it rules out: an expectation step
+    over the tags of marked sequences in each step.  In the first ``warm`` steps, marked sequences that have a seed
+    take the seeds as their tags.  ``doubt`` is the chance that a mark is wrong, which bounds those odds.
+    Sequences are swept a chunk at a time.
+    """
+    index: dict[str, int] = {}
+    tokens = np.fromiter((index.setdefault(w, len(index)) for s in sequences for w in s), np.int64)
+    counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    seed = np.concatenate(seeds).astype(float)
+    number, begin = features(list(index), {})
+    used, compact = np.unique(number, return_inverse=True)
+    sizes = np.diff(np.append(begin, len(number)))
+    scale = 1 / np.sqrt(sizes)
+    ends = np.cumsum(counts)
+    seeded = np.add.reduceat(seed, ends - counts) > 0
+    cuts = [0, *(np.flatnonzero(np.diff(ends // chunk)) + 1).tolist(), len(counts)]
+    p = [np.zeros((len(used), 3)), np.zeros((2, 2)), np.zeros(2)]
+    p[1][:, 1], p[2][1] = bias, bias
+    shrink = [decay * np.array([1, beside, beside]), 0.0, 0.0]
+    mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    for step in range(1, steps + 1):
+        by_word = np.add.reduceat(p[0][compact], begin, axis=0) * scale[:, None]
+        gap, grads = np.zeros((len(index), 3)), [p[0], np.zeros((2, 2)), np.zeros(2)]
+        free = marked if step > warm else marked & ~seeded
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            part = slice(ends[lo] - counts[lo], ends[hi - 1])
+            own, length, open_ = tokens[part], counts[lo:hi], free[lo:hi]
+            first = np.cumsum(length) - length
+            inner = np.ones(len(own) + 1, bool)
+            inner[first] = False
+            inner = inner[1:-1]
+            e = np.zeros((len(own), 2))
+            e[:, 1] = in_context(by_word, own, length, 1)[:, 0]
+            held: list[np.ndarray] = []
+
+            def weigh(stay: np.ndarray, first=first, length=length, open_=open_, held=held) -> np.ndarray:
+                none = np.exp(np.add.reduceat(np.log(np.maximum(stay, 1e-300)), first))
+                odds = none * (1 - 2 * doubt) / ((1 - doubt) * (1 - none) + doubt * none + 1e-9)
+                held.append(np.repeat(np.where(open_, odds, -1.0), length))
+                return held[0]
+
+            marginal, expected, begun = sweep(e, length, p[1], p[2], pairs=True, stay=np.empty(len(own)), weigh=weigh)
+            weights = held[0]
+            # what the tags should be: those of the seeds, or all 0 where the sequence is free
+            gold = np.where(np.repeat(open_, length), 0.0, seed[part])
+            tag = gold.astype(int)
+            grads[2] += begun - np.bincount(tag[first], weights[first], 2)
+            grads[1] += expected - np.bincount(2 * tag[:-1][inner] + tag[1:][inner], weights[1:][inner], 4).reshape(2, 2)
+            push = weights * (marginal[:, 1] - gold)
+            gap[:, 0] += np.bincount(own, push, len(index))
+            gap[:, 1] += np.bincount(own[:-1], push[1:] * inner, len(index))
+            gap[:, 2] += np.bincount(own[1:], push[:-1] * inner, len(index))
+        gap *= scale[:, None]
+        grads[0] = np.stack([np.bincount(compact, np.repeat(gap[:, j], sizes), len(used)) for j in range(3)], 1)
+        for i, g in enumerate(grads):
+            g = g / len(counts) - shrink[i] * p[i]
+            mean[i] = 0.9 * mean[i] + 0.1 * g
+            square[i] = 0.99 * square[i] + 0.01 * g * g
+            p[i] = p[i] + rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-7)
+    weights = np.zeros((1 << BITS, 6), np.float32)
+    weights[used, 1::2] = p[0]
+    return Model([0, 1], weights, p[1], p[2], {})
+
+
 def fit(sequences: list[list[str]], tags: list[np.ndarray], labels: list, lexicon: dict[str, int], steps: int = 40, rate: float = 0.25, decay: float = 1e-4) -> Model:
     """Maximum conditional likelihood by Adam over all sequences at once."""
     k = len(labels)
@@ -223,7 +325,7 @@ class Words(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.pending, self.table = [], np.zeros((0, len(self.model.labels)))
+        self.pending, self.table = [], np.zeros((0, self.model.weights.shape[1]))
 
     def __missing__(self, word: str) -> int:
         plain = normal(word)
@@ -249,7 +351,8 @@ def tag(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ids = [x[x >= 0] for x in ids]
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    marginal, _, _ = sweep(words.scored()[flat], counts[counts > 0], words.model.transition, words.model.start)
+    e = in_context(words.scored(), flat, counts[counts > 0], len(words.model.labels))
+    marginal, _, _ = sweep(e, counts[counts > 0], words.model.transition, words.model.start)
     return marginal, counts
 
 

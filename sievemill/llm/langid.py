@@ -4,8 +4,9 @@ Every blank-separated word with a letter is tagged by forward-backward with affi
 features and learned transitions, so a text may switch language; its marginals, summed over the text,
 give the text's language and score.
 
-Defined results: a null text and one without a letter give ``und`` with score 0; equal texts give equal
-rows; repeated rows stay; an empty table gives an empty result; other columns are ignored (or kept by
+Defined results: a null text and one without a letter give ``und`` with score 0; texts of any length are
+judged whole; of languages with the same mass the first by name wins; equal texts give equal rows;
+repeated rows stay; an empty table gives an empty result; other columns are ignored (or kept by
 :func:`filter_languages`).  A table without labelled rows makes every text ``und``.
 """
 
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_mod, hash_bucket, held, map_slices, table
+from .common import crc_mod, fitted, hash_bucket, held, map_slices, table, windows
 
 #: Bounds of the labelled sample that the model learns from.
-DOCS_PER_LANGUAGE, WORDS_PER_DOC, SNIPPET = 300, 120, 20
+DOCS_PER_LANGUAGE, SNIPPET = 300, 20
+#: A sampled document longer than so many stretches of so many characters is learned from at such hash-placed stretches.
+STRETCHES, STRETCH = 3, 300
 #: A word in so many of a language's sampled documents, and this share of all that have it, is in its lexicon.
 LEXICON_DOCS, LEXICON_SHARE = 5, 0.8
 HELD_OUT = (4, 2)
@@ -34,22 +37,25 @@ def learnable() -> Column:
     return F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1], F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each language with their labels, chosen by a hash of the id."""
+def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame | None:
+    """(lang, at, doc_id, text) of about ``per_language`` documents of each language or fewer, chosen by a hash of the id."""
     known = docs.where(learnable()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
-        return []
+        return None
     bucket = hash_bucket("doc_id")
     chance = F.lit(False)
     for lang, n in sizes.items():
         chance = chance | ((F.col("lang") == lang) & (bucket < min(1_000_000, 1 + int(1_500_000 * per_language / n))))
-    # Repeated ids share a bucket, so each id gives one text: the collected rows stay within about 1.5 times the bound.
-    rows = known.where(chance).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, 12 * WORDS_PER_DOC)).alias("text"), F.first(bucket).alias("at")).collect()
+    # Repeated ids share a bucket, so each id gives one text: the rows stay within about 1.5 times the bound.
+    part = windows("text", F.col("doc_id"), STRETCH, STRETCHES)
+    return known.where(chance).groupBy("doc_id", "lang").agg(F.min(part).alias("part"), F.first(bucket).alias("at")).select("lang", "at", "doc_id", "part")
+
+
+def _chosen(rows: list[tuple], per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
-    for lang in sorted(sizes):
-        own = sorted((r["at"], r["doc_id"], r["text"]) for r in rows if r["lang"] == lang)[:per_language]
-        out += [(lang, text) for _, _, text in own]
+    for lang in sorted({r[0] for r in rows}):
+        out += [(lang, text) for _, _, _, text in sorted(r for r in rows if r[0] == lang)[:per_language]]
     return out
 
 
@@ -59,7 +65,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> crf.Model | None:
     if not labels:
         return None
     number = {lang: i for i, lang in enumerate(labels)}
-    texts = [(number[lang], [w for w in map(crf.normal, text.split()) if w][:WORDS_PER_DOC]) for lang, text in rows]
+    texts = [(number[lang], [w for w in map(crf.normal, text.split()) if w]) for lang, text in rows]
     seen: dict[str, np.ndarray] = {}
     for y, words in texts:
         for w in set(words):
@@ -77,17 +83,21 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> crf.Model | None:
 
 
 def fit_documents(docs: DataFrame) -> crf.Model | None:
-    return train(sample(docs))
+    rows = sample(docs)
+    return None if rows is None else fitted(rows, lambda found: train(_chosen(found)))
 
 
-def _judge(words: crf.Words | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def _judge(words: crf.Words | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language, its mean marginal, and the mean of each word's largest marginal."""
     if words is None:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     marginal, counts = crf.tag(words, texts)
     mass = crf.by_text(marginal, counts)
     best = mass.argmax(1)
-    score = np.where(counts > 0, mass.max(1) / np.maximum(counts, 1), 0.0)
-    return [words.model.labels[b] if c else UNKNOWN for b, c in zip(best, counts, strict=True)], np.clip(score, 0.0, 1.0)
+    each = np.maximum(counts, 1)
+    score = np.where(counts > 0, mass.max(1) / each, 0.0)
+    sure = crf.by_text(marginal.max(1), counts) / each
+    return [words.model.labels[b] if c else UNKNOWN for b, c in zip(best, counts, strict=True)], np.clip(score, 0.0, 1.0), sure
 
 
 class Judge:
@@ -106,7 +116,7 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
     judge = Judge(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, score = _judge(judge.words(), batch.column("text").to_pylist())
+        langs, score, _ = _judge(judge.words(), batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out")
@@ -125,12 +135,16 @@ def word_tags(texts: list[str | None], model: crf.Model) -> list[list[tuple[str,
 
 
 def filter_languages(docs: DataFrame, model: crf.Model | None, min_score: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a learned language at ``min_score`` or more."""
+    """The rows, with all their columns, whose text has a letter and whose words are of learned languages.
+
+    A word's largest marginal says how surely it is of one; their mean must be ``min_score`` or more.  So a text
+    that switches between learned languages stays.
+    """
     judge = Judge(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, score = _judge(judge.words(), batch.column("text").to_pylist())
-        keep = [lang != UNKNOWN and s >= min_score for lang, s in zip(langs, score, strict=True)]
+        langs, _, sure = _judge(judge.words(), batch.column("text").to_pylist())
+        keep = [lang != UNKNOWN and s >= min_score for lang, s in zip(langs, sure, strict=True)]
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return map_slices(docs, run, docs.schema)

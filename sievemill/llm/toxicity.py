@@ -1,12 +1,15 @@
 """Toxicity of whole texts by a linear-chain conditional random field that tags toxic words.
 
-Token labels come from document labels: a word that labelled-toxic documents have beyond chance and hardly
-any other, or whose stem is such, is a toxic token.  A CRF with n-gram and affix features learns to tag such tokens in context;
-forward-backward marginals are aggregated per document, and a logistic curve maps them to a score.
-
-Defined results: null, empty and letterless texts are scored like texts without a toxic word; repeated
-rows stay; an empty table gives an empty result; without labels of both kinds every score is the share
-of toxic labels (0 if there are none); other columns are ignored (or kept by :func:`filter_toxic`).
+Token labels are learned from document labels.  Words and stems that labelled-toxic documents have beyond
+chance seed them; then the CRF, whose features are n-grams and affixes of a word and of its neighbours and
+no word list, is trained on what is known of the tags: a clean document has no toxic one, a toxic document
+has one at least (:func:`crf.fit_bags`).  Forward-backward marginals are aggregated per document, and a
+logistic curve maps them to a score.
+
+Defined results: null, empty and letterless texts are scored like texts without a toxic word; whole texts
+of any length are tagged; equal texts score alike; repeated rows stay; an empty table gives an empty
+result; without labels of both kinds every score is the share of toxic labels (0 if there are none);
+other columns are ignored (or kept by :func:`filter_toxic`).
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import crc_mod, hash_bucket, held, map_slices, table
+from .common import crc_mod, fitted, hash_bucket, held, map_slices, table, windows
 
 #: Labelled documents of each kind that the model learns from at most.
 DOCS_PER_KIND = 900
-#: Words of a sampled document that the tagger (not the score) learns from at most.
-WORDS_PER_DOC = 250
+#: A sampled document longer than so many stretches of so many characters is learned from at such hash-placed stretches.
+STRETCHES, STRETCH = 4, 1000
 #: A word or a stem of so many letters tells if so many toxic documents that nothing else explains have it, its odds
 #: are so high, and by chance no more than CHANCE of all that were looked at would do as well.
 LEAST_DOCS, STEM, LEAST_ODDS, CHANCE = 4, 4, 4.0, 1.0
@@ -39,12 +42,12 @@ class Model:
     base: float
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_kind: int = DOCS_PER_KIND) -> tuple[list[tuple[int, str]], float]:
-    """At most ``per_kind`` texts of each label, chosen by a hash of the id, and the share of toxic labels."""
+def sample(docs: DataFrame, labels: DataFrame, per_kind: int = DOCS_PER_KIND) -> tuple[DataFrame | None, float]:
+    """(toxic, id, text) of at most ``per_kind`` documents of each label, chosen by a hash of the id, and the share of toxic labels."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1], F.lit(False))).select(F.col("doc_id").alias("id"), "toxic")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes:
-        return [], 0.0
+        return None, 0.0
     bucket = hash_bucket("id")
     chance = F.lit(False)
     for toxic, n in sizes.items():
@@ -52,8 +55,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_kind: int = DOCS_PER_KIND) ->
     rows = known.where(chance).groupBy("id", "toxic").agg(F.first(bucket).alias("at")).collect()
     chosen = [r for toxic in sorted(sizes) for r in sorted((r for r in rows if r["toxic"] == toxic), key=lambda r: (r["at"], r["id"]))[:per_kind]]
     ids = docs.sparkSession.createDataFrame([(r["id"], r["toxic"]) for r in chosen], "id long, toxic int")
-    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id", "toxic").collect()
-    return [(r["toxic"], r["text"] or "") for r in picked], sizes.get(1, 0) / sum(sizes.values())
+    part = F.coalesce(windows("text", F.col("doc_id"), STRETCH, STRETCHES), F.lit(""))
+    picked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "toxic", part.alias("part")).groupBy("id", "toxic").agg(F.min("part").alias("part"))
+    return picked.select("toxic", "id", "part"), sizes.get(1, 0) / sum(sizes.values())
 
 
 def _summary(marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -118,11 +122,15 @@ def train(rows: list[tuple[int, str]], share: float) -> Model:
         return nothing
     texts = [(y, [w for w in map(crf.normal, t.split()) if w]) for y, t in rows]
     toxic = toxic_words([(y, set(words)) for y, words in texts])
-    sequences = [words[:WORDS_PER_DOC] for _, words in texts if words]
-    tags = [np.fromiter((w in toxic for w in words), np.int64, len(words)) for words in sequences]
-    tagger = crf.fit(sequences, tags, [0, 1], {w: 1 for w in toxic})
-    marginal, counts = crf.tag(crf.Words(tagger), [t for _, t in rows])
-    x, y = _summary(marginal, counts), np.array([k for k, _ in rows], float)
+    full = [(y, words) for y, words in texts if words]
+    sequences = [words for _, words in full]
+    seeds = [np.fromiter((y == 1 and w in toxic for w in words), np.int64, len(words)) for y, words in full]
+    if not any(y for y, _ in full) or all(y for y, _ in full):
+        return nothing
+    tagger = crf.fit_bags(sequences, np.array([y == 1 for y, _ in full]), seeds)
+    words, parts = crf.Words(tagger), [t for _, t in rows]
+    tagged = [_summary(*crf.tag(words, parts[i : i + 256])) for i in range(0, len(parts), 256)]
+    x, y = np.concatenate(tagged), np.array([k for k, _ in rows], float)
     weight = np.where(y == 1, share / kinds[1], (1 - share) / kinds[0]) * len(y)
     curve = np.zeros(x.shape[1])
     for _ in range(30):
@@ -133,7 +141,11 @@ def train(rows: list[tuple[int, str]], share: float) -> Model:
 
 
 def fit_tables(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(docs, labels))
+    rows, share = sample(docs, labels)
+    none = Model(None, np.zeros(4), share)
+    if rows is None:
+        return none
+    return fitted(rows, lambda found: train([(y, t) for y, _, t in sorted(found)], share)) or none
 
 
 class Judge:

@@ -334,9 +334,61 @@ def test_toxic_words_of_a_small_language():
     fill = lambda words: [draw.choice(words) for _ in range(30)]
     rows = [(1, " ".join([*fill(common), draw.choice(("idiot", "scum"))])) for _ in range(480)] + [(0, " ".join(fill(common))) for _ in range(480)]
     rows += [(1, " ".join([*fill(other), "bomente" + draw.choice(("bo", "co", "ga", "ja", "ra", "ta"))])) for _ in range(20)] + [(0, " ".join(fill(other))) for _ in range(20)]
-    toxic = set(toxicity.train(rows, 0.1).tagger.lexicon)
+    toxic = toxicity.toxic_words([(y, set(text.split())) for y, text in rows])
     planted = {w for _, text in rows for w in text.split() if w.startswith("bomente")} | {"idiot", "scum"}
     assert planted <= toxic and len(toxic - planted) <= 3
+    model = toxicity.train(rows, 0.1)
+    assert not model.tagger.lexicon
+    # a word of the stem that no document had
+    marginal, _ = crf.tag(crf.Words(model.tagger), [" ".join(other[:20]) + " bomentexi", " ".join(other[:21])])
+    assert marginal[20, 1] > 0.5 and np.delete(marginal[:, 1], 20).max() < 0.5
+
+
+def test_context_makes_a_word_toxic():
+    draw = random.Random(8)
+    common = [f"wo{draw.randrange(10**6)}" for _ in range(300)]
+    fill = lambda n: [draw.choice(common) for _ in range(n)]
+    rows = []
+    for _ in range(400):  # "pig" is toxic after "filthy", and not after "guinea"
+        rows.append((1, " ".join([*fill(12), "filthy", "pig", *fill(12)])))
+        rows.append((0, " ".join([*fill(12), "guinea", "pig", *fill(6), "filthy", "floor", *fill(6)])))
+    model = toxicity.train(rows, 0.5)
+    both = lambda a, b: crf.tag(crf.Words(model.tagger), [" ".join([*common[:8], a, b, *common[8:16]])])[0][8:10, 1]
+    assert both("filthy", "pig").max() > 0.5
+    assert both("guinea", "pig").max() < 0.5 and both("filthy", "floor").max() < 0.5
+
+
+def test_bag_gradient_is_of_the_likelihood():
+    draw = np.random.default_rng(3)
+    words = [[f"a{draw.integers(9)}" for _ in range(n)] for n in (3, 70, 1, 5)]
+    none = crf.fit_bags(words, np.array([True, False, True, False]), [np.zeros(len(w), int) for w in words], steps=0)
+    e = draw.normal(size=(79, 2))
+    counts = np.array([3, 70, 1, 5])
+    stay = np.empty(79)
+    crf.sweep(e, counts, none.transition, none.start, stay=stay)
+    at = 0
+    for n in counts:
+        forward = none.start + e[at]
+        zero = none.start[0] + e[at, 0]
+        for i in range(1, n):
+            forward = np.logaddexp.reduce(forward[:, None] + none.transition, 0) + e[at + i]
+            zero += none.transition[0, 0] + e[at + i, 0]
+        assert np.isclose(np.log(stay[at : at + n]).sum(), zero - np.logaddexp.reduce(forward))
+        at += n
+
+
+def test_training_takes_stretches_of_very_long_texts(spark):
+    long_ = " ".join(f"w{i}" for i in range(900_000))
+    rows = [(i, long_ + (" scum" * 400_000 if i % 2 else ""), "en") for i in range(1, 5)] + [(i, "some scum here" if i % 2 else "some words here", "en") for i in range(5, 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, _ = toxicity.sample(table, table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    sizes = [len(r["part"]) for r in found.collect()]
+    assert max(sizes) <= toxicity.STRETCHES * (toxicity.STRETCH + 1)
+    assert all(len(r["part"]) <= langid.STRETCHES * (langid.STRETCH + 1) for r in langid.sample(table).collect())
+    whole = spark.createDataFrame([(1, "a few words"), (2, None), (3, "")], "doc_id long, text string")
+    from sievemill.llm.common import windows
+
+    assert [r[0] for r in whole.orderBy("doc_id").select(windows("text", F.col("doc_id"), 100, 2)).collect()] == ["a few words", None, ""]
 
 
 def test_toxicity_by_language(spark):
