@@ -143,7 +143,7 @@ def windows(text: str, key: Column, chars: int, n: int) -> Column:
     for i in range(n):
         start = F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(size - chars + 1, F.lit(1))) + 1
         parts.append(F.regexp_replace(c.substr(start.cast("int"), F.lit(chars)), r"^\S+\s|\s\S+$", ""))
-    return F.when(size <= chars * n, c).otherwise(F.concat_ws(" ", *parts))
+    return F.when(c.isNull() | (size <= chars * n), c).otherwise(F.concat_ws(" ", *parts))
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[tuple]], object]):
