@@ -39,11 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             continue
 
@@ -63,7 +67,16 @@ def materialize(df: DataFrame) -> DataFrame:
     # what the finished step shuffled is no longer needed: lets the driver's cleaner find it
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+        _written.remove((df.sparkSession, df.written_to))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 1. Documents with the same set of shingles are one class (a 128-bit digest); classes carry on.
 2. Shingles are ordered by how common they are (a counting sketch of fixed size over all documents,
-   then their hash): any order that all documents share keeps the join exact.  Two sets as similar as
-   asked for share a shingle in their prefixes, the first ``n - ceil(t * n) + 1`` of each.
-3. Classes with the same prefix and size are collapsed into one group, which takes one place in the
-   posting lists.  Lists with one place are dropped.
-4. Groups are expanded to their classes.  First each list's members meet the list's heaviest class, so
-   that clusters become connected with few pairs; then members of different components meet wherever
-   they share a list.  Pairs are filtered by size and by histograms of their shingles (a bound), and what
-   is left is verified on the full sets; pairs within a component would add no connection.
-5. Verified links are joined into components by hooking and pointer jumping.
+   then their hash).  Any order that all documents share keeps the join exact; where the sketch is full,
+   only the commonest shingles are told apart, which steps 3 and 4 bear.
+3. A set's prefix are its first ``L + l - 1`` shingles, where ``L = n - ceil(t * n) + 1`` and ``l`` is L or, if
+   less, ``ceil(t * n)``.  Two sets as similar as asked for have the lesser ``l`` of both in common within their
+   prefixes, and one at least within the first ``L``.  Classes with the same prefix and size are collapsed into
+   one group.  A group stays if so many of its prefix shingles as its least similar partner must have in common
+   with it stand in another group's prefix too, or if it has several members.
+4. Group pairs: first each list of the first ``L`` shingles pairs its heaviest group with the others, so that
+   clusters become connected with few pairs; then groups of different components meet wherever they share
+   a list.  Pairs are filtered by size, by position and by the number of common prefix shingles.
+5. What is left is expanded to members: a representative of one group against all of the other, and members
+   against members only where components still differ.  They are verified on the full sets; pairs within a
+   component would add no connection.
+6. Verified links are joined into components by hooking and pointer jumping.
 
 Defined results: a text with fewer than n words is one shingle, all its words; null and wordless texts
-have an empty set and link with nothing; repeated rows link with each other; a component's id is its
-smallest doc_id; rows without a doc_id get the id of what they link with, else null; an empty table gives
-an empty result; other columns are ignored (or kept by :func:`keep_one`).
+have an empty set and link with nothing; texts of any length count whole; repeated rows link with each other;
+a component's id is its smallest doc_id; rows without a doc_id get the id of what they link with, else null;
+an empty table gives an empty result; other columns are ignored (or kept by :func:`keep_one`).
 """
 
 from __future__ import annotations
@@ -31,16 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialize, partitions, slices, table
+from .common import discard, fresh, map_arrow, materialize, partitions, slices, table
 
 #: Near-duplicate stages take five words and a similarity of 0.8.
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Counters of the sketch of common shingles and of a block of it; the sketch is what is broadcast (bytes).
 CELLS, CELL_BLOCK = 1 << 24, 1 << 19
-#: Bits of the filter that finds classes to verify.  It only spares work: what passes is joined exactly.
-FILTER_BITS = 1 << 23
-#: Bins of a class's histogram of shingles.
-BINS, FULL = 128, 15
+#: Least and most bits of the filter that finds classes to verify, by their number.  It only spares work: what
+#: passes is joined exactly.
+FILTER_BITS = 1 << 20, 1 << 27
 #: Places of a list that are held at a time; longer lists are dealt into blocks that meet two by two.
 LIST_ROWS = 20_000
 #: Long lists up to which their table, of two numbers each, is broadcast.
@@ -50,6 +54,8 @@ BROADCAST_LISTS = 100_000
 OWNER_BITS = 10
 #: Bytes of a shingle's hash that are compared: two sets of 500 differ by chance once in 10^9 pairs.
 SET_BYTES = 6
+#: The sketch's level of a shingle that was counted once.
+_ALONE = 8
 _HASH = np.uint64((1 << (64 - OWNER_BITS)) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -182,34 +188,31 @@ def _sketch(first: DataFrame) -> np.ndarray:
 
 
 def _prefix_length(size: int, t: Fraction) -> int:
+    """L: two similar sets have a shingle in common within so many first ones."""
     return size - math.ceil(t * size) + 1 if size else 0
 
 
-def _least_common(a, b, t: Fraction):
-    """Shingles that sets of these sizes have in common at least if they are as similar as ``t``."""
-    return -(-(t.numerator * (a + b)) // (t.numerator + t.denominator))
+def _common(size: int, t: Fraction) -> int:
+    """l: so many they have in common within the prefix."""
+    return min(_prefix_length(size, t), math.ceil(t * size))
 
 
-def _histogram(hashed: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """How many shingles of each text fall in each of BINS bins, at most 15, two to a byte: a bound on what two sets share."""
-    bins = ((hashed >> np.uint64(24)) & np.uint64(BINS - 1)).astype(np.int64)
-    counts = np.minimum(FULL, np.bincount(owner * BINS + bins, minlength=rows * BINS)).astype(np.uint8).reshape(rows, BINS)
-    return counts[:, ::2] | counts[:, 1::2] << 4
+def _sql_common(size: str, t: Fraction) -> str:
+    """The same as an SQL expression."""
+    least = f"(({t.numerator} * {size} + {t.denominator - 1}) div {t.denominator})"
+    return f"least({size} - {least} + 1, {least})"
 
 
-def _bins(data: list[bytes]) -> np.ndarray:
-    packed = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), BINS // 2)
-    return np.concatenate([packed & 15, packed >> 4], 1)
-
-
-_SECOND = "kind int, key long, group long, size long, place int, digest binary, histogram binary"
+#: size and place of a posting in one number; a member's is its size, negative.
+_PLACE_BITS = 24
+_SECOND = "key long, group long, meta long, digest binary"
 
 
 def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> DataFrame:
-    """Postings (kind 0: key is a prefix shingle) of groups, and members (kind 1: key is the group) with their class.
+    """Postings (key is a prefix shingle) of groups, and members (key is the group) with their class.
 
-    A group's number is a hash of prefix and size; should two groups fall together, their members are
-    verified as those of one.
+    Shingles of which the sketch says that one document alone has them are not posted.  A group's number is a
+    hash of prefix and size; should two groups fall together, their members are verified as those of one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -226,9 +229,9 @@ def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> Da
                 owner = np.repeat(np.arange(len(counts)), counts)
                 level = sent.value[(hashed & np.uint64(CELLS - 1)).astype(np.int64)]
                 order = np.argsort((owner.astype(np.uint64) << np.uint64(54)) | (level.astype(np.uint64) << np.uint64(46)) | (hashed >> np.uint64(8)))
-                ranked = hashed[order]
+                ranked, alone = hashed[order], level[order] <= _ALONE
                 begin = np.cumsum(counts) - counts
-                length = np.array([_prefix_length(c, t) for c in counts.tolist()])
+                length = np.array([_prefix_length(c, t) + _common(c, t) - 1 if c else 0 for c in counts.tolist()])
                 place = np.arange(len(ranked)) - np.repeat(begin, counts)
                 prefix = place < np.repeat(length, counts)
                 full = np.flatnonzero(counts)
@@ -245,78 +248,115 @@ def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> Da
                         if (g := int(group[r])) not in groups:
                             groups.add(g)
                             posted[r] = True
-                rows = np.repeat(posted, counts) & prefix
-                own = owner[rows]
-                found = np.flatnonzero(new)
+                rows = np.repeat(posted, counts) & prefix & ~alone
+                own, found = owner[rows], np.flatnonzero(new)
                 if len(found):
-                    histogram = _histogram(hashed, owner, len(counts))
-                    k = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat([0, 1], [k, len(found)]).astype(np.int32)),
-                            pa.array(np.concatenate([ranked[rows].view(np.int64), group[found]])),
-                            pa.array(np.concatenate([group[own], group[found]])),
-                            pa.array(np.concatenate([counts[own], counts[found]])),
-                            pa.array(np.concatenate([place[rows], np.zeros(len(found), np.int64)]).astype(np.int32)),
-                            pa.array([None] * k + [digest[r] for r in found.tolist()], pa.binary()),
-                            pa.array([None] * k + [histogram[r].tobytes() for r in found.tolist()], pa.binary()),
-                        ],
-                        ["kind", "key", "group", "size", "place", "digest", "histogram"],
-                    )
+                    meta = np.concatenate([(counts[own] << _PLACE_BITS) | np.minimum(place[rows], (1 << _PLACE_BITS) - 1), -counts[found]])
+                    names = pa.array([None] * len(own) + [digest[r] for r in found.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ranked[rows].view(np.int64), group[found]])), pa.array(np.concatenate([group[own], group[found]])), pa.array(meta), names], ["key", "group", "meta", "digest"])
 
     return map_arrow(docs.select("text"), run, _SECOND)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Postings whose shingle more than one group has, each group once; members as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+    """Postings whose shingle more than one group has, each group once; members as they are.
 
-        def settle(table: pa.Table) -> list[pa.RecordBatch]:
-            kind, key, group = (table.column(c).to_numpy() for c in ("kind", "key", "group"))
-            same = np.concatenate([[False], (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])])
-            again = same & np.concatenate([[False], group[1:] == group[:-1]])
-            run_ = np.cumsum(~same) - 1
-            groups = np.bincount(run_, ~again)
-            return table.filter(pa.array((kind == 1) | (~again & (groups[run_] > 1)))).to_batches()
+    A task holds a batch and one row of the list before it, however long lists are.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        joined = False  # whether the last row's shingle has had another group
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if held is None else pa.concat_tables([held, now])
-            key, kind = now.column("key").to_numpy(), now.column("kind").to_numpy()
-            # the last key may go on in the next batch
-            cut = int(np.flatnonzero((key != key[-1]) | (kind != kind[-1]))[-1]) + 1 if ((key != key[-1]) | (kind != kind[-1])).any() else 0
-            yield from settle(now.slice(0, cut)) if cut else []
-            held = now.slice(cut)
-        if held is not None and held.num_rows:
-            yield from settle(held)
+            meta = batch.column("meta").to_numpy()
+            if (meta < 0).any():
+                yield batch.filter(pa.array(meta < 0))
+                batch = batch.filter(pa.array(meta >= 0))
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            key, group = now.column("key").to_numpy(), now.column("group").to_numpy()
+            fresh_ = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+            now, key = now.filter(pa.array(fresh_)), key[fresh_]
+            same = key[1:] == key[:-1]
+            before, after = np.concatenate([[joined], same]), np.concatenate([same, [False]])
+            before[0] = joined and last is not None
+            yield from now.slice(0, len(key) - 1).filter(pa.array((before | after)[:-1])).to_batches()
+            last, joined = now.slice(len(key) - 1).to_batches()[0], bool(before[-1])
+        if last is not None and joined:
+            yield last
 
     n = partitions(rows.sparkSession)
-    return map_arrow(rows.repartition(n, "key").sortWithinPartitions("kind", "key", "group"), run, _SECOND)
+    return map_arrow(rows.repartition(n, "key").sortWithinPartitions("key", "group"), run, _SECOND)
+
+
+def _sized(pair: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs whose sizes allow the similarity, each once."""
+    alike = F.least("x_size", "y_size") * t.denominator >= F.greatest("x_size", "y_size") * t.numerator
+    return pair.where(alike & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _hub_pairs(posted: DataFrame, t: Fraction) -> DataFrame:
+    """Each group with the heaviest one (with most shared shingles) of each of its lists: pairs in proportion to the lists."""
+    hubs = posted.groupBy("token").agg(F.max(F.struct("weight", "group", "size")).alias("hub")).select(F.col("token").alias("hub_token"), F.col("hub.group").alias("x"), F.col("hub.size").alias("x_size"))
+    met = posted.join(hubs, F.col("token") == F.col("hub_token"))
+    return _sized(met.select("x", "x_size", F.col("group").alias("y"), F.col("size").alias("y_size")), t)
 
 
-_LISTED = ["token", "lo", "hi", "block", "digest", "size", "histogram", "before", "label"]
-_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _filtered(pairs: DataFrame, groups: DataFrame, t: Fraction) -> DataFrame:
+    """Those of distinct group pairs (x, y) that have as many prefix shingles in common as they must."""
+    side = lambda key: groups.select(F.col("group").alias(key), F.col("tokens").alias(f"{key}_tokens"), F.expr(_sql_common("size", t)).alias(f"{key}_common"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
+    return met.where(F.size(F.array_intersect("x_tokens", "y_tokens")) >= F.least("x_common", "y_common")).select("x", "y")
 
 
-def _lists(classes: DataFrame, most: int = LIST_ROWS) -> DataFrame:
-    """Postings of classes by their ``tokens``; a list longer than ``most`` is dealt into blocks that meet two by two."""
-    counts = classes.select(F.explode("tokens").alias("long_token")).groupBy("long_token").count()
+_LISTED = ["token", "lo", "hi", "block", "group", "size", "place", "label", "other"]
+
+
+def _lists(posted: DataFrame, most: int = LIST_ROWS) -> DataFrame:
+    """Postings by list; a list longer than ``most`` is dealt into blocks that meet two by two."""
+    counts = posted.groupBy(F.col("token").alias("long_token")).count()
     long_ = materialize(counts.where(F.col("count") > most).select("long_token", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     few = long_.count()
-    posted = classes.select("digest", "size", "histogram", "label", "tokens", F.posexplode("tokens").alias("nth", "token"))
-    posted = posted.withColumn("before", F.slice("tokens", F.lit(1), F.col("nth")))
     if few:
         met = posted.join(F.broadcast(long_) if few <= BROADCAST_LISTS else long_, F.col("token") == F.col("long_token"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
         met = posted.withColumn("blocks", F.lit(1))
-    met = met.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*_LISTED)
-
-
-def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
-    """Applies ``pairs_of`` to each whole list; gives pairs of classes."""
+    met = met.withColumn("block", F.pmod(F.xxhash64("group"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumn("lo", F.least("block", "meets")).withColumn("hi", F.greatest("block", "meets")).select(*_LISTED)
+
+
+def _cross_pairs(part: pa.Table, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Group pairs of a list that are of different components and, by size and place, could be similar."""
+    columns = {c: part.column(c).to_numpy() for c in ("group", "size", "place", "label", "other", "block")}
+    order = np.argsort(columns["size"], kind="stable")
+    group, size, place, label, other, block = (columns[c][order] for c in ("group", "size", "place", "label", "other", "block"))
+    split = part.column("lo")[0].as_py() != part.column("hi")[0].as_py()
+    # sizes ascend, so that those within the similarity of a set stand in one stretch after it
+    stop = np.searchsorted(size, size * t.denominator // t.numerator, "right")
+    room = size - place
+    xs, ys = [], []
+    for i in range(len(size) - 1):
+        js = np.arange(i + 1, stop[i])
+        if not len(js):
+            continue
+        # a group of several components differs from all
+        fit = (label[js] != label[i]) | (other[js] != other[i]) | (label[i] != other[i])
+        if split:
+            fit &= block[js] != block[i]
+        need = -(-(t.numerator * (size[i] + size[js])) // (t.numerator + t.denominator))
+        fit &= np.minimum(room[i], room[js]) >= need
+        js = js[fit]
+        if len(js):
+            xs.append(np.full(len(js), group[i]))
+            ys.append(group[js])
+    none = np.zeros(0, np.int64)
+    x, y = np.concatenate([none, *xs]), np.concatenate([none, *ys])
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _in_lists(lists: DataFrame, t: Fraction) -> DataFrame:
+    """Group pairs (x, y) of each whole list, each at least in the list of its first common shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -324,19 +364,11 @@ def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key = np.stack([table.column(c).to_numpy() for c in ("token", "lo", "hi")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            a, b = [], []
             for lo, hi in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
                 if hi - lo > 1:
-                    part = table.slice(lo, hi - lo)
-                    digest = part.column("digest").to_pylist()
-                    for i, j in pairs_of(part, t):
-                        x, y = digest[i], digest[j]
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-                    if len(a) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_PAIR)
-                        a, b = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_PAIR)
+                    x, y = _cross_pairs(table.slice(lo, hi - lo), t)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -352,83 +384,11 @@ def _in_lists(lists: DataFrame, t: Fraction, pairs_of) -> DataFrame:
 
     n = partitions(lists.sparkSession)
     ordered = lists.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return map_arrow(ordered, run, "a binary, b binary")
-
-
-def _allowed(x: np.ndarray, y: np.ndarray, x_size, y_size, t: Fraction) -> np.ndarray:
-    """Whether sets with these histograms and sizes can be as similar as ``t``."""
-    common = np.minimum(x, y).sum(1, dtype=np.int64)
-    # bins that are full may hold more
-    common += ((x == FULL) & (y == FULL)).sum(1) * (1 << 40)
-    return common >= _least_common(x_size, y_size, t)
-
-
-class _List:
-    """A list's columns as arrays."""
-
-    def __init__(self, part: pa.Table):
-        self.size = part.column("size").to_numpy()
-        self.histogram = _bins(part.column("histogram").to_pylist())
-
-    def close(self, i: int, js: np.ndarray, t: Fraction) -> np.ndarray:
-        """Those of ``js`` whose sizes and histograms allow the similarity to ``i``."""
-        least, most = np.minimum(self.size[i], self.size[js]), np.maximum(self.size[i], self.size[js])
-        js = js[least * t.denominator >= most * t.numerator]
-        for at in range(0, len(js), 4096):
-            part = js[at : at + 4096]
-            yield part[_allowed(self.histogram[i][None], self.histogram[part], self.size[i], self.size[part], t)]
-
-
-def _cross_pairs(part: pa.Table, t: Fraction) -> Iterator[tuple[int, int]]:
-    """All pairs of different components that could be similar, in the list of their first common shingle."""
-    labels = part.column("label").to_numpy()
-    if (labels == labels[0]).all():
-        return
-    rows = _List(part)
-    lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
-    block = part.column("block").to_numpy()
-    before = part.column("before").combine_chunks()
-    bound, tokens = before.offsets.to_numpy(), before.values.to_numpy()
-    earlier = lambda k: tokens[bound[k] : bound[k + 1]]
-    n = len(labels)
-    for i in range(n - 1):
-        js = np.arange(i + 1, n)
-        js = js[labels[js] != labels[i]]
-        if lo != hi:
-            js = js[block[js] != block[i]]
-        for part_ in rows.close(i, js, t):
-            own = set(earlier(i).tolist())
-            for j in part_.tolist():
-                if own.isdisjoint(earlier(j).tolist()):
-                    yield i, j
-
-
-def _could_match(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """Those of distinct pairs (a, b) whose histograms allow the similarity."""
-    side = lambda key, x: classes.select(F.col("digest").alias(key), F.col("size").alias(f"{x}_size"), F.col("histogram").alias(f"{x}_bins"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (_bins(batch.column(c).to_pylist()) for c in ("a_bins", "b_bins"))
-            sizes = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(_allowed(x, y, *sizes, t)))
+    return map_arrow(ordered, run, "x long, y long").distinct()
 
-    return map_arrow(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins"), run, "a binary, b binary")
 
-
-def _hub_pairs(classes: DataFrame, t: Fraction) -> DataFrame:
-    """Each class with the heaviest one (in most lists) of each of its lists: pairs in proportion to the lists."""
-    posted = classes.select("digest", "size", "weight", F.explode("tokens").alias("token"))
-    hubs = posted.groupBy("token").agg(F.max(F.struct("weight", "digest", "size")).alias("hub")).select(F.col("token").alias("hub_token"), F.col("hub.digest").alias("a"), F.col("hub.size").alias("hub_size"))
-    met = posted.join(hubs, F.col("token") == F.col("hub_token")).where(F.col("a") != F.col("digest"))
-    alike = F.least("size", "hub_size") * t.denominator >= F.greatest("size", "hub_size") * t.numerator
-    return met.where(alike).select("a", F.col("digest").alias("b")).distinct()
-
-
-def _verify(docs: DataFrame, n: int, pairs: DataFrame, t: Fraction) -> DataFrame:
-    """Of a materialized table of pairs those whose sets are as similar as asked for, compared in full."""
-    left = _sets(docs, n, pairs.select(F.col("a").alias("digest"))).select(F.col("digest").alias("a"), F.col("hashes").alias("x"))
-    right = _sets(docs, n, pairs.select(F.col("b").alias("digest"))).select(F.col("digest").alias("b"), F.col("hashes").alias("y"))
+def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Those of distinct pairs (a, b) of classes whose sets are as similar as asked for, compared in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -440,7 +400,8 @@ def _verify(docs: DataFrame, n: int, pairs: DataFrame, t: Fraction) -> DataFrame
                 keep.append(t.denominator * common >= t.numerator * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a binary, b binary")
+    side = lambda key, x: sets.select(F.col("digest").alias(key), F.col("hashes").alias(x))
+    return map_arrow(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def _packed(hashed: np.ndarray) -> bytes:
@@ -456,9 +417,11 @@ def _unpacked(data) -> np.ndarray:
 
 def _sets(docs: DataFrame, n: int, digests: DataFrame) -> DataFrame:
     """digest, hashes of the classes in ``digests`` and of few others, in one shuffle by digest."""
-    slot = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long") % FILTER_BITS
+    least, most = FILTER_BITS
+    n_bits = min(most, max(least, 1 << (16 * digests.count()).bit_length()))
+    slot = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % n_bits
     words = digests.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(n_bits // 64, np.uint64)
     for row in words:
         bits[row["word"]] = np.uint64(row["bits"] & (2**64 - 1))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -475,7 +438,7 @@ def _sets(docs: DataFrame, n: int, digests: DataFrame) -> DataFrame:
                 for r, d in enumerate(_digests(hashed, counts)):
                     if d is None or d in met:
                         continue
-                    at = int.from_bytes(d[:3], "big") % FILTER_BITS
+                    at = int.from_bytes(d[:4], "big") % n_bits
                     if int(sent.value[at // 64]) >> (at % 64) & 1:
                         met.add(d)
                         keys.append(d)
@@ -491,7 +454,7 @@ def components(links: DataFrame) -> DataFrame:
     sign = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     last = None
     while (now := sign(edges)) != last and now[0]:
-        last = now
+        last, old = now, edges
         # hooking: each node's larger neighbours to its least; then its smaller ones
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -500,37 +463,76 @@ def components(links: DataFrame) -> DataFrame:
         hooked = large.join(least, "u")
         small = hooked.select("u", F.col("m").alias("v")).unionByName(hooked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = materialize(small.where("u != v").distinct())
+        discard(large, old)
     roots = edges.groupBy("u").agg(F.min("v").alias("label"))
     return roots.select(F.col("u").alias("node"), "label").unionByName(roots.select(F.col("label").alias("node"), "label").distinct())
 
 
+def _labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Classes with the component they are in, which is their own digest where they link with nothing."""
+    return classes.join(joined, F.col("digest") == F.col("node"), "left").select(*classes.columns, F.coalesce("label", "digest").alias("label"))
+
+
+def _pairs(left, right) -> list:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
 def join(docs: DataFrame, n: int = WORDS, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n_shingles, digest), and (node, label) of classes that link with another one."""
+    t = similarity
     first = materialize(_first_pass(docs, n))
     rows = first.where(F.col("block").isNull()).select("doc_id", "text_hash", "n_shingles", "digest")
-    second = materialize(_shared(_second_pass(docs, n, similarity, _sketch(first))))
-    members = second.where("kind = 1").select("group", "digest", "size", "histogram").dropDuplicates(["digest"])
-    crowded = members.groupBy("group").count().where("count > 1").select("group")
-    # members of a group share its whole prefix; a list of their own stands for it
-    own = crowded.select(F.col("group").alias("key"), "group", F.lit(-1).alias("place"))
-    postings = second.where("kind = 0").select("key", "group", "place").unionByName(own)
-    by_group = postings.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("tokens"))
-    classes = materialize(members.join(by_group, "group").select("digest", "size", "histogram", "tokens", F.size("tokens").alias("weight")))
-    links = materialize(_verify(docs, n, materialize(_could_match(_hub_pairs(classes, similarity), classes, similarity)), similarity))
-    joined = materialize(components(links))
-    labelled = classes.join(joined, F.col("digest") == F.col("node"), "left").select(*classes.columns, F.coalesce("label", "digest").alias("label"))
-    # classes of one component need no more links; those of different ones meet wherever they share a list
-    posted = labelled.select("digest", "label", F.posexplode("tokens").alias("nth", "token"))
-    mixed = posted.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select(F.col("token").alias("mixed"))
-    still = posted.join(mixed, F.col("token") == F.col("mixed"), "left_semi").groupBy(F.col("digest").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "token"))), lambda x: x["token"]).alias("open"))
-    open_ = materialize(labelled.join(still, F.col("digest") == F.col("class")).select("digest", "size", "histogram", F.xxhash64("label").alias("label"), F.col("open").alias("tokens")))
-    cross = materialize(_in_lists(_lists(open_), similarity, _cross_pairs))
-    if cross.isEmpty():
-        return rows, joined
-    more = materialize(_verify(docs, n, cross, similarity))
-    if more.isEmpty():
-        return rows, joined
-    return rows, materialize(components(links.unionByName(more)))
+    second = materialize(_shared(_second_pass(docs, n, t, _sketch(first))))
+    members = second.where("meta < 0").select("group", "digest").dropDuplicates(["digest"])
+    place = F.expr(f"meta & {(1 << _PLACE_BITS) - 1}")
+    token = F.struct(place.alias("place"), F.col("key").alias("token"))
+    by_group = second.where("meta >= 0").groupBy("group").agg(F.first(F.shiftrightunsigned("meta", _PLACE_BITS)).alias("size"), F.collect_list(token).alias("listed"))
+    # the smallest partner that a set can have decides how many shingles it must have in common
+    smallest = f"(({t.numerator} * size + {t.denominator - 1}) div {t.denominator})"
+    groups = materialize(by_group.where(F.size("listed") >= F.expr(_sql_common(smallest, t))).select("group", "size", "listed", F.col("listed.token").alias("tokens")))
+    named = members.groupBy("group").agg(F.min("digest").alias("rep"), F.count("*").alias("n_members"))
+    kept = named.join(groups.select(F.col("group").alias("paired")), F.col("group") == F.col("paired"), "left").where("paired is not null or n_members > 1").drop("paired")
+    classes = materialize(members.join(kept, "group").select("group", "digest", "rep", "n_members"))
+    discard(second)
+    sets = materialize(_sets(docs, n, classes.select("digest")))
+    reps = classes.where(F.col("digest") == F.col("rep")).select("group", "rep", "n_members")
+    first_l = F.expr(f"size - (({t.numerator} * size + {t.denominator - 1}) div {t.denominator}) + 1")
+    posted = groups.select("group", "size", F.size("listed").alias("weight"), F.explode("listed").alias("at")).where(F.col("at.place") < first_l).select("group", "size", "weight", F.col("at.place").alias("place"), F.col("at.token").alias("token"))
+    # a representative of each group of a pair; and of each group with its other members
+    hub = materialize(_filtered(_hub_pairs(posted, t), groups, t))
+    side = lambda key: reps.select(F.col("group").alias(key), F.col("rep").alias(f"{key}_rep"), F.col("n_members").alias(f"{key}_n"))
+    between = hub.join(side("x"), "x").join(side("y"), "y").select(*_pairs("x_rep", "y_rep"))
+    within = classes.where(F.col("digest") != F.col("rep")).select(*_pairs("digest", "rep"))
+    links = [materialize(_verify(between.unionByName(within).distinct(), sets, t))]
+    joined = materialize(components(links[0]))
+    # groups of one component need no more links; others meet wherever they share a list
+    labelled = materialize(_labels(classes, joined))
+    spread = labelled.groupBy("group").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    met = posted.join(spread, "group")
+    mixed = met.groupBy("token").agg(F.min("label").alias("one"), F.max("other").alias("two")).where("one != two").select(F.col("token").alias("mixed"))
+    open_ = materialize(met.join(mixed, F.col("token") == F.col("mixed"), "left_semi").select("token", "group", "size", "place", F.xxhash64("label").alias("label"), F.xxhash64("other").alias("other")))
+    cross = materialize(_filtered(_in_lists(_lists(open_), t), groups, t))
+    of = lambda key: labelled.select(F.col("group").alias(key), F.col("digest").alias(f"{key}_digest"), F.col("label").alias(f"{key}_label"), (F.col("digest") == F.col("rep")).alias(f"{key}_is_rep"))
+    if not cross.isEmpty():
+        star = cross.join(of("x"), "x").join(of("y").where("y_is_rep"), "y").unionByName(cross.join(of("x").where("x_is_rep"), "x").join(of("y"), "y"), allowMissingColumns=True)
+        links.append(materialize(_verify(star.where("x_label != y_label").select(*_pairs("x_digest", "y_digest")).distinct(), sets, t)))
+        if not links[-1].isEmpty():
+            joined = materialize(components(links[0].unionByName(links[1])))
+            labelled = materialize(_labels(classes, joined))
+    # what is still apart: members besides the representatives, of a pair of groups and within a group
+    apart = cross.join(of("x").where("not x_is_rep"), "x").join(of("y").where("not y_is_rep"), "y").where("x_label != y_label").select(*_pairs("x_digest", "y_digest"))
+    several = labelled.groupBy("group").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one != two").select("group")
+    inner = several.select(F.col("group").alias("x")).join(of("x").where("not x_is_rep"), "x").join(of("y").where("not y_is_rep"), F.col("x") == F.col("y")).where("x_label != y_label and x_digest < y_digest").select(*_pairs("x_digest", "y_digest"))
+    rest = materialize(apart.unionByName(inner).distinct())
+    if not rest.isEmpty():
+        links.append(materialize(_verify(rest, sets, t)))
+        if not links[-1].isEmpty():
+            every = links[0]
+            for more in links[1:]:
+                every = every.unionByName(more)
+            joined = materialize(components(every))
+    discard(sets, groups, classes, hub, open_, cross, labelled, *links)
+    return rows, joined
 
 
 def _labelled(rows: DataFrame, joined: DataFrame) -> DataFrame:

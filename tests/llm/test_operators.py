@@ -444,13 +444,64 @@ def test_near_duplicates(spark, odd, none, docs, n, t):
     assert kept.where("text is null or trim(text) = ''").count() == wordless and kept.count() <= odd.count() and linked
 
 
-def test_long_lists_meet_by_blocks(docs):
-    classes = docs.select(F.col("text").cast("binary").alias("digest")).limit(30).distinct().withColumn("tokens", F.array(F.lit(5).cast("long"))).withColumn("size", F.lit(3).cast("long"))
-    classes = classes.withColumn("histogram", F.lit(bytes(ngramjoin.BINS // 2))).withColumn("label", F.xxhash64("digest"))
-    one = ngramjoin._in_lists(ngramjoin._lists(classes), Fraction(0), ngramjoin._cross_pairs)
-    many = ngramjoin._in_lists(ngramjoin._lists(classes, most=4), Fraction(0), ngramjoin._cross_pairs)
-    n = classes.count()
-    assert one.distinct().count() == many.distinct().count() == many.count() == n * (n - 1) // 2
+def test_long_lists_meet_by_blocks(spark):
+    rows = spark.range(30).select(F.lit(5).cast("long").alias("token"), F.col("id").alias("group"), F.lit(3).cast("long").alias("size"), F.lit(0).cast("long").alias("place"), F.col("id").alias("label"), F.col("id").alias("other"))
+    one = ngramjoin._in_lists(ngramjoin._lists(rows), Fraction(1, 100))
+    many = ngramjoin._in_lists(ngramjoin._lists(rows, most=4), Fraction(1, 100))
+    assert one.count() == many.count() == 30 * 29 // 2
+
+
+def test_shared_postings_over_batches(spark):
+    draw = random.Random(4)
+    rows = [(draw.randrange(40), draw.randrange(30), 1 << ngramjoin._PLACE_BITS, None) for _ in range(300)] + [(7, 9, -3, b"m")] * 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ngramjoin._shared(spark.createDataFrame(rows, ngramjoin._SECOND)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for k, g, m, _ in rows:
+        if m >= 0:
+            groups.setdefault(k, set()).add(g)
+    assert sorted((r["key"], r["group"]) for r in got if r["meta"] >= 0) == sorted((k, g) for k, gs in groups.items() if len(gs) > 1 for g in gs)
+    assert sum(r["meta"] < 0 for r in got) == 2
+
+
+def test_groups_are_paired_before_members(spark, monkeypatch):
+    """80 near copies whose rarest shingles agree are one group, so one pair of groups stands for all their pairs."""
+    draw = random.Random(11)
+    hubs = []
+    made = ngramjoin._filtered
+    monkeypatch.setattr(ngramjoin, "_filtered", lambda pairs, groups, t: (hubs.append((pairs.count(), groups.count())), made(pairs, groups, t))[1])
+    rare = [f"r{draw.randrange(10**6)}" for _ in range(120)]
+    common = [f"c{draw.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(common)) for i in range(1000, 1300)]
+    for i in range(80):
+        tail = list(common)
+        tail[draw.randrange(50)] = common[draw.randrange(60)]
+        rows.append((i, " ".join(rare + tail)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngramjoin.near_duplicates(table, 3, Fraction(4, 5))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_components(rows, 3, Fraction(4, 5))
+    assert hubs[0][0] < 80
+
+
+def test_prefixes_share_enough():
+    draw = random.Random(13)
+    for t in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 2), Fraction(1, 3)):
+        for _ in range(3000):
+            base = draw.sample(range(400), draw.randrange(1, 60))
+            x, y = set(base), set(base)
+            for s in (x, y):
+                for _ in range(draw.randrange(0, 9)):
+                    s.symmetric_difference_update({draw.randrange(400)})
+            if not x or not y or len(x & y) < t * len(x | y):
+                continue
+            n = [ngramjoin._prefix_length(len(s), t) for s in (x, y)]
+            k = [ngramjoin._common(len(s), t) for s in (x, y)]
+            assert set(sorted(x)[: n[0]]) & set(sorted(y)[: n[1]])
+            both = set(sorted(x)[: n[0] + k[0] - 1]) & set(sorted(y)[: n[1] + k[1] - 1])
+            assert len(both) >= min(k) and min(k) >= ngramjoin._common(-(-t.numerator * len(x) // t.denominator), t)
 
 
 def test_full_store_starts_anew(monkeypatch):
