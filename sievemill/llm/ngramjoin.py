@@ -41,7 +41,7 @@ from .common import discard, fresh, map_arrow, materialize, partitions, slices,
 #: Near-duplicate stages take five words and a similarity of 0.8.
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Counters of the sketch of common shingles and of a block of it; the sketch is what is broadcast (bytes).
-CELLS, CELL_BLOCK = 1 << 24, 1 << 19
+CELLS, CELL_BLOCK = 1 << 20, 1 << 15
 #: Least and most bits of the filter that finds classes to verify, by their number.  It only spares work: what
 #: passes is joined exactly.
 FILTER_BITS = 1 << 20, 1 << 27
@@ -54,8 +54,6 @@ BROADCAST_LISTS = 100_000
 OWNER_BITS = 10
 #: Bytes of a shingle's hash that are compared: two sets of 500 differ by chance once in 10^9 pairs.
 SET_BYTES = 6
-#: The sketch's level of a shingle that was counted once.
-_ALONE = 8
 _HASH = np.uint64((1 << (64 - OWNER_BITS)) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -211,8 +209,8 @@ _SECOND = "key long, group long, meta long, digest binary"
 def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> DataFrame:
     """Postings (key is a prefix shingle) of groups, and members (key is the group) with their class.
 
-    Shingles of which the sketch says that one document alone has them are not posted.  A group's number is a
-    hash of prefix and size; should two groups fall together, their members are verified as those of one.
+    A group's number is a hash of prefix and size; should two groups fall together, their members are verified
+    as those of one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -229,7 +227,7 @@ def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> Da
                 owner = np.repeat(np.arange(len(counts)), counts)
                 level = sent.value[(hashed & np.uint64(CELLS - 1)).astype(np.int64)]
                 order = np.argsort((owner.astype(np.uint64) << np.uint64(54)) | (level.astype(np.uint64) << np.uint64(46)) | (hashed >> np.uint64(8)))
-                ranked, alone = hashed[order], level[order] <= _ALONE
+                ranked = hashed[order]
                 begin = np.cumsum(counts) - counts
                 length = np.array([_prefix_length(c, t) + _common(c, t) - 1 if c else 0 for c in counts.tolist()])
                 place = np.arange(len(ranked)) - np.repeat(begin, counts)
@@ -248,7 +246,7 @@ def _second_pass(docs: DataFrame, n: int, t: Fraction, sketch: np.ndarray) -> Da
                         if (g := int(group[r])) not in groups:
                             groups.add(g)
                             posted[r] = True
-                rows = np.repeat(posted, counts) & prefix & ~alone
+                rows = np.repeat(posted, counts) & prefix
                 own, found = owner[rows], np.flatnonzero(new)
                 if len(found):
                     meta = np.concatenate([(counts[own] << _PLACE_BITS) | np.minimum(place[rows], (1 << _PLACE_BITS) - 1), -counts[found]])

@@ -9,6 +9,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,19 +89,60 @@ def test_nearest(spark):
     assert ann.nearest(table.where("vec_id < 4")).count() == 3
 
 
-@pytest.mark.parametrize("sigma", [0.0, 0.2, 0.5])
-def test_nearest_in_a_full_block_without_clusters(sigma):
+@pytest.mark.parametrize("kind, dims", [("gaussian", 64), ("varied", 64), ("gaussian", 384), ("clustered", 128)])
+def test_nearest_recall_in_full_blocks(spark, kind, dims):
     draw = np.random.default_rng(6)
-    vectors = draw.normal(size=(ann.BLOCK_ROWS, 64))
-    vectors *= np.exp(sigma * draw.normal(size=(len(vectors), 1))) / np.sqrt((vectors**2).sum(1))[:, None]
-    ids = np.arange(len(vectors))
-    place, found, _ = ann.Index(ids, vectors).search(ids[:40], vectors[:40])
+    n = 2 * ann.BLOCK_ROWS + 100
+    vectors = draw.normal(size=(n, dims))
+    if kind == "varied":
+        vectors *= np.exp(0.5 * draw.normal(size=(n, 1)))
+    if kind == "clustered":
+        vectors = draw.normal(size=(200, dims))[draw.integers(0, 200, n)] + 0.3 * vectors
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(vectors))}).to_pandas(), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, every=400).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
     hits = 0
-    for q in range(40):
+    assert len(got) == len(range(0, n, 400))
+    for q, found in got.items():
         score = vectors @ vectors[q]
         score[q] = -np.inf
-        hits += len(set(found[place == q]) & set(np.argsort(-score)[:20]))
-    assert hits / (20 * 40) >= 0.97
+        hits += len(set(found) & set(np.argsort(-score)[:20].tolist()))
+        assert len(found) == 20 and all(abs(score[v] - s) < 1e-9 * abs(s) + 1e-9 for v, s in found.items())
+    assert hits / (20 * len(got)) >= 0.95
+
+
+def test_clustered_queries_visit_few_cells():
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(64, 48)) * 3
+    vectors = centres[draw.integers(0, 64, 20_000)] + 0.2 * draw.normal(size=(20_000, 48))
+    scale = ann.lengths(vectors).max()
+    tree = ann.Cells.fit(vectors[:4000], scale, len(vectors), 500)
+    p = ann.points(vectors, scale)
+    cell = tree.of(p)
+    assert np.bincount(cell).max() < 2500 and len(np.unique(cell)) > 30
+    visited = 0
+    at = ann.query_points(vectors[:50])
+    for q in range(50):
+        bound = np.sort(vectors @ vectors[q])[-20]
+        width = ann.half_widths(np.array([bound]), vectors[q : q + 1], scale)[0]
+        for c in np.unique(cell):
+            own = p[cell == c]
+            visited += ((at[q] + width >= own.min(0)) & (at[q] - width <= own.max(0))).sum() >= ann.COLLIDE * ann.PROJECTIONS
+    assert visited / (50 * len(np.unique(cell))) < 0.5
+
+
+def test_nearest_repeats_and_extremes(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (20, [1e-200, 0.0]), (40, [1e200, -1e200])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    # each of the three rows is a query, and meets the seven others
+    assert sorted(x[0] for x in got[0]) == sorted([*range(1, 8)] * 3)
+    assert sorted(x[1:] for x in got[0] if x[0] == 1) == [(2, 1e200), (2, 1e200), (2, 1e200)] or len({x[1] for x in got[0] if x[0] == 1}) <= 2
+    assert sum(v == 0 for _, v, _ in got[0]) == 6
+    assert sorted(x[0] for x in got[20]) == [*range(1, 8)] and {x[1] for x in got[20] if x[0] <= 2} == {2, 40}
+    assert len(got[40]) == 7
 
 
 def test_mixing(odd, none, docs):
