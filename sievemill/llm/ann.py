@@ -204,7 +204,7 @@ class Block:
                     found = np.arange(n)
                     results = []
                     self._best(q, queries[q], own[q], found, top, results)
-            out += results if len(found) < n or results else []
+            out += results
         return out
 
     def collided(self, own: np.ndarray, queries: np.ndarray, bound: np.ndarray, scale: float, top: int = TOP) -> list:
@@ -277,7 +277,9 @@ def _dealt(placed: DataFrame, asked: DataFrame, cells: DataFrame, chunk_rows: in
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     blocks = placed.join(F.broadcast(info), on).withColumn("sub", F.pmod(F.xxhash64("id", "v"), F.col("subs")).cast("int")).withColumn("chunk", span("chunks"))
     queries = asked.join(F.broadcast(info), on).withColumn("chunk", F.pmod(F.xxhash64("id", "hash", F.lit(5)), F.col("chunks")).cast("int")).withColumn("sub", span("subs"))
-    return blocks.drop("d", "c"), queries.drop("d", "c")
+    # columns of their own for each side, which come from one table
+    own = lambda df: df.drop("d", "c").select(*[F.col(x).alias(f"own_{x}") for x in df.columns if x not in ("d", "c")]).toDF(*[x for x in df.columns if x not in ("d", "c")])
+    return own(blocks), own(queries)
 
 
 def _place(rows: DataFrame, sent) -> DataFrame:

@@ -92,18 +92,18 @@ def test_nearest(spark):
 @pytest.mark.parametrize("kind, dims", [("gaussian", 64), ("varied", 64), ("gaussian", 384), ("clustered", 128)])
 def test_nearest_recall_in_full_blocks(spark, kind, dims):
     draw = np.random.default_rng(6)
-    n = 2 * ann.BLOCK_ROWS + 100
+    n = ann.BLOCK_ROWS + 100
     vectors = draw.normal(size=(n, dims))
     if kind == "varied":
         vectors *= np.exp(0.5 * draw.normal(size=(n, 1)))
     if kind == "clustered":
         vectors = draw.normal(size=(200, dims))[draw.integers(0, 200, n)] + 0.3 * vectors
-    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(vectors))}).to_pandas(), "vec_id long, embedding array<double>")
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(vectors))}))
     got = {}
-    for r in ann.nearest(table, every=400).collect():
+    for r in ann.nearest(table, every=300).collect():
         got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
     hits = 0
-    assert len(got) == len(range(0, n, 400))
+    assert len(got) == len(range(0, n, 300))
     for q, found in got.items():
         score = vectors @ vectors[q]
         score[q] = -np.inf
@@ -116,6 +116,7 @@ def test_clustered_queries_visit_few_cells():
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(64, 48)) * 3
     vectors = centres[draw.integers(0, 64, 20_000)] + 0.2 * draw.normal(size=(20_000, 48))
+    vectors /= ann.lengths(vectors)[:, None]
     scale = ann.lengths(vectors).max()
     tree = ann.Cells.fit(vectors[:4000], scale, len(vectors), 500)
     p = ann.points(vectors, scale)
