@@ -17,7 +17,7 @@ BITS = 18
 GRAMS = (2, 3, 4, 5)
 BLOCK = 64
 #: Words that a worker keeps scored; beyond it the store starts anew, which costs time and changes no result.
-STORE = 300_000
+STORE = 150_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LEFT, _RIGHT = "\x02", "\x03"
 
@@ -207,7 +207,7 @@ def in_context(table: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int
     return e
 
 
-def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndarray], warm: int = 24, steps: int = 36, rate: float = 0.15, decay: float = 2e-5, beside: float = 10.0, bias: float = -5.0, doubt: float = 0.05, chunk: int = 100_000) -> Model:
+def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndarray], warm: int = 24, steps: int = 36, rate: float = 0.15, decay: float = 2e-5, beside: float = 10.0, bias: float = -5.0, doubt: float = 0.05, chunk: int = 40_000) -> Model:
     """Tags 0 and 1 from labels of whole sequences: an unmarked one has no tag 1, a marked one has one at least.
 
     Maximizes the likelihood of these two events.  Its gradient is the expected counts, less those of a sequence of
@@ -221,8 +221,10 @@ def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndar
     counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
     seed = np.concatenate(seeds).astype(float)
     number, begin = features(list(index), {})
-    used, compact = np.unique(number, return_inverse=True)
+    used, compact = np.unique(number.astype(np.int32), return_inverse=True)
+    compact = compact.astype(np.int32)
     sizes = np.diff(np.append(begin, len(number)))
+    del number
     scale = 1 / np.sqrt(sizes)
     ends = np.cumsum(counts)
     seeded = np.add.reduceat(seed, ends - counts) > 0
@@ -232,7 +234,7 @@ def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndar
     shrink = [decay * np.array([1, beside, beside]), 0.0, 0.0]
     mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, steps + 1):
-        by_word = np.add.reduceat(p[0][compact], begin, axis=0) * scale[:, None]
+        by_word = np.stack([np.add.reduceat(p[0][:, j][compact], begin) for j in range(3)], 1) * scale[:, None]
         gap, grads = np.zeros((len(index), 3)), [p[0], np.zeros((2, 2)), np.zeros(2)]
         free = marked if step > warm else marked & ~seeded
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):

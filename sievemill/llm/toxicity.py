@@ -79,12 +79,17 @@ def toxic_words(texts: list[tuple[int, set[str]]]) -> set[str]:
     language need not stand out among the toxic documents of all languages.
     """
     stems = lambda w: (w[:n] for n in range(min(STEM, len(w)), len(w) + 1))
-    have: dict[str, set[int]] = {}
-    for i, (y, words) in enumerate(texts):
+    often: dict[str, int] = {}
+    for y, words in texts:
         if y:
             for s in {s for w in words for s in stems(w)}:
-                have.setdefault(s, set()).add(i)
-    have = {s: docs for s, docs in have.items() if len(docs) >= LEAST_DOCS}
+                often[s] = often.get(s, 0) + 1
+    have: dict[str, set[int]] = {s: set() for s, n in often.items() if n >= LEAST_DOCS}
+    del often
+    for i, (y, words) in enumerate(texts):
+        if y:
+            for s in {s for w in words for s in stems(w) if s in have}:
+                have[s].add(i)
     clean = dict.fromkeys(have, 0)
     own: dict[str, int] = {}
     for y, words in texts:
@@ -120,7 +125,9 @@ def train(rows: list[tuple[int, str]], share: float) -> Model:
     nothing = Model(None, np.zeros(4), share)
     if not all(kinds):
         return nothing
-    texts = [(y, [w for w in map(crf.normal, t.split()) if w]) for y, t in rows]
+    pool: dict[str, str] = {}
+    texts = [(y, [pool.setdefault(w, w) for w in map(crf.normal, t.split()) if w]) for y, t in rows]
+    del pool
     toxic = toxic_words([(y, set(words)) for y, words in texts])
     full = [(y, words) for y, words in texts if words]
     sequences = [words for _, words in full]
