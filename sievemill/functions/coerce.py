@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 
 def confidence(raw: Column, default: float = 0.5) -> Column:
-    """A share from 0 to 1: ``95%`` is 0.95, whole numbers from 2 to 10 are tenths, larger ones to 100 are percent."""
-    text = F.trim(raw)
-    percent = text.endswith("%")
-    value = F.regexp_replace(text, "%$", "").try_cast("double")
-    whole = value == F.floor(value)
-    scaled = F.when(percent | ((value > 10) & (value <= 100)), value / 100).when((value >= 2) & (value <= 10) & whole, value / 10).otherwise(value)
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    """A share from 0 to 1: whole numbers from 2 to 10 are tenths, other ones from 2 to 100 are percent, a percent sign says nothing."""
+    text = F.trim(F.regexp_replace(F.trim(raw), "%+$", ""))
+    value = F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    scaled = F.when((value >= 2) & (value <= 10) & (value == F.floor(value)), value / 10).when((value >= 2) & (value <= 100), value / 100).otherwise(value)
+    bad = value.isNull() | (F.abs(value) == float("inf"))
     return F.when(bad, F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Sizes of a chunk in lines of code, and lengths of a shortened text.
 SMALL, MEDIUM = 2000, 8000
-LONGEST, HEAD, TAIL = 1600, 900, 700
+LONGEST, HEAD, TAIL, CUT = 1800, 900, 700, "\n...<truncated>...\n"
 
 
 def size_class(loc: Column) -> Column:
@@ -15,8 +15,9 @@ def size_class(loc: Column) -> Column:
 
 
 def shorten_middle(text: Column) -> Column:
-    """Long texts keep their head and tail only."""
-    return F.when(F.length(text) > LONGEST, F.concat(F.left(text, F.lit(HEAD)), F.right(text, F.lit(TAIL)))).otherwise(text)
+    """Texts without the white space around them; long ones keep their head and tail, with a mark between."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(F.length(bare) > LONGEST, F.concat(F.left(bare, F.lit(HEAD)), F.lit(CUT), F.right(bare, F.lit(TAIL)))).otherwise(bare)
 
 
 def qualify(file: Column, name: Column) -> Column:

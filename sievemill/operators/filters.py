@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions.globs import first_hit
 
+# Paths of tests, endings of native files, classes that the gates take.
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__|mocks?|examples?|fixtures?|samples?|testdata)(/|$)|_test\.|\.test\.|\.spec\.|Test\.java$|Tests\.cs$"
 NATIVE_FILE = r"(?i)\.(c|cc|cpp|cxx|h|hh|hpp|hxx)$"
 MEMORY_CLASSES = ["use-after-free", "heap-overflow", "stack-overflow", "format-string", "integer-overflow", "type-confusion"]
@@ -18,14 +19,18 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 
 
 def gate_cascade(findings: DataFrame, inventory: DataFrame, classes: list[str] = MEMORY_CLASSES, least: float = 0.6) -> DataFrame:
-    """Adds ``reason`` (null: kept).  ``inventory`` has the column ``file``; its keys meet the findings once."""
+    """Adds ``reason`` (null: kept).  ``inventory`` has the column ``file``; its keys meet the findings once.
+
+    An empty inventory says nothing, so its gate is open.
+    """
     known = inventory.select("file").distinct().withColumn("listed", F.lit(True))
+    any_known = not known.isEmpty()
     in_test = F.col("file").rlike(TEST_PATH)
     rules = [
         ("not native", ~F.col("file").rlike(NATIVE_FILE)),
         ("class not enabled", ~F.col("vuln_class").isin(classes)),
         ("test path", in_test & (F.col("vuln_class") != "info-leak")),
-        ("not in inventory", F.col("listed").isNull()),
+        ("not in inventory", F.col("listed").isNull() & F.lit(any_known)),
         ("low confidence", F.col("confidence") < least),
     ]
     return findings.join(known, "file", "left").withColumn("reason", first_reason(rules)).drop("listed")

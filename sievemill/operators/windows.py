@@ -13,8 +13,11 @@ def tiles(files: DataFrame, width: int = 600, step: int = 500) -> DataFrame:
 
 
 def merge_intervals(anchors: DataFrame, around: int = 300, gap: int = 100) -> DataFrame:
-    """(file, lo, hi) of the windows around anchors, joined where the next begins within ``gap`` of an end."""
-    spans = anchors.select("file", F.greatest(F.col("line") - around, F.lit(1)).alias("lo"), (F.col("line") + around).alias("hi"))
+    """(file, lo, hi) of the windows around anchors, joined where the next begins within ``gap`` of an end.
+
+    Lines count from 0; a window stays within the file's ``lines``.
+    """
+    spans = anchors.select("file", F.greatest(F.col("line") - around, F.lit(0)).alias("lo"), F.least(F.col("line") + around, F.col("lines")).alias("hi"))
     w = Window.partitionBy("file").orderBy("lo", "hi")
     new = F.coalesce(F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + gap, F.lit(True))
     islands = spans.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

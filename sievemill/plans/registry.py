@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import coerce, cvss
 from sievemill.operators import aggregates, filters, graph, joins, votes, windows
-from sievemill.plans import reports, texts, views
+from sievemill.plans import parsing, reports, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,10 +24,9 @@ def _query(sql: str | None = None):
     return add
 
 
-_TEST = r"(?i)(^|/)(tests?|__tests__|mocks?|examples?|fixtures?|samples?|testdata)(/|$)|_test\.|\.test\.|\.spec\.|Test\.java$|Tests\.cs$"
 _REASON = f"""CASE WHEN NOT regexp_matches(f.file, '(?i)\\.(c|cc|cpp|cxx|h|hh|hpp|hxx)$') THEN 'not native'
   WHEN f.vuln_class NOT IN ('use-after-free', 'heap-overflow', 'stack-overflow', 'format-string', 'integer-overflow', 'type-confusion') THEN 'class not enabled'
-  WHEN regexp_matches(f.file, '{_TEST}') AND f.vuln_class != 'info-leak' THEN 'test path' WHEN i.file IS NULL THEN 'not in inventory' WHEN f.confidence < CAST(0.6 AS DOUBLE) THEN 'low confidence' END"""
+  WHEN regexp_matches(f.file, '{filters.TEST_PATH}') AND f.vuln_class != 'info-leak' THEN 'test path' WHEN i.file IS NULL THEN 'not in inventory' WHEN f.confidence < CAST(0.6 AS DOUBLE) THEN 'low confidence' END"""
 _GATED = f"gated AS (SELECT f.*, {_REASON} AS reason FROM v_findings f LEFT JOIN v_inventory i ON f.file = i.file)"
 
 
@@ -144,23 +143,14 @@ def env_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("ord", "env", cvss.rating(F.col("env")).alias("rating"))
 
 
-@_query(f"""WITH {views.VECTORS}, {views.APPLICATIONS}, x AS (SELECT v.ord, regexp_extract(vector, '(^|/)AV:([A-Z])', 2) AS av, regexp_extract(vector, '(^|/)PR:([A-Z])', 2) AS pr, regexp_extract(vector, '(^|/)AC:([A-Z])', 2) AS ac, a.external FROM v_vectors v LEFT JOIN v_inherited a ON CAST(v.app AS VARCHAR) = a.id)
-SELECT ord, CASE WHEN pr = 'H' OR av != 'N' OR external IS NULL OR NOT external THEN 'P3' WHEN pr = 'N' THEN 'P1' ELSE 'P2' END AS priority,
-  concat_ws('; ', CASE WHEN external THEN CASE WHEN av = 'N' THEN 'internet-facing' END ELSE CASE WHEN external IS NULL THEN 'exposure unknown' ELSE 'internal application' END END, CASE WHEN av != 'N' THEN 'AV:' || av END, CASE WHEN pr = 'H' THEN 'PR:H' END, CASE WHEN ac = 'H' THEN 'AC:H' END) AS reason FROM x""")
-def priority_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure tier: P3 without internet reach or with high privilege, P1 unauthenticated, else P2."""
-    v = views.vectors(spark, sf_dir).join(cmdb_inherit(spark, sf_dir).select("id", "external"), F.col("app").cast("string") == F.col("id"), "left")
-    av, pr, ac = (cvss.metric(F.col("vector"), m) for m in ("AV", "PR", "AC"))
-    ext = F.col("external")
-    tier = F.when((pr == "H") | (av != "N") | ext.isNull() | ~ext, "P3").when(pr == "N", "P1").otherwise("P2")
-    where = F.when(ext, F.when(av == "N", "internet-facing")).otherwise(F.when(ext.isNull(), "exposure unknown").otherwise("internal application"))
-    return v.select("ord", tier.alias("priority"), F.concat_ws("; ", where, F.when(av != "N", F.concat(F.lit("AV:"), av)), F.when(pr == "H", "PR:H"), F.when(ac == "H", "AC:H")).alias("reason"))
+_GATE_SUM = lambda share: " + ".join(f"max(CASE WHEN status != 'skip' AND gate = '{g}' THEN {share} * {w}::DOUBLE ELSE 0.0::DOUBLE END)" for g, w in aggregates.WEIGHTS.items())
 
 
-@_query(f"""WITH {views.GATES}, w AS (SELECT *, CASE gate WHEN 'root_cause' THEN 0.43::DOUBLE WHEN 'instance_coverage' THEN 0.2467::DOUBLE WHEN 'no_new_vulnerabilities' THEN 0.1867::DOUBLE ELSE 0.1366::DOUBLE END AS w, CASE status WHEN 'pass' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM v_gates),
-s AS (SELECT finding_id, count(*) AS n, count(DISTINCT gate) AS g, sum(CASE WHEN status != 'skip' THEN w ELSE 0.0::DOUBLE END) AS w, sum(CASE WHEN status != 'skip' THEN w * m ELSE 0.0::DOUBLE END) AS e,
+@_query(f"""WITH {views.GATES}, w AS (SELECT *, CASE status WHEN 'pass' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS m FROM v_gates),
+s AS (SELECT finding_id, count(*) AS n, count(DISTINCT gate) AS g, {_GATE_SUM('1.0::DOUBLE')} AS w, {_GATE_SUM('m')} AS e,
   count(*) FILTER (gate = 'no_new_vulnerabilities' AND status IN ('skip', 'invalid')) AS o, count(*) FILTER (gate = 'no_new_vulnerabilities' AND status IN ('partial', 'fail')) AS u FROM w GROUP BY 1),
-r AS (SELECT *, g != 4 OR n != g OR o > 0 OR round(w, 6) < 0.5 AS bad FROM s), t AS (SELECT *, CASE WHEN bad THEN 0.0::DOUBLE ELSE round(least(e / w, 1.0::DOUBLE), 4) END AS score FROM r)
+r AS (SELECT *, g != 4 OR n != g OR o > 0 OR round(w, 6) < 0.5 AS bad FROM s),
+t AS (SELECT *, CASE WHEN bad THEN 0.0::DOUBLE ELSE CAST(round(CAST(CAST(least(e / w, 1.0::DOUBLE) AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) END AS score FROM r)
 SELECT finding_id, score, CASE WHEN bad THEN 'UNVERIFIABLE' WHEN score >= 0.8 AND u = 0 THEN 'FIXED' WHEN score >= 0.5 THEN 'PARTIAL' ELSE 'NOT_FIXED' END AS label FROM t""")
 def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.gate_score(views.gates(spark, sf_dir))
@@ -201,12 +191,13 @@ def sliding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tiles(views.files(spark, sf_dir).select("path", F.floor(F.col("size") / 10).alias("lines")))
 
 
-@_query(f"""WITH {views.FINDINGS}, s AS (SELECT file, greatest(line_start - 30, 1) AS lo, line_start + 30 AS hi FROM v_findings),
+@_query(f"""WITH {views.FINDINGS}, s AS (SELECT file, greatest(line_start - 30, 0) AS lo, least(line_start + 30, 1000 + user_id % 400) AS hi FROM v_findings WHERE line_start < 1000 + user_id % 400),
 m AS (SELECT *, max(hi) OVER (PARTITION BY file ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
 g AS (SELECT *, sum(CASE WHEN b IS NULL OR lo > b + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT file, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY file, k""")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.merge_intervals(views.findings(spark, sf_dir).select("file", F.col("line_start").alias("line")), 30, 10)
+    lines = 1000 + F.col("user_id") % 400
+    return windows.merge_intervals(views.findings(spark, sf_dir).where(F.col("line_start") < lines).select("file", F.col("line_start").alias("line"), lines.alias("lines")), 30, 10)
 
 
 @_query(f"""WITH RECURSIVE {views.FILES}, g AS (SELECT source, list({{'ord': ord, 'size': size}} ORDER BY ord) AS rows FROM v_files GROUP BY 1),
@@ -267,11 +258,17 @@ def retention_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.retain(rows, "o_custkey", 5, F.lit("1994-01-01").cast("timestamp")).select("ord", "rank")
 
 
-@_query("""WITH r AS (SELECT event_id AS ord, CASE event_id % 8 WHEN 0 THEN '95%' WHEN 1 THEN '7' WHEN 2 THEN '1.2' WHEN 3 THEN 'NaN' WHEN 4 THEN '-3' WHEN 5 THEN 'high' WHEN 6 THEN '0.4' ELSE '40' END AS raw FROM events)
-SELECT ord, raw, CASE raw WHEN '95%' THEN 0.95::DOUBLE WHEN '7' THEN 0.7::DOUBLE WHEN '1.2' THEN 1.0::DOUBLE WHEN 'NaN' THEN 0.5::DOUBLE WHEN '-3' THEN 0.0::DOUBLE WHEN 'high' THEN 0.5::DOUBLE WHEN '0.4' THEN 0.4::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM r""")
+_RAW = ["95%", "7", "1.2", "NaN", "-3", "high", " 0.4 ", "", "7%", "1%", "2.5", "10", "10.5", "100", "101", "1e1", "inf", "50 %%"]
+
+
+@_query(f"""WITH r AS (SELECT event_id AS ord, CASE event_id % 3 WHEN 0 THEN {parsing.sql_pick(_RAW, 'event_id // 3')} WHEN 1 THEN CAST(event_id % 130 AS VARCHAR) || '.' || CAST(event_id // 130 % 10 AS VARCHAR) ELSE CAST(event_id % 130 AS VARCHAR) || '%' END AS raw FROM events),
+t AS (SELECT *, trim(regexp_replace(trim(raw), '%+$', '')) AS text FROM r), v AS (SELECT *, CASE WHEN regexp_matches(text, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$') THEN TRY_CAST(text AS DOUBLE) END AS v FROM t)
+SELECT ord, raw, CASE WHEN v IS NULL THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN v >= 2 AND v <= 10 AND v = floor(v) THEN v / 10 WHEN v >= 2 AND v <= 100 THEN v / 100 ELSE v END)) END AS confidence FROM v""")
 def coerce_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("95%", "7", "1.2", "NaN", "-3", "high", "0.4", "40")]), (F.col("event_id") % 8 + 1).cast("int"))
-    return views.table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), raw.alias("raw")).withColumn("confidence", coerce.confidence(F.col("raw")))
+    n = F.col("event_id")
+    number = (n % 130).cast("string")
+    raw = F.when(n % 3 == 0, parsing.pick(_RAW, F.expr("event_id div 3"))).when(n % 3 == 1, F.concat(number, F.lit("."), F.expr("cast(event_id div 130 % 10 as string)"))).otherwise(F.concat(number, F.lit("%")))
+    return views.table(spark, sf_dir, "events").select(n.alias("ord"), raw.alias("raw")).withColumn("confidence", coerce.confidence(F.col("raw")))
 
 
 @_query(f"""WITH {views.FINDINGS}, {views.INVENTORY}, {views.APPLICATIONS}, {_VOTED}, f AS (SELECT * FROM voted), 
@@ -287,7 +284,7 @@ def vote_collapse_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("tier", F.desc("confidence"), "ord").limit(50)
 
 
-for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES).items():
+for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES | parsing.QUERIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql

@@ -141,7 +141,7 @@ QUERIES = {
     "per_run_cap": (per_run_cap, f"{_F}, r AS (SELECT ord, file, run, confidence, CAST(row_number() OVER (PARTITION BY file, run ORDER BY confidence DESC, ord) AS INT) AS place FROM v_findings) SELECT * FROM r WHERE place <= 3"),
     "largest_files": (largest_files, f"{_D} SELECT path, size FROM v_files ORDER BY size DESC, path DESC LIMIT 15"),
     "finding_ids": (finding_ids, f"{_F} SELECT ord, substr(sha1(file || chr(0) || vuln_class || chr(0) || CAST(line_start AS VARCHAR)), 1, 6) AS finding_id, sha256(file || chr(0) || vuln_class) AS identity FROM v_findings"),
-    "shortened_texts": (shortened_texts, f"SELECT doc_id, sha256(CASE WHEN length(text) > {names.LONGEST} THEN left(text, {names.HEAD}) || right(text, {names.TAIL}) ELSE text END) AS digest, CASE WHEN length(text) < {names.SMALL} THEN 'small' WHEN length(text) < {names.MEDIUM} THEN 'medium' ELSE 'large' END AS size_class FROM documents WHERE text IS NOT NULL"),
+    "shortened_texts": (shortened_texts, f"SELECT doc_id, sha256(CASE WHEN length(bare) > {names.LONGEST} THEN left(bare, {names.HEAD}) || chr(10) || '...<truncated>...' || chr(10) || right(bare, {names.TAIL}) ELSE bare END) AS digest, CASE WHEN length(text) < {names.SMALL} THEN 'small' WHEN length(text) < {names.MEDIUM} THEN 'medium' ELSE 'large' END AS size_class FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS bare FROM documents WHERE text IS NOT NULL)"),
     "file_projection": (file_projection, f"WITH {views.EDGES} SELECT caller AS node, callee AS other FROM v_edges WHERE caller != callee UNION SELECT callee, caller FROM v_edges WHERE caller != callee"),
     "qualified_names": (qualified_names, f"{_F} SELECT ord, file || '::' || vuln_class AS qname, file, vuln_class AS name FROM v_findings"),
     "transitive_root": (transitive_root, "WITH RECURSIVE c AS (SELECT CAST(o_orderkey AS BIGINT) AS node, CASE WHEN o_orderkey % 3 != 0 THEN CAST(o_orderkey // 2 AS BIGINT) ELSE CAST(o_orderkey AS BIGINT) END AS up FROM orders), r(node, root) AS (SELECT node, up FROM c UNION ALL SELECT r.node, c.up FROM r JOIN c ON r.root = c.node AND c.up != c.node) SELECT node, min(root) AS root FROM r GROUP BY 1"),

@@ -16,10 +16,13 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines within one line of a hit, each once: hits mark their neighbours inside the row's own array."""
-    parts = views.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    near = F.exists(F.slice("lines", F.greatest(F.col("i") - 1, F.lit(1)), F.when(F.col("i") > 1, 3).otherwise(2)), lambda x: x.rlike("(?i)licensed"))
-    return parts.select("doc_id", "lines", F.posexplode("lines").alias("p", "line")).withColumn("i", F.col("p") + 1).where(near).select("doc_id", F.col("i").cast("long").alias("line_no"), F.col("line"))
+    """Lines within one line of a hit, each once: lines are marked inside the row's own array, which is then taken apart."""
+    lines = F.split("text", "\n")
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike("(?i)licensed").alias("hit")))
+    hit = lambda rows, i: F.coalesce(F.get(rows, i)["hit"], F.lit(False))
+    d = views.table(spark, sf_dir, "documents").select("doc_id", marked.alias("rows"))
+    near = F.filter(F.transform("rows", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x["line"].alias("line"), (hit(F.col("rows"), i - 1) | x["hit"] | hit(F.col("rows"), i + 1)).alias("near"))), lambda x: x["near"])
+    return d.select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.line_no", "x.line")
 
 
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
