@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import coerce, cvss
-from sievemill.operators import aggregates, filters, graph, joins, votes, windows
-from sievemill.plans import parsing, reports, texts, views
+from sievemill.operators import aggregates, filters, graph, joins, selection, votes, windows
+from sievemill.plans import parsing, records, reports, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -156,6 +156,13 @@ def gate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.gate_score(views.gates(spark, sf_dir))
 
 
+@_query(f"""WITH g AS ({ORACLES['gate_score']}), r AS (SELECT o_orderkey AS finding_id FROM orders), m AS (SELECT finding_id, coalesce(score, 0.0::DOUBLE) AS score, coalesce(label, 'UNVERIFIABLE') AS label FROM r LEFT JOIN g USING (finding_id))
+SELECT *, CASE label WHEN 'FIXED' THEN 'Ready' WHEN 'PARTIAL' THEN 'Ready with Conditions' ELSE 'Not Ready' END AS readiness FROM m""")
+def effective_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all findings asked for; those without gates fail closed."""
+    return selection.effective_scores(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id")), gate_score(spark, sf_dir))
+
+
 @_query(f"""WITH {views.FILES}, p AS (SELECT string_split(path, '/') AS parts FROM v_files), d AS (SELECT unnest(range(1, least(len(parts) - 1, 3) + 1)) AS n, parts FROM p)
 SELECT array_to_string(parts[1:n], '/') AS directory, count(*) AS files FROM d GROUP BY 1""")
 def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +291,7 @@ def vote_collapse_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("tier", F.desc("confidence"), "ord").limit(50)
 
 
-for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES | parsing.QUERIES).items():
+for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES | parsing.QUERIES | records.QUERIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql

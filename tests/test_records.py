@@ -1,0 +1,75 @@
+"""Fixed cases of text and record functions at their edges."""
+
+from pyspark.sql import functions as F
+
+from sievemill.functions import markdown, paths, severity
+from sievemill.operators import selection
+
+
+def value(spark, column, **cells):
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in cells.items()]).select(column.alias("x")).head()["x"]
+
+
+def test_demote_headings(spark):
+    cases = {
+        "# a\nb\n": "**a**\nb",
+        "```\n# a\n```\n# b": "```\n# a\n```\n**b**",
+        "~~~\r\n# a": "~~~\n# a",
+        "#a\n    # four\n ## b  ": "#a\n    # four\n **b**",
+        "# $1 \\x": "**$1 \\x**",
+        "\n\n# a": "\n\n**a**",
+        "": "",
+        "####### seven": "####### seven",
+    }
+    for text, want in cases.items():
+        assert value(spark, markdown.demote_headings(F.col("t")), t=text) == want, text
+
+
+def test_cell(spark):
+    assert value(spark, markdown.cell(F.col("t")), t=" a|b\r\nc ") == "a\\|b  c"
+    assert value(spark, markdown.cell(F.col("t").cast("string")), t=None) == ""
+
+
+def test_excerpt(spark):
+    found = lambda text, name, hint: tuple(value(spark, markdown.excerpt(F.col("t"), F.col("n"), F.col("h"), 2), t=text, n=name, h=hint))
+    text = "a\nb\nc f(\nd\ne"
+    assert found(text, "f", 0) == ("    1| a\n    2| b\n    3| c f(\n    4| d", 1)
+    assert found(text, "f", 5) == ("    3| c f(\n    4| d\n    5| e", 3)
+    assert found(text, "g", 9) == (None, 0)
+    assert found("", "f", 1) == (None, 0)
+
+
+def test_prefixes_and_lists(spark):
+    ref = lambda x: value(spark, paths.prefixed_reference(F.col("r").cast("string"), "p"), r=x)
+    assert [ref(x) for x in ("a.c:3", "p/a.c:3:4", ":3", "", None, "a")] == ["p/a.c:3", "p/a.c:3:4", ":3", "", None, "p/a"]
+    assert value(spark, paths.name_list(F.split("s", ","), lower=True), s=" A/,/a,,b\\ ,// ,B") == ["a", "b"]
+    hit = lambda *patterns: value(spark, paths.name_hit(F.col("s"), list(patterns)), s="Org/Api-TEST")
+    assert (hit("x*", "*-[kt]?st", "*"), hit("api*", "*-[!t]*", "*.test"), hit("ORG/*")) == ("*-[kt]?st", None, "ORG/*")
+    for digits, want in {"000121234": False, "666121234": False, "123001234": False, "123120000": False, "900121234": True}.items():
+        assert value(spark, paths.ssn_valid(F.col("s")), s=digits) is want
+
+
+def test_severity(spark):
+    assert value(spark, severity.resolve(F.col("a"), F.col("b"), F.lit("INFO")), a="None", b=" high\n") == "HIGH"
+    assert value(spark, severity.security_severity(F.col("s"), F.lit("LOW")), s=-1.0) == "0.1"
+
+
+def test_ranks_without_taint_and_requests(spark):
+    chunks = spark.createDataFrame([("r", "catchall", 1, 0), ("r", "specialist", 2, 0), ("r", "catchall", 3, 0), ("s", "risk", 4, 2), ("s", "specialist", 5, 0)], "repo string, kind string, ord long, risk_rank long")
+    assert {r["ord"]: r["rank"] for r in selection.assign_ranks(chunks, 10).collect()} == {1: 1, 3: 2, 2: 3, 4: 12, 5: 13}
+    reports = spark.createDataFrame([(1, 1, "needs_review", "nan?"), (2, 2, None, "3"), (3, 3, "needs_review", " 2.5 ")], "ord long, id long, status string, score string")
+    assert [r["ord"] for r in selection.top_by_score(reports, 5).collect()] == [3, 1]
+    asked = spark.createDataFrame([(0, 2), (1, 9), (2, 1)], "place int, id long")
+    assert {r["place"]: r["problem"] for r in selection.select_by_id(reports, asked).collect()} == {0: "status 'unset'", 1: "not found", 2: None}
+
+
+def test_positions_across_cells(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(50)], "ord long, k long")
+    got = {r["ord"]: r["position"] for r in selection.positions(rows, ["k"], width=7).collect()}
+    assert got == {r: p for p, r in enumerate(sorted(range(50), key=lambda i: (i % 3, i)))}
+
+
+def test_gate_map_takes_the_last_of_repeated_gates(spark):
+    rows = spark.createDataFrame([(1, "root_cause", "fail", 1), (1, "root_cause", "partial", 2), (1, "other", "pass", 3)], "finding_id long, gate string, status string, at int")
+    got = selection.gate_map(rows, "at").head()["gates"]
+    assert (got["root_cause"]["status"], got["root_cause"]["weighted"], got["other"]["weight"]) == ("partial", 0.215, 0.0)
