@@ -40,9 +40,3 @@ def suffixes(path: Column) -> Column:
     """The path and all that is left of it behind each of its slashes."""
     parts = F.split(path, "/")
     return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
-
-
-def ssn_valid(digits: Column) -> Column:
-    """Whether nine digits can be a number: no part is zero and the area is not 666; areas from 900 on can."""
-    area, group, serial = (F.substring(digits, at, n).cast("int") for at, n in ((1, 3), (4, 2), (6, 4)))
-    return ~area.isin(0, 666) & (group != 0) & (serial != 0)

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of values that are masked, in the order in which they are tried.
-URL_CREDENTIALS = r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/@:]+:[^\s/@]+@"
-ASSIGNED_TOKEN = r"(?i)\b((?:token|password|passwd|secret|api[_-]?key)\s*[=:]\s*)([\"']?)[A-Za-z0-9_/+.-]{8,}\2"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = r"(?U)(?<![0-9A-Za-z./_-])(?:\d[\s\-]?){12,18}\d(?![0-9A-Za-z./_-])"
+CARD_CODE = r"(?iU)(\b(?:cvv2?|cvc2?|cid|csc)\b\s*[:=]?\s*\"?)\d{3,4}\"?"
+TRACK = r"(?U)%B\d{12,19}\^[^?]{2,90}\?"
+SSN = r"(?U)(?<!\d)\d{3}[-.\t \u00a0\u2009\u202f\u2007]\d{2}[-.\t \u00a0\u2009\u202f\u2007]\d{4}(?!\d)"
+SSN_NAMED = r"(?iU)\b(?:ssn|social[\s_-]*sec(?:urity)?(?:[\s_-]*(?:no|num|number))?|itin|tin|taxpayer[\s_-]*id)\b['\"]?\s*[:=#-]?\s*['\"]?(?<!\d)\d{9}(?!\d)"
+AWS_KEY = r"(?U)\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{16}\b"
+GITHUB_TOKEN = r"(?U)\b(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22}_[A-Za-z0-9]{59})\b"
+SLACK_TOKEN = r"(?U)\bxox[baprs]-[A-Za-z0-9-]{10,72}\b"
+STRIPE_KEY = r"(?U)\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{24,99}\b"
+GOOGLE_API_KEY = r"(?U)\bAIza[0-9A-Za-z_-]{35}\b"
+AZURE_SAS = r"(?iU)\bsig=[0-9A-Za-z%+/=]{20,}\b"
+TWILIO_KEY = r"(?U)\bSK[0-9a-fA-F]{32}\b"
+JWT = r"(?U)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b"
+BEARER = r"(?iU)\b(?:Bearer|Basic)\s+([A-Za-z0-9+/=._-]{8,})\b"
+URL_CREDENTIALS = r"(?iU)\b([a-z][a-z0-9+.\-]*://[^\s:/@]+:)[^\s/@]{1,256}@"
+PRIVATE_KEY = r"-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}[\s\S]*?-{5}END [A-Z ]*PRIVATE KEY-{5}"
+SECRET = (
+    r"(?iU)(?:\b|(?<=[a-z]))(pass(?:word|wd)?|pwd|secret|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?token|token|credential)s?\b"
+    r"['\"`]?\s*[:=]\s*(?<q>['\"`]?)([^\s'\"`,;\x00]{6,256})\k<q>"
+)
+# What stands for a secret without being one, names that always hold one, and values that are code.
+NO_SECRET = r"(?i)^(?:\$\{?[A-Z0-9_.]+\}?|%[A-Z0-9_]+%|<[^>]+>|\*{3,}|x{3,}|\[?redacted\]?|\[redacted-[a-z0-9-]+\]|null|none|true|false|changeme|your[_-]?\w+|placeholder|example)\z"
+STRONG_NAMES = ("password", "passwd", "pwd", "apikey", "accesskey", "clientsecret", "authtoken")
+CODE = r"(?U)^(?:\(|[A-Za-z_]\w*\(|[A-Za-z_]\w*\.\w)"
+MAESTRO = (5018, 5020, 5038, 5893, 6304, 6759, 6761, 6762, 6763)
 
 
 def luhn(digits: Column) -> Column:
@@ -22,23 +47,125 @@ def luhn(digits: Column) -> Column:
 def card_network(digits: Column) -> Column:
     """Whether length and leading digits belong to a card network."""
     n = F.length(digits)
-    return (digits.rlike("^4") & n.isin(13, 16, 19)) | (digits.rlike("^5[1-5]|^2(22[1-9]|2[3-9]|[3-6]|7[01]|720)") & (n == 16)) | (digits.rlike("^3[47]") & (n == 15)) | (digits.rlike("^6(011|5)") & (n == 16))
+    two, three, four = (F.substring(digits, 1, k).cast("int") for k in (2, 3, 4))
+    amex = (n == 15) & two.isin(34, 37)
+    visa = digits.startswith("4") & n.between(13, 19)
+    mastercard = (n == 16) & (two.between(51, 55) | four.between(2221, 2720))
+    discover_jcb_unionpay = n.between(16, 19) & ((four == 6011) | (two == 65) | three.between(644, 649) | four.between(3528, 3589) | (two == 62))
+    diners = n.between(14, 19) & (two == 36)
+    maestro = n.between(12, 19) & four.isin(*MAESTRO)
+    rupay = (n == 16) & ((three == 508) | two.isin(81, 82))
+    return amex | visa | mastercard | discover_jcb_unionpay | diners | maestro | rupay
+
+
+def _digits(x: Column) -> Column:
+    return F.regexp_replace(x, r"\D", "")
+
+
+def _card(x: Column, sign: Column) -> Column:
+    return F.when(card_network(_digits(x)) & luhn(_digits(x)), sign)
+
+
+def ssn_valid(digits: Column) -> Column:
+    """Whether nine digits can be a number: no part is zero and the area is not 666; areas from 900 on can."""
+    area, group, serial = (F.substring(digits, at, n).cast("int") for at, n in ((1, 3), (4, 2), (6, 4)))
+    return ~area.isin(0, 666) & (group != 0) & (serial != 0)
+
+
+def _ssn(x: Column, sign: Column) -> Column:
+    return F.when(ssn_valid(_digits(x)), sign)
+
+
+def _named_ssn(x: Column, sign: Column) -> Column:
+    return F.when(ssn_valid(F.right(x, F.lit(9))), F.concat(F.substr(x, F.lit(1), F.length(x) - 9), sign))
+
+
+def _bearer(x: Column, sign: Column) -> Column:
+    """A value of letters only is prose."""
+    return F.when(F.regexp_extract(x, BEARER, 1).rlike(r"(?U)[^\p{IsAlphabetic}]"), sign)
+
+
+def _secret(x: Column, sign: Column) -> Column:
+    """Values stay that stand for one, and, after a name that is not strong and without quotes, prose and code."""
+    name, quote, value = (F.regexp_extract(x, SECRET, i) for i in (1, 2, 3))
+    bare = F.regexp_replace(value, r"[).}\]!?>]+$", "")
+    core = F.when((quote != "") | (F.length(bare) < 6), value).otherwise(bare)
+    weak = (quote == "") & ~F.regexp_replace(F.lower(name), "[^a-z]", "").isin(*STRONG_NAMES)
+    word = core.rlike(r"^\p{L}+\z") & (F.lower(core) == core) & (F.length(core) < 20)
+    head = F.substr(x, F.lit(1), F.length(x) - F.length(value) - F.length(quote))
+    tail = F.concat(F.substr(value, F.length(core) + 1), quote)
+    return F.when(~value.rlike(NO_SECRET) & ~(weak & (word | core.rlike(CODE))), F.concat(head, sign, tail))
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A pattern, and what a match turns into: a template around the sign, or a function of match and sign (null: it stays)."""
+
+    label: str
+    pattern: str
+    becomes: str | Callable[[Column, Column], Column] = "{}"
+
+
+DETECTORS = [
+    Detector("PAN", CARD, _card),
+    Detector("CVV", CARD_CODE, "$1{}"),
+    Detector("TRACK", TRACK),
+    Detector("SSN", SSN, _ssn),
+    Detector("SSN", SSN_NAMED, _named_ssn),
+    Detector("AWS-KEY", AWS_KEY),
+    Detector("GITHUB-TOKEN", GITHUB_TOKEN),
+    Detector("SLACK-TOKEN", SLACK_TOKEN),
+    Detector("STRIPE-KEY", STRIPE_KEY),
+    Detector("GOOGLE-API-KEY", GOOGLE_API_KEY),
+    Detector("AZURE-SAS", AZURE_SAS),
+    Detector("TWILIO-KEY", TWILIO_KEY),
+    Detector("JWT", JWT),
+    Detector("BEARER", BEARER, _bearer),
+    Detector("URL-CRED", URL_CREDENTIALS, "$1{}@"),
+    Detector("PRIVATE-KEY", PRIVATE_KEY),
+    Detector("SECRET", SECRET, _secret),
+]
+LABELS = list(dict.fromkeys(d.label for d in DETECTORS))
+
+
+def _then(state: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of a state that is computed once, however often ``step`` uses it; the optimizer can't copy it into each use."""
+    return F.transform(F.array(state), step)[0]
+
+
+def _try(state: Column, detector: Detector) -> Column:
+    """The state (text, counts) after one detector."""
+    pattern, sign = detector.pattern, f"\0{LABELS.index(detector.label)}\0"
+    after = lambda text, s, n: F.struct(text.alias("text"), F.array_append(s["counts"], n).alias("counts"))
+    if isinstance(detector.becomes, str):
+        template = detector.becomes.format(sign)
+        return _then(state, lambda s: after(F.regexp_replace(s["text"], pattern, template), s, F.regexp_count(s["text"], F.lit(pattern))))
+    turn = lambda x: F.struct(x.alias("was"), detector.becomes(x, F.lit(sign)).alias("now"))
+    met = _then(state, lambda s: F.struct(s["text"].alias("text"), s["counts"].alias("counts"), F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), turn).alias("found")))
+    between = lambda s: F.zip_with(F.split(s["text"], pattern, -1), s["found"], lambda a, m: F.concat(a, F.coalesce(m["now"], m["was"], F.lit(""))))
+    return _then(met, lambda s: after(F.when(F.size(s["found"]) > 0, F.array_join(between(s), "")).otherwise(s["text"]), s, F.size(F.filter(s["found"], lambda m: m["now"].isNotNull()))))
+
 
+def redact(text: Column) -> Column:
+    """(redacted, counts): the text with sensitive values masked, and how many of each of DETECTORS there were.
 
-def cards(text: Column) -> Column:
-    """Valid card numbers of a text, digits only."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
-    return F.filter(found, lambda x: card_network(x) & luhn(x))
+    A detector leaves a sign between NUL characters, which no later one looks into; signs become ``[REDACTED-label]``
+    at the end, and NULs of the text itself go first.  A null text gives null and no counts; masking twice changes nothing.
+    """
+    state = F.struct(F.replace(text, F.lit("\0"), F.lit("")).alias("text"), F.array().cast("array<int>").alias("counts"))
+    for detector in DETECTORS:
+        state = _try(state, detector)
 
+    def finish(s: Column) -> Column:
+        plain = s["text"]
+        for k, label in enumerate(LABELS):
+            plain = F.replace(plain, F.lit(f"\0{k}\0"), F.lit(f"[REDACTED-{label}]"))
+        return F.struct(plain.alias("redacted"), F.transform(s["counts"], lambda n: F.coalesce(n, F.lit(0))).alias("counts"))
 
-def counts(text: Column) -> dict[str, Column]:
-    return {"card": F.size(cards(text)), "token": F.regexp_count(text, F.lit(ASSIGNED_TOKEN)), "url": F.regexp_count(text, F.lit(URL_CREDENTIALS))}
+    return _then(state, finish)
 
 
-def mask(text: Column) -> Column:
-    """Urls lose their credentials, then tokens their value, then valid cards all but four digits; masking twice changes nothing."""
-    out = F.regexp_replace(text, URL_CREDENTIALS, "$1[REDACTED]@")
-    out = F.regexp_replace(out, ASSIGNED_TOKEN, "$1$2[REDACTED]$2")
-    digits = lambda x: F.regexp_replace(x, "[ -]", "")
-    raw = F.filter(F.regexp_extract_all(out, F.lit(CARD), F.lit(0)), lambda x: card_network(digits(x)) & luhn(digits(x)))
-    return F.aggregate(raw, out, lambda a, x: F.replace(a, x, F.concat(F.substring(digits(x), 1, 4), F.lit("[REDACTED]"))))
+def hits(counts: Column) -> Column:
+    """(label, n) of each detector that masked something."""
+    labelled = F.zip_with(F.array(*[F.lit(d.label) for d in DETECTORS]), counts, lambda k, n: F.struct(k.alias("label"), n.alias("n")))
+    return F.filter(labelled, lambda h: h["n"] > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions import markdown, paths, severity
+from sievemill.functions import markdown, paths, redact, severity
 from sievemill.operators import ranking, selection
 from sievemill.plans import views
 from sievemill.plans.parsing import pick
@@ -151,7 +151,7 @@ def prefixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine digits whose parts can be those of a number."""
     digits = F.lpad((F.col("l_orderkey") * 7919 * F.col("l_partkey") % 1_000_000_000 * (F.col("l_linenumber") % 3)).cast("string"), 9, "0")
-    return views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), "l_linenumber", digits.alias("digits")).withColumn("valid", paths.ssn_valid(F.col("digits")))
+    return views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), "l_linenumber", digits.alias("digits")).withColumn("valid", redact.ssn_valid(F.col("digits")))
 
 
 def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ SELECT doc_id, string_agg(CASE WHEN fence OR inside THEN line ELSE regexp_replac
     "table_cells": (table_cells, f"WITH {_NOTED} SELECT doc_id, trim(replace(replace(replace(text, chr(13), ' '), chr(10), ' '), '|', chr(92) || '|')) AS cell FROM v_noted"),
     "excerpts": (excerpts, f"""WITH {_NOTED}, c AS (SELECT doc_id, max(i) AS n, min(i) FILTER (contains(line, 'call') AND contains(line, '(')) AS found FROM l GROUP BY 1),
 a AS (SELECT doc_id, n, CASE WHEN doc_id % 9 - 1 BETWEEN 1 AND n THEN doc_id % 9 - 1 ELSE found END AS place FROM c)
-SELECT a.doc_id, string_agg(format('{{:5d}}| {{}}', i, line), chr(10) ORDER BY i) AS excerpt, coalesce(max(greatest(1, place - 2)), 0)::BIGINT AS first FROM a LEFT JOIN l ON a.doc_id = l.doc_id AND i BETWEEN place - 2 AND place + 2 GROUP BY 1"""),
+SELECT a.doc_id, string_agg(format('{{:5d}}| {{}}', i, line), chr(10) ORDER BY i) AS excerpt, coalesce(max(CASE WHEN place IS NOT NULL THEN greatest(1, place - 2) END), 0)::BIGINT AS first FROM a LEFT JOIN l ON a.doc_id = l.doc_id AND i BETWEEN place - 2 AND place + 2 GROUP BY 1"""),
     "chain_complexity": (chain_complexity, f"""WITH d AS (SELECT doc_id, lower(text || repeat(' -> Async', CAST(doc_id % 4 AS INT)) || repeat(' → GPU', CAST(doc_id % 3 AS INT))) AS t FROM documents),
 s AS (SELECT doc_id, (length(t) - length(replace(t, '->', ''))) // 2 + length(t) - length(replace(t, '→', '')) AS arrows, least(2, {_GROUPS}) AS g FROM d),
 c AS (SELECT doc_id, CAST(least(5, 1 + (arrows >= 2)::INT + (arrows >= 5)::INT + (doc_id % 5 >= 2)::INT + g + (doc_id % 20 >= 5)::INT + (doc_id % 20 >= 15)::INT) AS INT) AS complexity FROM s) SELECT doc_id, complexity, 60 + CAST(240 AS DOUBLE) * (complexity - 1) / 4 AS seconds FROM c"""),

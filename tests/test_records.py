@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievemill.functions import markdown, paths, severity
+from sievemill.functions import markdown, paths, redact, severity
 from sievemill.operators import selection
 
 
@@ -46,7 +46,7 @@ def test_prefixes_and_lists(spark):
     hit = lambda *patterns: value(spark, paths.name_hit(F.col("s"), list(patterns)), s="Org/Api-TEST")
     assert (hit("x*", "*-[kt]?st", "*"), hit("api*", "*-[!t]*", "*.test"), hit("ORG/*")) == ("*-[kt]?st", None, "ORG/*")
     for digits, want in {"000121234": False, "666121234": False, "123001234": False, "123120000": False, "900121234": True}.items():
-        assert value(spark, paths.ssn_valid(F.col("s")), s=digits) is want
+        assert value(spark, redact.ssn_valid(F.col("s")), s=digits) is want
 
 
 def test_severity(spark):
@@ -73,3 +73,13 @@ def test_gate_map_takes_the_last_of_repeated_gates(spark):
     rows = spark.createDataFrame([(1, "root_cause", "fail", 1), (1, "root_cause", "partial", 2), (1, "other", "pass", 3)], "finding_id long, gate string, status string, at int")
     got = selection.gate_map(rows, "at").head()["gates"]
     assert (got["root_cause"]["status"], got["root_cause"]["weighted"], got["other"]["weight"]) == ("partial", 0.215, 0.0)
+
+
+def test_redaction_at_edges(spark):
+    again = lambda x: redact.redact(redact.redact(x)["redacted"])["redacted"]
+    cases = ["", "a\0b", "password=correcthorse\nssn 123-45-6789", "pan 4111 1111 1111 1111!"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string")
+    got = {r["i"]: r for r in rows.select("i", redact.redact(F.col("t"))["redacted"].alias("once"), again(F.col("t")).alias("twice")).collect()}
+    want = ["", "ab", "password=[REDACTED-SECRET]\nssn [REDACTED-SSN]", "pan [REDACTED-PAN]!", None]
+    assert [got[i]["once"] for i in range(5)] == want
+    assert [got[i]["twice"] for i in range(5)] == want
