@@ -77,12 +77,11 @@ def _sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(rows: DataFrame) -> DataFrame:
-    found = redact.hits(redact.redact(F.col("text"))["counts"])
-    return rows.select(F.explode(found).alias("h")).groupBy("h.label").agg(F.sum("h.n").alias("n"))
+    return redact.redact(rows.select("text")).select(F.explode(redact.hits(F.col("counts"))).alias("h")).groupBy("h.label").agg(F.sum("h.n").alias("n"))
 
 
 def redact_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sensitive(spark, sf_dir).select("ord", redact.redact(F.col("text"))["redacted"].alias("redacted"))
+    return redact.redact(_sensitive(spark, sf_dir)).select("ord", "redacted")
 
 
 def redact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +96,7 @@ def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with secrets masked, where masking changes them."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", "text", redact.redact(F.col("text"))["redacted"].alias("redacted"))
-    return d.where("redacted != text").select("doc_id", "redacted")
+    return redact.redact(views.table(spark, sf_dir, "documents").select("doc_id", "text")).where("redacted != text").select("doc_id", "redacted")
 
 
 def _sql_list(i: int) -> str:
