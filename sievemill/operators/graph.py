@@ -61,3 +61,16 @@ def roots(links: DataFrame) -> DataFrame:
         if new.where("root != old").isEmpty():
             return new.select("node", "root")
         at = new.select("node", "root")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(node): what any of the starts (node) leads to within ``most`` calls, the starts included."""
+    step = edges.select(F.col("caller").alias("from"), F.col("callee").alias("to")).distinct()
+    seen = frontier = _cut(starts.select("node").dropna().distinct())
+    for _ in range(most):
+        ahead = frontier.join(step, F.col("node") == F.col("from")).select(F.col("to").alias("node")).distinct()
+        frontier = _cut(ahead.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
