@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,26 @@ def changed_paths(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     new = F.coalesce(F.nullif(F.regexp_extract("line", r"^diff --git \S+ (?:b/)?(\S+)", 1), F.lit("")), F.regexp_extract("line", r"^\+\+\+ (?:b/)?(\S+)", 1))
     found = lines.where(F.col("line").rlike(r"^(diff --git|---|\+\+\+) ")).select(key, "place", F.explode(F.array(old, new)).alias("path"))
     return found.where("path not in ('', '/dev/null')").groupBy(key, "path").agg(F.min("place").alias("place"))
+
+
+def manifest_entries(lines: DataFrame, local: Column) -> DataFrame:
+    """(file, lineno, app_id, name, ref, errors) for lines (file, lineno, line) of ``application,repository,path``.
+
+    Blank lines and comments go.  ``local`` tells whether ``ref`` is a folder that exists.  ``errors`` is empty for an
+    entry; a path that an earlier entry of the file has is an error, too.  No null line or path makes an entry.
+    """
+    raw = lines.withColumn("_t", F.trim("line")).where("_t != '' and not startswith(_t, '#')")
+    part = F.transform(F.split("_t", ","), lambda x: F.trim(x))
+    raw = raw.withColumn("_p", part)
+    of = lambda i: F.coalesce(F.get("_p", i), F.lit(""))
+    row = raw.select("file", "lineno", F.size("_p").alias("_n"), of(0).alias("app_id"), of(1).alias("name"), of(2).alias("ref"))
+    at = F.concat(F.lit("line "), F.col("lineno").cast("string"), F.lit(": "))
+    blank = F.array_compact(F.array(*[F.when(F.col(c) == "", F.concat(at, F.lit(f"{label} is empty"))) for c, label in (("app_id", "application_id"), ("name", "repository_name"), ("ref", "path"))]))
+    remote = F.col("ref").rlike("^(https?://|git@|ssh://)") | F.col("ref").endswith(".git")
+    about = lambda text: F.array(F.concat(at, F.lit("path '"), "ref", F.lit(f"' {text}")))
+    wrong = F.when(F.col("_n") != 3, F.array(F.concat(at, F.lit("expected 3 comma-separated fields (application_id,repository_name,path) — got "), F.col("_n").cast("string")))).when(F.size(blank) > 0, blank)
+    wrong = wrong.when(F.col("ref").startswith("-"), about("may not start with '-'")).when(~remote & ~F.coalesce(local, F.lit(False)), about("is neither a git URL nor an existing local directory"))
+    row = row.withColumn("errors", wrong)
+    first = F.min(F.when(F.col("errors").isNull(), F.col("lineno"))).over(Window.partitionBy("file", "ref"))
+    again = F.array(F.concat(at, F.lit("duplicate path '"), "ref", F.lit("'")))
+    return row.withColumn("errors", F.coalesce("errors", F.when(F.col("lineno") > first, again), F.array().cast("array<string>"))).drop("_n")

@@ -66,3 +66,34 @@ def test_typed_selection(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = df.select("t", status.selected(F.col("t"), F.array(*[F.lit(i) for i in (1, 2, 3)]), F.array(F.lit(False), F.lit(True), F.lit(False))).alias("p")).collect()
     assert {r.t: r.p for r in got} == cases
+
+
+def test_paths_arguments_and_logs(spark):
+    from sievemill.functions import commands, judgement
+
+    paths = {"x/../y": "/r/y", "..": None, "../r/z": "/r/z", "/r": "/r", "/rr": None, None: None}
+    got = spark.createDataFrame([(k,) for k in paths], "p string").select("p", commands.within(F.col("p"), "/r").alias("q")).collect()
+    assert {r.p: r.q for r in got} == paths
+    argv = spark.createDataFrame([(["--token"],), (["--token", "--pwd", "x", "--auth=a=b"],), ([],), (None,)], "a array<string>")
+    assert [r[0] for r in argv.select(commands.without_secrets(F.col("a"))).collect()] == [["--token"], ["--token", "--pwd", "***", "--auth=***"], [], None]
+    logs = {"$ a\n[rc=1]\n==1==ERROR: AddressSanitizer: x\nSUMMARY: AddressSanitizer: x": True, "$ a\n[rc=0]\nERROR: AddressSanitizer:\nSUMMARY: AddressSanitizer:": False, "": False, None: False}
+    got = spark.createDataFrame([(k,) for k in logs], "t string").select("t", commands.real_crash(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == logs
+    texts = {"password = 'hunter2hunter2'": ["secret:password = 'hunter2hunter2"], "password: ${ENV_VALUE}": [], "secret: vault:abcdefgh": [], "verify =  false": ["insecure:verify = false"], None: []}
+    got = spark.createDataFrame([(k,) for k in texts], "t string").select("t", judgement.suspicious(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == texts
+
+
+def test_empty_tables_give_no_rows(spark):
+    from sievemill.operators import coverage
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = [
+        matching.resolve_calls(none("name string, caller_file string"), none("name string, file string")),
+        matching.chain_steps(none("chain long, steps array<long>"), none("ord long, place long")),
+        clusters.cohesive(none("path string"), none("module string, ord long, path string"), none("caller string, callee string")),
+        clusters.edge_lines(none("graph long, ord long, caller string, callee string"), none("graph long, function string")),
+        coverage.match_nodes(none("file string, name string"), none("node string")),
+        coverage.hop_files(none("path long, ord long, file string"), none("path long, file string"), 3),
+    ]
+    assert [df.count() for df in out] == [0] * len(out)
