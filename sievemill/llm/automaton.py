@@ -265,7 +265,7 @@ class Automaton:
         return ragged(self.bytes, self.starts, self.sizes, ids).tobytes()
 
 
-class _Names(dict):
+class Names(dict):
     """Numbers of texts in the order they come; new ones wait until a whole batch is dealt with."""
 
     def __init__(self):
@@ -276,7 +276,7 @@ class _Names(dict):
     def __missing__(self, name) -> int:
         at = self[name] = len(self)
         self.new.append(name)
-        self.chars += len(name) + 16
+        self.chars += 16 + (0 if isinstance(name, int) else len(name))
         return at
 
     def taken(self) -> list:
@@ -284,7 +284,7 @@ class _Names(dict):
         return new
 
 
-class _Ragged:
+class Ragged:
     """Rows of unequal length that grow at the end, in one array."""
 
     def __init__(self):
@@ -311,9 +311,10 @@ class _Ragged:
 class Coder:
     """Encodes and decodes texts for a byte-level BPE file of the ``tokenizers`` library; one for each worker and file."""
 
-    _own: dict[str, Coder] = {}
+    _own: dict[tuple[str, bool], Coder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
+        """Without ``specials`` the strings of special tokens are ordinary text."""
         import regex
         from tokenizers import Tokenizer
 
@@ -331,19 +332,19 @@ class Coder:
         labels = {i: bytes(byte_of[c] for c in t) for t, i in ids.items() if t not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.automaton = Automaton(labels | {i: s.encode() for s, i in self.special.items()}, [(ids[a], ids[b], ids[a + b]) for a, b in merges])
-        self._find = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self._find = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special and specials else None
         self._own_words, self._library_words = regex.compile(PATTERN).findall, lib.pre_tokenizer.pre_tokenize_str
         self._clear()
 
     @classmethod
-    def of(cls, path: str) -> Coder:
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+    def of(cls, path: str, specials: bool = True) -> Coder:
+        if (path, specials) not in cls._own:
+            cls._own[path, specials] = cls(path, specials)
+        return cls._own[path, specials]
 
     def _clear(self) -> None:
-        self.units, self.named = _Names(), _Names()
-        self.unit_ids, self.word_ids = _Ragged(), _Ragged()
+        self.units, self.named = Names(), Names()
+        self.unit_ids, self.word_ids = Ragged(), Ragged()
 
     def words(self, text: str) -> list[str]:
         """The words that the pre-tokenizer splits a text into."""
@@ -380,10 +381,15 @@ class Coder:
         return self.unit_ids.take(items), self.unit_ids.grouped(items, sizes)
 
     def _learn(self) -> None:
-        """Encodes the units that are new, and of their words those that are."""
+        """Encodes the units that are new."""
         new = self.units.taken()
-        if not new:
-            return
+        if new:
+            self.unit_ids.add(*self.ids_of(new))
+
+    def ids_of(self, new: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and how many each has; only words that are new are walked."""
+        if self.named.chars > STORE_CHARS:
+            self.named, self.word_ids = Names(), Ragged()
         # units that begin where white space does, and end in none, make up a text that is split at once
         joins = [u[0] in " \n" and not u[-1].isspace() for u in new]
         joined = [u for u, j in zip(new, joins, strict=True) if j]
@@ -406,7 +412,7 @@ class Coder:
             if isinstance(w, tuple):
                 ids, counts[i] = np.insert(ids, int(counts[:i].sum()), self.special[w[0]]), 1
         self.word_ids.add(ids, counts)
-        self.unit_ids.add(self.word_ids.take(items), self.word_ids.grouped(items, sizes))
+        return self.word_ids.take(items), self.word_ids.grouped(items, sizes)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.automaton.decode(ids).decode("utf-8", "replace")

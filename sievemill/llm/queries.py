@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, automaton, divergence, langid, licenses, mixing, ngramjoin, packing, syncmers, tokencount, toxicity, urlfilter
+from . import alignment, ann, automaton, divergence, langid, licenses, mixing, ngramjoin, packing, syncmers, tokencount, toxicity, urlfilter
 
 QUERIES = {
     "op1_token_counts": tokencount.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.query,
     "op9_ngram_join": ngramjoin.query,
     "op10_toxicity": toxicity.query,
+    "op11_alignment": alignment.query,
     "op12_divergence": divergence.query,
     "op13_bpe_automaton": automaton.query,
 }
