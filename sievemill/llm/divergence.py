@@ -31,8 +31,8 @@ from .common import map_arrow, materialize, partitions, slices, table
 MIN_DOCS, TOP = 10, 10
 #: Counters of a row of the sketch, rows, and counters of a block: the sketch takes 64 MB in a task, its answer 2 MB everywhere.
 WIDTH, DEPTH, BLOCK = 1 << 22, 4, 1 << 14
-#: Different terms that a task holds before it hands them on.
-HELD = 600_000
+#: Different terms of sources that a task holds before it hands them on.
+HELD = 900_000
 #: Bytes that are part of a term stay, A-Z in lower case; all others separate.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -108,35 +108,38 @@ def possible(docs: DataFrame, min_docs: int, width: int, depth: int) -> np.ndarr
 
 
 def counted(docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents of every term that may be in enough documents of its
-    language; one row with a null term for every (lang, source)."""
+    """lang, source, term, n, docs for every term that may be in enough documents of its language: occurrences in each
+    source, and in a row without a source the language's documents; a row without a term for every (lang, source)."""
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     reached = possible(docs, min_docs, width, depth)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, docs_of = defaultdict(Counter), defaultdict(Counter)
 
+        def rows(lang: str, source: str | None, found: list[bytes | None], n: list[int], d: list[int]) -> pa.RecordBatch:
+            many = len(found)
+            parts = [pa.array([lang] * many, pa.string()), pa.array([source] * many, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
+            return pa.RecordBatch.from_arrays(parts, ["lang", "source", "term", "n", "docs"])
+
         def put() -> Iterator[pa.RecordBatch]:
-            for (lang, source), n in words_of.items():
-                words = list(n)
-                at = places(lang, words, width, depth)
+            live = {}
+            for lang, d in docs_of.items():
+                words = list(d)
                 ok = np.ones(len(words), bool)
-                for row in range(depth):
-                    ok &= (reached[row][at[row] >> 3] >> (7 - (at[row] & 7)).astype(np.uint8) & 1).astype(bool)
-                d = docs_of[lang, source]
-                live = [w for w, k in zip(words, ok.tolist(), strict=True) if k]
-                cut = len(live) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * cut), pa.array([source] * cut), pa.array([None, *live], pa.binary()).cast(pa.string()), pa.array([0, *map(n.__getitem__, live)], pa.int64()), pa.array([0, *map(d.__getitem__, live)], pa.int64())],
-                    ["lang", "source", "term", "n", "docs"],
-                )
+                for row, at in enumerate(places(lang, words, width, depth)):
+                    ok &= (reached[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                live[lang] = {w: d[w] for w, k in zip(words, ok.tolist(), strict=True) if k}
+                yield rows(lang, None, list(live[lang]), [0] * len(live[lang]), list(live[lang].values()))
+            for (lang, source), n in words_of.items():
+                kept = live[lang].keys() & n.keys()
+                yield rows(lang, source, [None, *kept], [0, *map(n.__getitem__, kept)], [0] * (len(kept) + 1))
             words_of.clear()
             docs_of.clear()
 
         for batch in batches:
             for lang, source, words in _read(batch):
                 words_of[lang, source].update(words)
-                docs_of[lang, source].update(set(words))
+                docs_of[lang].update(set(words))
             if sum(map(len, words_of.values())) > HELD:
                 yield from put()
         yield from put()
@@ -161,9 +164,9 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, width:
     by_term = rows.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs)
     kept = materialize(by_term.select("lang", "term", F.col("n").alias("lang_n")))
     langs = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("lang_n").alias("lang_total"))
-    found = rows.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    found = rows.where("source is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = rows.where("source is not null").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "own", "size", "lang_total")])
     # of a language without kept terms no share is needed
     groups = materialize(groups.withColumn("none", F.when(F.col("size") > 0, _share("0", "total", "size"))))
