@@ -2,7 +2,7 @@
 
 Token ids are those of the ``tokenizers`` library.  For a byte-level vocabulary whose ids follow the order of
 its merges, ``tiktoken`` gives the same ids in a third of the time and is used; texts that hold a special
-string, and other vocabularies, go to the library itself.  Pieces are dealt by hash into tasks of bounded
+string or a very long run of white space, and other vocabularies, go to the library itself.  Pieces are dealt by hash into tasks of bounded
 size and packed online, in the order of their hash.  A bitset keyed by free space finds the fullest open bin
 that still holds a piece; when all bins are open, the fullest closes first.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,9 @@ CAPACITY, END_ID = 2048, 0
 OPEN_BINS, PIECES_PER_TASK = 256, 20_000
 #: Fixed value: the pre-tokens of the byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: From so many characters of white space in a row a text goes to the library: the other encoder's patterns run out of stack.
+LONG_RUN = 10_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -77,7 +81,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if self.plain is None or any(s in text for s in self.special):
+            if self.plain is None or any(s in text for s in self.special) or (len(text) >= LONG_RUN and _RUN.search(text)):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
                 ids = self.plain(text)

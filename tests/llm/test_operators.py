@@ -296,6 +296,17 @@ def test_packing(odd, none, docs):
     assert packing.pack_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", "x", "!", "é"])
+def test_very_long_runs_are_encoded(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.MODEL)
+    lib = Tokenizer.from_file(path)
+    for text in ("word" + run * 2_000_000 + "word", run * 9_999 + "a" + run * 9_999, run * 10_001):
+        assert packing.Encoder.of(path)([text])[0] == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_bounded_bins_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert bins.put(6) == (0, 0) and bins.put(7) == (1, 0)
