@@ -107,45 +107,63 @@ def possible(docs: DataFrame, min_docs: int, width: int, depth: int) -> np.ndarr
     return out.reshape(depth, width // 8)
 
 
+_COUNTS = "lang string, term string, counts array<struct<source: string, n: long>>"
+
+
+def _counts(lang: str, live: dict[bytes, int], words_of: dict[str, Counter]) -> pa.RecordBatch:
+    """A row for each live term (documents by term) with its counts in each source, and one without a term for all sources."""
+    index = {w: i for i, w in enumerate(live)}
+    every, term, code, n = sorted(words_of), [np.arange(len(live))], [np.full(len(live), len(words_of))], [np.fromiter(live.values(), np.int64, len(live))]
+    for k, source in enumerate(every):
+        found = words_of[source]
+        kept = index.keys() & found.keys()
+        term.append(np.fromiter(map(index.__getitem__, kept), np.int64, len(kept)))
+        n.append(np.fromiter(map(found.__getitem__, kept), np.int64, len(kept)))
+        code.append(np.full(len(kept), k))
+    # the row without a term comes last
+    term.append(np.full(len(every), len(live)))
+    code.append(np.arange(len(every)))
+    n.append(np.zeros(len(every), np.int64))
+    at = np.concatenate(term)
+    order = np.argsort(at, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(live) + 1))])
+    pair = pa.StructArray.from_arrays([pa.array([*every, None], pa.string()).take(pa.array(np.concatenate(code)[order])), pa.array(np.concatenate(n)[order])], ["source", "n"])
+    many = len(live) + 1
+    return pa.RecordBatch.from_arrays([pa.array([lang] * many, pa.string()), pa.array([*live, None], pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)], ["lang", "term", "counts"])
+
+
 def counted(docs: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """lang, source, term, n, docs for every term that may be in enough documents of its language: occurrences in each
-    source, and in a row without a source the language's documents; a row without a term for every (lang, source)."""
+    """lang, term, source, n for every term that may be in enough documents of its language: occurrences in each source,
+    and in a row without a source the language's documents; a row without a term for every (lang, source).
+
+    A task hands on one row for each term, with all its sources; they are dealt by term, and stay there for the sums.
+    """
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     reached = possible(docs, min_docs, width, depth)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, docs_of = defaultdict(Counter), defaultdict(Counter)
-
-        def rows(lang: str, source: str | None, found: list[bytes | None], n: list[int], d: list[int]) -> pa.RecordBatch:
-            many = len(found)
-            parts = [pa.array([lang] * many, pa.string()), pa.array([source] * many, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
-            return pa.RecordBatch.from_arrays(parts, ["lang", "source", "term", "n", "docs"])
+        words_of, docs_of = defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter)
 
         def put() -> Iterator[pa.RecordBatch]:
-            live = {}
             for lang, d in docs_of.items():
                 words = list(d)
                 ok = np.ones(len(words), bool)
                 for row, at in enumerate(places(lang, words, width, depth)):
                     ok &= (reached[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                live[lang] = {w: d[w] for w, k in zip(words, ok.tolist(), strict=True) if k}
-                yield rows(lang, None, list(live[lang]), [0] * len(live[lang]), list(live[lang].values()))
-            for (lang, source), n in words_of.items():
-                kept = live[lang].keys() & n.keys()
-                yield rows(lang, source, [None, *kept], [0, *map(n.__getitem__, kept)], [0] * (len(kept) + 1))
+                yield _counts(lang, {w: d[w] for w, k in zip(words, ok.tolist(), strict=True) if k}, words_of[lang])
             words_of.clear()
             docs_of.clear()
 
         for batch in batches:
             for lang, source, words in _read(batch):
-                words_of[lang, source].update(words)
+                words_of[lang][source].update(words)
                 docs_of[lang].update(set(words))
-            if sum(map(len, words_of.values())) > HELD:
+            if sum(len(n) for of in words_of.values() for n in of.values()) > HELD:
                 yield from put()
         yield from put()
 
-    found = map_arrow(docs, count, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = map_arrow(docs, count, _COUNTS).repartition(partitions(docs.sparkSession), "lang", "term")
+    return dealt.select("lang", "term", F.inline("counts")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
 
 
 def _share(n: str, total: str, size: str) -> Column:
@@ -161,7 +179,8 @@ def _apart(p: str, q: str) -> str:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """lang, source, part, item, value, rank: all other sources (``pair``) and the ``top`` terms (``term``) of each source."""
     rows = materialize(counted(docs, min_docs, width, depth))
-    by_term = rows.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs)
+    of = F.when(F.col("source").isNull(), F.col("n"))
+    by_term = rows.where("term is not null").groupBy("lang", "term").agg(F.sum(of).alias("docs"), F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).alias("n")).where(F.col("docs") >= min_docs)
     kept = materialize(by_term.select("lang", "term", F.col("n").alias("lang_n")))
     langs = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("lang_n").alias("lang_total"))
     found = rows.where("source is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
