@@ -87,9 +87,14 @@ def environmental_score(vector: Column, external: Column, pci: Column, pan: Colu
     return _parts(vector, score)
 
 
-def rating(score: Column) -> Column:
-    return F.when(score.isNull(), None).when(score < 0.1, "None").when(score < 4, "Low").when(score < 7, "Medium").when(score < 9, "High").otherwise("Critical")
+def environmental_vector(vector: Column, external: Column, pci: Column, pan: Column, pii: Column) -> Column:
+    """The vector with the temporal metrics, an application's requirements and the attack vector that it leaves."""
+    high = lambda flag: F.when(flag, "H").otherwise("M")
+    av = metric(vector, "AV")
+    left = F.when(~external & (av == "N"), "A").otherwise(av)
+    prefix = F.when(vector.startswith("CVSS:"), vector).otherwise(F.concat(F.lit("CVSS:3.1/"), vector))
+    return F.concat(prefix, F.lit("/E:P/RL:O/RC:C/CR:"), high(pci | pan | pii), F.lit("/IR:"), high(pci | pan), F.lit("/AR:M/MAV:"), left)
 
 
-def sarif_level(severity: Column) -> Column:
-    return F.when(severity.isin("Critical", "High"), "error").when(severity == "Medium", "warning").otherwise("note")
+def rating(score: Column) -> Column:
+    return F.when(score.isNull(), None).when(score < 0.1, "None").when(score < 4, "Low").when(score < 7, "Medium").when(score < 9, "High").otherwise("Critical")
