@@ -16,9 +16,13 @@ def confidence(raw: Column, default: float = 0.5) -> Column:
 
 
 def enum(raw: Column, members: list[str], aliases: dict[str, str], default: str) -> Column:
-    """A member by exact or normalized spelling, else by alias, else the default."""
-    plain = F.regexp_replace(F.lower(F.trim(raw)), "[ _]+", "-")
-    out = F.when(raw.isin(members), raw).when(plain.isin(members), plain)
+    """A member by its very spelling or in lower case with ``_`` for hyphens and blanks, else by alias (spelt so), else the default.
+
+    White space around a value does not count; null and empty are the default.
+    """
+    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+\z", "")
+    plain = F.translate(F.lower(bare), "- ", "__")
+    out = F.when(bare.isin(members), bare).when(plain.isin(members), plain)
     for alias, member in aliases.items():
         out = out.when(plain == alias, F.lit(member))
     return out.otherwise(F.lit(default))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +60,8 @@ def take_within(rows: DataFrame, scope: str, budget: int, share: int) -> DataFra
 def folder_names(repos: DataFrame) -> DataFrame:
     """Adds ``slug`` to (app, ord, name): the name's last part, with a hash of the name where an earlier one took it.
 
-    A trailing ``.git`` goes; an empty part is ``repo``.  A name that repeats is hashed on, once for each repeat.  A
-    last part that itself looks like another's hashed one is left as it is.
+    A trailing ``.git`` goes; an empty part is ``repo``.  A name that repeats is hashed on, once for each repeat.  Only
+    where a last part is itself another's hashed one is an app's list gone through in order, in one task.
     """
     tail = F.regexp_replace(F.substring_index(F.regexp_replace("name", "/+$", ""), "/", -1), r"(?i)\.git$", "")
     base = repos.withColumn("_base", F.when(tail == "", "repo").otherwise(tail))
@@ -68,7 +71,25 @@ def folder_names(repos: DataFrame) -> DataFrame:
     base = base.withColumn("_again", again.cast("int"))
     hashed = lambda salt: F.concat("_base", F.lit("-"), F.substring(F.sha1(salt), 1, 8))
     more = F.aggregate(F.sequence(F.lit(1), F.col("_again")), F.lit(""), lambda acc, _: hashed(F.concat(acc, "name")))
-    return base.withColumn("slug", F.when(F.col("_first"), F.col("_base")).otherwise(more)).drop("_base", "_first", "_again")
+    named = base.withColumn("slug", F.when(F.col("_first"), F.col("_base")).otherwise(more)).drop("_first", "_again")
+    # without two of the same, no name has met another's hash, and going in order gives the same
+    named = named.withColumn("_n", F.count("*").over(Window.partitionBy("app", "slug"))).withColumn("_n", F.max("_n").over(Window.partitionBy("app")))
+    done = named.where("_n = 1").drop("_base", "_n")
+    in_order = named.where("_n > 1").drop("_n").groupBy("app").applyInPandas(_in_order, named.drop("_n").schema).drop("_base")
+    return done.unionByName(in_order)
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("ord", kind="stable")
+    used: set[str] = set()
+    for i, (base, name) in enumerate(zip(rows["_base"], rows["name"], strict=True)):
+        slug, salt = base, name
+        while slug in used:
+            slug = f"{base}-{hashlib.sha1(salt.encode()).hexdigest()[:8]}"
+            salt = slug + name
+        used.add(slug)
+        rows.iloc[i, rows.columns.get_loc("slug")] = slug
+    return rows
 
 
 def cohesive(files: DataFrame, modules: DataFrame, edges: DataFrame) -> DataFrame:

@@ -26,14 +26,27 @@ def by_severity(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def attach(findings: DataFrame, links: DataFrame) -> DataFrame:
+def attach(findings: DataFrame, links: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """(ord, dup, file, line_start, line_end): the further places of each canonical finding.
 
     ``links`` (dup, canonical) may chain; a place counts once, from its first duplicate, and not if it overlaps the
-    canonical's own lines in the same file.
+    canonical's own lines in the same file.  ``earlier`` (ord, place, file, line_start, line_end) has the places that
+    findings had before: those of a duplicate go to its root, after its own place, without a look at overlaps, and those
+    that the root had come first.  Findings without a link keep theirs as they are; ``dup`` is where a place came from.
     """
     root = graph.roots(links.select(F.col("dup").alias("node"), "canonical")).where("node != root")
     own = findings.select(F.col("ord").alias("root"), F.col("file").alias("own_file"), F.col("line_start").alias("own_start"), F.col("line_end").alias("own_end"))
     met = root.join(findings, F.col("node") == F.col("ord")).drop("ord").join(own, "root")
     same = (F.col("file") == F.col("own_file")) & (F.col("line_start") <= F.col("own_end")) & (F.col("own_start") <= F.col("line_end"))
-    return met.where(~same).groupBy(F.col("root").alias("ord"), "file", "line_start", "line_end").agg(F.min("node").alias("dup")).select("ord", "dup", "file", "line_start", "line_end")
+    spot = ["file", "line_start", "line_end"]
+    key = lambda group, place: F.struct(F.lit(group).alias("group"), F.col("dup"), F.lit(place).cast("long").alias("place") if isinstance(place, int) else F.col(place).cast("long").alias("place"))
+    found = met.where(~same).select(F.col("root").alias("ord"), F.col("node").alias("dup"), *spot).withColumn("key", key(1, -1))
+    if earlier is not None:
+        had = earlier.join(root.select(F.col("node").alias("ord"), "root"), "ord", "left")
+        moved = had.where("root is not null").select(F.col("root").alias("ord"), F.col("ord").alias("dup"), *spot, "place").withColumn("key", key(1, "place")).drop("place")
+        ends = root.select(F.col("root").alias("ord")).distinct()
+        kept = had.where("root is null").join(ends, "ord", "left_semi").select("ord", F.col("ord").alias("dup"), *spot, "place").withColumn("key", key(0, "place")).drop("place")
+        alone = had.where("root is null").join(ends, "ord", "left_anti").select("ord", F.col("ord").alias("dup"), *spot)
+        found = found.unionByName(moved).unionByName(kept)
+    once = found.groupBy("ord", *spot).agg(F.min("key").alias("key")).select("ord", "key.dup", *spot)
+    return once if earlier is None else once.unionByName(alone)
