@@ -43,12 +43,18 @@ def _remove_left() -> None:
             continue
 
 
+def new_folder(spark: SparkSession, name: str = "rounds") -> str:
+    """The name of a folder that is not there yet; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df``, from files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _left[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tiles(files: DataFrame, width: int = 600, step: int = 500) -> DataFrame:
@@ -25,17 +29,29 @@ def merge_intervals(anchors: DataFrame, around: int = 300, gap: int = 100) -> Da
 
 
 def pack_in_order(items: DataFrame, group: str, capacity: int, most: int) -> DataFrame:
-    """Adds ``shard`` (from 1): items in order of ``ord`` start a new one when size or count would exceed its bound."""
-    kind = "struct<shard:int,size:bigint,n:int,out:array<struct<ord:bigint,shard:int>>>"
-    start = F.from_json(F.lit('{"shard":0,"size":0,"n":0,"out":[]}'), kind)
-
-    def step(acc, x):
-        fits = (acc["n"] > 0) & (acc["n"] < most) & (acc["size"] + x["size"] <= capacity)
-        shard = F.when(fits, acc["shard"]).otherwise(acc["shard"] + 1)
-        return F.struct(shard.alias("shard"), F.when(fits, acc["size"] + x["size"]).otherwise(x["size"]).alias("size"), F.when(fits, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.array_append(acc["out"], F.struct(x["ord"].alias("ord"), shard.alias("shard"))).alias("out")).cast(kind)
+    """(group, ord, shard): items in order of ``ord`` start a new shard (from 1) when size or count would exceed its bound.
 
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("size").cast("long").alias("size")))).alias("rows"))
-    return rows.select(group, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(group, "x.ord", "x.shard")
+    The first item of a shard may be larger than ``capacity``; a null size is 0.  A group's items pass by once, in
+    order, and nothing of them is held: where a shard begins depends on all before it.
+    """
+    rows = items.select(group, "ord", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")).repartition(group).sortWithinPartitions(group, "ord", "size")
+    schema = T.StructType([items.schema[group], items.schema["ord"], T.StructField("shard", T.IntegerType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shard, size, n = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if shard == 0 or key != last:
+                    last, shard, size, n = key, 1, x, 1
+                elif n < most and size + x <= capacity:
+                    size, n = size + x, n + 1
+                else:
+                    shard, size, n = shard + 1, x, 1
+                out.append(shard)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [group, "ord", "shard"])
+
+    return rows.mapInArrow(walk, schema)
 
 
 def retain(rows: DataFrame, group: str, newest: int, oldest) -> DataFrame:

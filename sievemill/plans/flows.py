@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.operators import paths
+from sievemill.operators import chunks, paths
 from sievemill.plans import views
 from sievemill.plans.matching import _q, _s
 from sievemill.plans.parsing import pick
@@ -98,3 +98,31 @@ SELECT scope, rank, 'taint-' || lpad(CAST(rank AS VARCHAR), 2, '0') AS id, ord A
   'Taint path: ' || CASE WHEN open THEN 'UNAUTH ' ELSE '' END || kind || ' input at ' || function || '() [' || file || '] flows via ' || replace(steps, ' ', ' -> ') || ' to sink ' || {_LAST('sink')} || '() [' || said || ']. Verify every hop for sanitization/validation; if none, this is exploitable.' AS hypothesis
 FROM ranked WHERE rank <= 30"""),
 }
+
+
+_OF_DOC = "src/{lang}/p{doc_id % 7}/f{doc_id}.c"
+
+
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a file for each document; some files belong to modules, some call one of their chunk."""
+    n = F.col("doc_id")
+    d = views.table(spark, sf_dir, "documents").select(F.col("source").alias("scope"), _s("c{doc_id % 5}").alias("chunk"), n.alias("ord"), _s(_OF_DOC).alias("path"), F.expr("n_chars div 20").alias("loc"), F.col("n_chars").alias("chars"))
+    modules = d.where("ord % 6 < 2").select("scope", (F.col("ord") % 6).alias("ord"), (-F.col("ord")).alias("place"), "path")
+    edges = d.select("scope", F.col("ord").alias("k"), F.col("path").alias("caller")).where("k % 3 != 0").join(d.select("scope", (F.col("ord") + 100).alias("k"), F.col("path").alias("callee")), ["scope", "k"])
+    out = chunks.split(d, modules, edges, 250, 4)
+    return out.select("scope", "id", F.array_join("files", " ").alias("files"), "loc", "size")
+
+
+QUERIES["split_chunks"] = (split_chunks, f"""WITH RECURSIVE d AS (SELECT source AS scope, 'c' || doc_id % 5 AS chunk, doc_id AS n, {_q(_OF_DOC)} AS path, n_chars // 20 AS loc FROM documents),
+t AS (SELECT scope, chunk, sum(loc) <= 250 AND count(*) <= 4 AS fits FROM d GROUP BY ALL), l AS (SELECT d.* FROM d JOIN t USING (scope, chunk) WHERE NOT fits),
+e AS (SELECT a.scope, a.n AS x, b.n AS y FROM d a JOIN d b ON a.scope = b.scope AND b.n = a.n - 100 WHERE a.n % 3 != 0), every AS (SELECT * FROM e UNION SELECT scope, y, x FROM e),
+i AS (SELECT b.* FROM every b JOIN l a ON a.n = x JOIN l c ON c.n = y WHERE a.n % 6 >= 2 AND c.n % 6 >= 2 AND a.chunk = c.chunk),
+r(x, y) AS (SELECT n, n FROM l WHERE n % 6 >= 2 AND n IN (SELECT x FROM every) UNION SELECT r.x, i.y FROM r JOIN i ON i.x = r.y), c AS (SELECT r.x AS n, min(l.path) AS component FROM r JOIN l ON l.n = r.y GROUP BY 1),
+g AS (SELECT l.*, CASE WHEN n % 6 < 2 THEN 0 WHEN component IS NOT NULL THEN 1 ELSE 2 END AS kind, CASE WHEN n % 6 < 2 THEN n % 6 ELSE 0 END AS m, CASE WHEN n % 6 < 2 THEN '' ELSE coalesce(component, split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) END AS label, CASE WHEN n % 6 < 2 THEN -n ELSE 0 END AS place FROM l LEFT JOIN c USING (n)),
+f AS (SELECT scope, chunk, kind, m, label, list({{'p': path, 'loc': loc}} ORDER BY place, path) AS rows FROM g GROUP BY ALL),
+s AS (SELECT *, 1 AS i, 0 AS shard, CAST(0 AS HUGEINT) AS total, 0 AS k, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS loc FROM f
+  UNION ALL SELECT scope, chunk, kind, m, label, rows, i + 1, CASE WHEN fits THEN shard ELSE shard + 1 END, CASE WHEN fits THEN total + rows[i].loc ELSE rows[i].loc END, CASE WHEN fits THEN k + 1 ELSE 1 END, rows[i].p, rows[i].loc FROM (SELECT *, k > 0 AND k < 4 AND total + rows[i].loc <= 250 AS fits FROM s WHERE i <= len(rows))),
+p AS (SELECT scope, chunk, path, loc, i, kind, dense_rank() OVER (PARTITION BY scope, chunk ORDER BY kind, m, label, shard) AS part FROM s WHERE path IS NOT NULL),
+o AS (SELECT scope, chunk || '-' || CASE WHEN part <= 26 THEN chr(CAST(96 + part AS INT)) ELSE CAST(part AS VARCHAR) END AS id, string_agg(path, ' ' ORDER BY i) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM p GROUP BY scope, chunk, part
+  UNION ALL SELECT scope, chunk, string_agg(path, ' ' ORDER BY n), CAST(sum(loc) AS BIGINT) FROM d JOIN t USING (scope, chunk) WHERE fits GROUP BY 1, 2)
+SELECT *, CASE WHEN loc < 2000 THEN 'small' WHEN loc < 8000 THEN 'medium' ELSE 'large' END AS size FROM o""")

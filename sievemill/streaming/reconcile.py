@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.operators import rounds
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or a temporary one where a local session has none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='sievemill-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for one stream, where all executors and later runs find it; it is removed when the driver ends."""
+    return rounds.new_folder(spark, "stream")
 
 
 def judge_arriving(arriving: DataFrame, folder: str) -> DataFrame:
