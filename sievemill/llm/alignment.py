@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .automaton import RARE_SPACES, Coder, Names, Ragged
-from .common import map_arrow, materialize, slices, table
+from .common import kept_in_worker, map_arrow, materialize, slices, table
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: UTF-8 bytes of a block of documents; characters of units and numbers of groups that a worker keeps.
@@ -85,7 +85,7 @@ class Pieces:
 class Aligner:
     """Groups of texts; one for each worker and pair of files."""
 
-    _own: dict[tuple[str, str], Aligner] = {}
+    _own: dict[tuple[str, str], Aligner] = kept_in_worker({})
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = Coder.of(byte_path, False), Pieces(piece_path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import kept_in_worker, map_slices, table
 from .packing import PATTERN, _byte_of
 
 MODEL = "byte_bpe_50k.json"
@@ -311,7 +311,7 @@ class Ragged:
 class Coder:
     """Encodes and decodes texts for a byte-level BPE file of the ``tokenizers`` library; one for each worker and file."""
 
-    _own: dict[tuple[str, bool], Coder] = {}
+    _own: dict[tuple[str, bool], Coder] = kept_in_worker({})
 
     def __init__(self, path: str, specials: bool = True):
         """Without ``specials`` the strings of special tokens are ordinary text."""

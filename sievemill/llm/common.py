@@ -7,6 +7,7 @@ import ctypes
 import gc
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -99,6 +100,13 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
 
 
 _held: list = []
+#: What else modules keep in a worker, to be emptied when room is needed.
+_stores: list[dict] = []
+
+
+def kept_in_worker(store: dict) -> dict:
+    _stores.append(store)
+    return store
 
 
 def held(owner, make: Callable):
@@ -110,6 +118,25 @@ def held(owner, make: Callable):
 
 def release() -> None:
     _held.clear()
+    for store in _stores:
+        store.clear()
+
+
+def release_everywhere(spark: SparkSession) -> None:
+    """Lets the workers of all executors drop what they keep, before one of them needs room.
+
+    As many tasks as there are cores run at the same time, so that each worker gets one.  Only memory depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        gc.collect()
+        give_back()
+        time.sleep(0.5)
+        yield from batches
+
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").count()
 
 
 def give_back() -> None:
@@ -161,6 +188,7 @@ def windows(text: str, key: Column, chars: int, n: int) -> Column:
 
 def fitted(rows: DataFrame, fit: Callable[[list[tuple]], object]):
     """What ``fit`` makes of all of a bounded table's rows, in one task; None if that gives nothing."""
+    release_everywhere(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ = [tuple(r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, table
+from .common import kept_in_worker, map_slices, materialize, table
 
 MODEL = "byte_bpe_50k.json"
 CAPACITY, END_ID = 2048, 0
@@ -48,7 +48,7 @@ def _byte_of() -> dict[str, int]:
 class Encoder:
     """Texts to the bytes of their little-endian unsigned 32-bit ids; one for each worker and model."""
 
-    _own: dict[str, Encoder] = {}
+    _own: dict[str, Encoder] = kept_in_worker({})
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import kept_in_worker, map_slices, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -155,7 +155,7 @@ class _Store(dict):
 class Counter:
     """Counts texts in batches; one for each worker and model."""
 
-    _own: dict[str, Counter] = {}
+    _own: dict[str, Counter] = kept_in_worker({})
 
     def __init__(self, path: str):
         self.merger = Merger(path)
