@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import coerce, cvss
 from sievemill.operators import aggregates, filters, graph, joins, selection, votes, windows
-from sievemill.plans import code, coverage, documents, flows, judging, matching, parsing, records, reports, streams, texts, values, views
+from sievemill.plans import code, coverage, documents, flows, judging, markdown_reports, matching, parsing, records, reports, streams, texts, values, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -291,7 +291,7 @@ def vote_collapse_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("tier", F.desc("confidence"), "ord").limit(50)
 
 
-for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES | parsing.QUERIES | records.QUERIES | matching.QUERIES | coverage.QUERIES | judging.QUERIES | flows.QUERIES | code.QUERIES | documents.QUERIES | values.QUERIES | streams.QUERIES).items():
+for _name, (_f, _sql) in (texts.QUERIES | reports.QUERIES | parsing.QUERIES | records.QUERIES | matching.QUERIES | coverage.QUERIES | judging.QUERIES | flows.QUERIES | code.QUERIES | documents.QUERIES | values.QUERIES | streams.QUERIES | markdown_reports.QUERIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql
