@@ -57,15 +57,28 @@ _STEPS = {"{": re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|[{}]', re.DOTALL), "[":
 _LOOSE = re.compile(r'\\(?:(["\\/nrtu])|)')
 
 
-def _balanced(text: str, at: int) -> str | None:
-    """From a bracket to the one that closes it, outside strings."""
-    depth = 0
-    for step in _STEPS[text[at]].finditer(text, at):
-        if len(mark := step.group()) == 1 and mark != '"':
-            depth += 1 if mark == text[at] else -1
-            if not depth:
-                return text[at : step.end()]
-    return None
+_OPENER = re.compile(r"[{\[]")
+
+
+def _balanced(text: str, at: int, ends: dict[int, int]) -> str | None:
+    """From a bracket to the one that closes it, outside strings.
+
+    ``ends`` keeps where the brackets met on the way close, 0 for nowhere: a text of brackets that never close is gone
+    through once for them all, or once more for those that stand within another's strings.
+    """
+    if at not in ends:
+        open_: list[int] = []
+        for step in _STEPS[text[at]].finditer(text, at):
+            if len(mark := step.group()) != 1 or mark == '"':
+                continue
+            if mark == text[at]:
+                open_.append(step.start())
+                continue
+            ends[open_.pop()] = step.end()
+            if not open_:
+                break
+        ends |= dict.fromkeys(open_, 0)
+    return text[at : ends[at]] if ends[at] else None
 
 
 def _value(span: str):
@@ -79,16 +92,14 @@ def _value(span: str):
 
 
 def _values(part: str) -> Iterator:
-    at = 0
-    for _ in range(len(part)):
-        opened = min((p for b in "{[" if (p := part.find(b, at)) >= 0), default=-1)
-        if opened < 0:
-            return
-        span = _balanced(part, opened)
+    at, ends = 0, {}
+    while opened := _OPENER.search(part, at):
+        at = opened.start()
+        span = _balanced(part, at, ends)
         value = None if span is None else _value(span)
         if value is not None:
             yield value
-        at = opened + (len(span) if span else 1)
+        at += len(span) if span else 1
 
 
 def json_of(text: str | None) -> str | None:

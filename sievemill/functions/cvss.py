@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the public CVSS 3.1 specification.
@@ -87,6 +87,46 @@ def environmental_score(vector: Column, external: Column, pci: Column, pan: Colu
     return _parts(vector, score)
 
 
+def _staged(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` with the parts of a vector's score as columns that begin with ``_``, in steps that stay in generated code."""
+    rows = rows.withColumns({f"_{x}": metric(F.col(vector), x) for x in ("AV", "AC", "PR", "UI", "S", "C", "I", "A")})
+    rows = rows.withColumn("_changed", F.col("_S") == "C")
+    pr = F.when(F.col("_changed"), _value(F.col("_PR"), PR_CHANGED)).otherwise(_value(F.col("_PR"), PR))
+    return rows.withColumns({"_av": F.col("_AV"), "_rest": _value(F.col("_AC"), AC), "_pr": pr, "_ui": _value(F.col("_UI"), UI), **{f"_{x.lower()}": _value(F.col(f"_{x}"), CIA) for x in "CIA"}, "_scope": F.col("_S").isin("U", "C")})
+
+
+_STAGES = ["_AV", "_AC", "_PR", "_UI", "_S", "_C", "_I", "_A", "_changed", "_av", "_rest", "_pr", "_ui", "_c", "_i", "_a", "_scope", "_exploit", "_iss", "_impact", "_known", "_raw"]
+
+
+def _closed(rows: DataFrame, out: str, scale) -> DataFrame:
+    rows = rows.withColumn("_known", F.col("_scope") & F.col("_exploit").isNotNull() & F.col("_iss").isNotNull())
+    both = F.col("_impact") + F.col("_exploit")
+    rows = rows.withColumn("_raw", F.least(F.when(F.col("_changed"), 1.08 * both).otherwise(both), F.lit(10.0)))
+    score = F.when(F.col("_known") & (F.col("_impact") <= 0), F.lit(0.0)).when(F.col("_known"), scale(F.col("_raw")))
+    return rows.withColumn(out, score).drop(*_STAGES)
+
+
+def with_base_score(rows: DataFrame, vector: str, out: str) -> DataFrame:
+    """``rows`` with :func:`base_score` of a column as ``out``: the same values, for many rows.  No column begins with ``_``."""
+    rows = _staged(rows, vector)
+    rows = rows.withColumns({"_exploit": F.lit(8.22) * _value(F.col("_av"), AV) * F.col("_rest") * F.col("_pr") * F.col("_ui"), "_iss": 1 - (1 - F.col("_c")) * (1 - F.col("_i")) * (1 - F.col("_a"))})
+    rows = rows.withColumn("_impact", F.when(F.col("_changed"), 7.52 * (F.col("_iss") - 0.029) - 3.25 * F.pow(F.col("_iss") - 0.02, F.lit(15.0))).otherwise(6.42 * F.col("_iss")))
+    return _closed(rows, out, round_up)
+
+
+def with_environmental_score(rows: DataFrame, vector: str, flags: list[str], out: str) -> DataFrame:
+    """``rows`` with :func:`environmental_score` of a column as ``out``; ``flags`` are external, pci, pan and pii."""
+    external, pci, pan, pii = (F.col(c) for c in flags)
+    cr = F.when(pci | pan | pii, F.lit(REQUIREMENT["H"])).otherwise(F.lit(REQUIREMENT["M"]))
+    ir = F.when(pci | pan, F.lit(REQUIREMENT["H"])).otherwise(F.lit(REQUIREMENT["M"]))
+    e, rl, rc = TEMPORAL
+    rows = _staged(rows, vector)
+    av = F.when(~external & (F.col("_av") == "N"), F.lit(AV["A"])).otherwise(_value(F.col("_av"), AV))
+    rows = rows.withColumns({"_exploit": F.lit(8.22) * av * F.col("_rest") * F.col("_pr") * F.col("_ui"), "_iss": F.least(1 - (1 - cr * F.col("_c")) * (1 - ir * F.col("_i")) * (1 - F.col("_a")), F.lit(0.915))})
+    rows = rows.withColumn("_impact", F.when(F.col("_changed"), 7.52 * (F.col("_iss") - 0.029) - 3.25 * F.pow(F.col("_iss") * 0.9731 - 0.02, F.lit(13.0))).otherwise(6.42 * F.col("_iss")))
+    return _closed(rows, out, lambda raw: round_up(round_up(raw) * e * rl * rc))
+
+
 def environmental_vector(vector: Column, external: Column, pci: Column, pan: Column, pii: Column) -> Column:
     """The vector with the temporal metrics, an application's requirements and the attack vector that it leaves."""
     high = lambda flag: F.when(flag, "H").otherwise("M")

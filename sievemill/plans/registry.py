@@ -124,7 +124,7 @@ _RATING = lambda x: f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0.1 THEN 'None'
 
 @_query(f"WITH {views.VECTORS}, {_BASE} SELECT ord, vector, score, {_RATING('score')} AS rating FROM base")
 def cvss_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = views.vectors(spark, sf_dir).withColumn("score", cvss.base_score(F.col("vector")))
+    scored = cvss.with_base_score(views.vectors(spark, sf_dir), "vector", "score")
     return scored.select("ord", "vector", "score", cvss.rating(F.col("score")).alias("rating"))
 
 
@@ -139,7 +139,7 @@ env AS (SELECT ord, vector, app, external, CASE WHEN mimpact <= 0 THEN 0.0::DOUB
 @_query(f"WITH {views.VECTORS}, {views.APPLICATIONS}, {_BASE}, {_ENV} SELECT ord, env, {_RATING('env')} AS rating FROM env")
 def env_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, apps = views.vectors(spark, sf_dir), cmdb_inherit(spark, sf_dir)
-    scored = v.join(apps, F.col("app").cast("string") == F.col("id")).withColumn("env", cvss.environmental_score(F.col("vector"), *[F.col(c) for c in ("external", "pci", "pan", "pii")]))
+    scored = cvss.with_environmental_score(v.join(apps, F.col("app").cast("string") == F.col("id")), "vector", ["external", "pci", "pan", "pii"], "env")
     return scored.select("ord", "env", cvss.rating(F.col("env")).alias("rating"))
 
 

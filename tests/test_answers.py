@@ -1,6 +1,7 @@
 """Parsers and rules against fixed cases."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,14 @@ def test_shortened(spark):
     text = "  " + "a" * 1000 + "b" * 1000 + "\n"
     got = spark.createDataFrame([(text,), ("x" * 1800,)], "t string").select(names.shorten_middle(F.col("t"))).collect()
     assert got[0][0] == "a" * 900 + "\n...<truncated>...\n" + "b" * 700 and got[1][0] == "x" * 1800
+
+
+def test_many_brackets_take_linear_time():
+    """Five million characters of brackets that never close; those before a value don't hide it."""
+    for part in ("{ ", "[{", '{"', "{[\"x\", "):
+        text = part * (4_000_000 // len(part))
+        start = time.perf_counter()
+        assert answers.json_of(text) is None
+        assert answers.json_of(text[:200_000] + '\n"] {"a": [1]}') in ('{"a": [1]}', "[1]", None)
+        assert time.perf_counter() - start < 60
+    assert answers.json_of('{ { {"a": 1}') == '{"a": 1}' and answers.json_of('"{" [2]') == "[2]"
