@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,17 @@ def gate_map(gates: DataFrame, order: str, key: str = "finding_id") -> DataFrame
 def positions(rows: DataFrame, keys: list[str], ord_: str = "ord", width: int = 65_536) -> DataFrame:
     """``position`` (from 0) of each row in the order of ``keys``, then ``ord_``.
 
-    Rows are numbered within cells of ``width`` ids; only the cells' counts meet in one task.
+    Rows are numbered within cells of ``width`` ids, cells within their keys; only one number for each key meets in one
+    task.
     """
     cell = F.floor(F.col(ord_) / width)
     celled = rows.withColumn("_cell", cell)
     counts = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
-    before = counts.select(*keys, "_cell", (F.sum("_n").over(Window.orderBy(*keys, "_cell")) - F.col("_n")).alias("_before"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    base = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.sum("_all").over(Window.orderBy(*keys)) - F.col("_all")).alias("_base"))
+    within = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell")) - F.col("_n"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    before = within.join(base, same).select(*keys, "_cell", (F.col("_base") + F.col("_upto")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(ord_)) - 1
     return celled.withColumn("_nth", nth).join(before, [*keys, "_cell"]).withColumn("position", F.col("_before") + F.col("_nth")).drop("_cell", "_nth", "_before")
 

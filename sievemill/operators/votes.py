@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quorum(findings: DataFrame, threshold: int = 2, bucket: int = 10) -> DataFrame:
@@ -18,21 +23,39 @@ def quorum(findings: DataFrame, threshold: int = 2, bucket: int = 10) -> DataFra
 
 
 def collapse_overlaps(findings: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Adds ``root``: the earlier survivor of the same file and class that a row overlaps or starts near, else its own ord.
+    """(file, vuln_class, ord, root): the earliest survivor of the same file and class that a row overlaps or starts near,
+    else its own ord.
 
-    Greedy in order of ``ord`` and only against survivors, hence not transitive: an ordered fold over each
-    group.  Groups are one file and class; the fold keeps survivors only.
+    Greedy in order of ``ord`` and only against survivors, hence not transitive.  Rows pass by once, in order; only the
+    survivors of one file and class are held, by their first lines: as they don't overlap, those that a row meets stand
+    side by side.  Rows without lines survive and meet none.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ord", "line_start", "line_end")))
-    near = lambda s, x: (F.abs(s["line_start"] - x["line_start"]) <= tolerance) | ((s["line_start"] <= x["line_end"]) & (x["line_start"] <= s["line_end"]))
-    kind = "struct<kept:array<struct<ord:bigint,line_start:bigint,line_end:bigint>>,out:array<struct<ord:bigint,root:bigint>>>"
-    start = F.from_json(F.lit('{"kept":[],"out":[]}'), kind)
-
-    def step(acc, x):
-        hit = F.get(F.filter(acc["kept"], lambda s: near(s, x)), 0)
-        row = F.struct(x["ord"].alias("ord"), F.coalesce(hit["ord"], x["ord"]).alias("root"))
-        return F.struct(F.when(hit.isNull(), F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"), F.array_append(acc["out"], row).alias("out")).cast(kind)
-
-    grouped = findings.select("file", "vuln_class", "ord", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end")).groupBy("file", "vuln_class").agg(rows.alias("rows"))
-    folded = grouped.select("file", "vuln_class", F.explode(F.aggregate("rows", start, step)["out"]).alias("x"))
-    return folded.select("file", "vuln_class", "x.ord", "x.root")
+    rows = findings.select("file", "vuln_class", "ord", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    schema = T.StructType([rows.schema[c] for c in ("file", "vuln_class", "ord")] + [T.StructField("root", rows.schema["ord"].dataType)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, turned = None, [], False
+        for batch in batches:
+            roots = []
+            for file, kind, ord_, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (file, kind):
+                    group, kept, turned = (file, kind), [], False
+                root = ord_
+                if first is not None and last is not None:
+                    lo, hi = 0, len(kept)
+                    if not turned and first <= last:
+                        lo = bisect.bisect_left(kept, (first - tolerance,))
+                        while lo and kept[lo - 1][1] >= first:
+                            lo -= 1
+                        hi = bisect.bisect_right(kept, (max(last, first + tolerance) + 1,))
+                    met = [o for s, e, o in kept[lo:hi] if abs(s - first) <= tolerance or (s <= last and first <= e)]
+                    if met:
+                        root = min(met)
+                    else:
+                        # lines the wrong way round may stand anywhere: from then on all survivors are looked at
+                        turned = turned or first > last
+                        bisect.insort(kept, (first, last, ord_))
+                roots.append(root)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, batch.schema.field("ord").type)], ["file", "vuln_class", "ord", "root"])
+
+    return rows.repartition("file", "vuln_class").sortWithinPartitions("file", "vuln_class", "ord", "line_start", "line_end").mapInArrow(walk, schema)
