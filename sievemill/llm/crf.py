@@ -207,6 +207,22 @@ def in_context(table: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int
     return e
 
 
+def _compact(words: list[str], slice_: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that any word has, each word's as places among these, and how many each word has; a slice of words at a time."""
+    parts, sizes = [], []
+    for lo in range(0, len(words), slice_):
+        number, begin = features(words[lo : lo + slice_], {})
+        parts.append(number.astype(np.int32))
+        sizes.append(np.diff(np.append(begin, len(number))))
+    number = np.concatenate(parts)
+    seen = np.zeros(1 << BITS, bool)
+    seen[number] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    return used, place[number], np.concatenate(sizes)
+
+
 def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndarray], warm: int = 24, steps: int = 36, rate: float = 0.15, decay: float = 2e-5, beside: float = 10.0, bias: float = -5.0, doubt: float = 0.05, chunk: int = 40_000) -> Model:
     """Tags 0 and 1 from labels of whole sequences: an unmarked one has no tag 1, a marked one has one at least.
 
@@ -220,11 +236,8 @@ def fit_bags(sequences: list[list[str]], marked: np.ndarray, seeds: list[np.ndar
     tokens = np.fromiter((index.setdefault(w, len(index)) for s in sequences for w in s), np.int64)
     counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
     seed = np.concatenate(seeds).astype(float)
-    number, begin = features(list(index), {})
-    used, compact = np.unique(number.astype(np.int32), return_inverse=True)
-    compact = compact.astype(np.int32)
-    sizes = np.diff(np.append(begin, len(number)))
-    del number
+    used, compact, sizes = _compact(list(index))
+    begin = np.cumsum(sizes) - sizes
     scale = 1 / np.sqrt(sizes)
     ends = np.cumsum(counts)
     seeded = np.add.reduceat(seed, ends - counts) > 0
