@@ -43,7 +43,11 @@ def match_results(reports: DataFrame, results: DataFrame, scope: str, unique: bo
     at = results.groupBy(scope, "file", F.col("line").alias("line_start")).agg(F.min("ord").alias("by_place")).where(~blank(F.col("file")))
     left = reports.join(at, [scope, "file", "line_start"], "left")
     titles = left.where(F.col("by_place").isNull() & ~blank(F.col("title"))).select(scope, F.trim("title").alias("_title")).distinct()
-    hits = titles.join(results.select(scope, "ord", "text"), scope).where(F.startswith("text", "_title")).groupBy(scope, "_title").agg(F.min("ord").alias("by_title"), F.count("*").alias("_n"))
+    # a text is only met by titles that are its beginning: it offers one of each length that a title of its scope has
+    sizes = titles.groupBy(scope).agg(F.collect_set(F.length("_title")).alias("_sizes"))
+    begun = results.select(scope, "ord", "text").join(sizes, scope).select(scope, "ord", "text", F.explode(F.filter("_sizes", lambda n: n <= F.length("text"))).alias("_size"))
+    begun = begun.select(scope, "ord", F.left("text", F.col("_size")).alias("_title"))
+    hits = titles.join(begun, [scope, "_title"]).groupBy(scope, "_title").agg(F.min("ord").alias("by_title"), F.count("*").alias("_n"))
     if unique:
         hits = hits.where("_n = 1")
     out = left.withColumn("_title", F.trim("title")).join(hits.drop("_n"), [scope, "_title"], "left")
@@ -51,6 +55,27 @@ def match_results(reports: DataFrame, results: DataFrame, scope: str, unique: bo
     return out.withColumn("result", F.coalesce("by_place", "by_title")).withColumn("how", how).drop("_title", "by_place", "by_title")
 
 
+#: Characters by which texts that may contain each other meet.
+_GRAM = 8
+
+
+def containing(short: DataFrame, long: DataFrame, scope: str) -> DataFrame:
+    """(scope, short, long): texts of ``long`` (scope, long) that contain one of ``short`` (scope, short), both distinct.
+
+    Texts meet by the stretch of the short one, up to eight characters, that the fewest long ones of the scope have, and
+    are compared then.  Empty and null texts take no part.
+    """
+    short = short.where("short != ''").withColumn("_n", F.least(F.length("short"), F.lit(_GRAM)))
+    grams = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+    sizes = short.select(scope, "_n").distinct()
+    held = long.join(sizes, scope).where(F.length("long") >= F.col("_n")).select(scope, "long", F.explode(grams(F.col("long"), F.col("_n"))).alias("_gram"))
+    often = held.groupBy(scope, "_gram").agg(F.count("*").alias("_often"))
+    # a stretch that no long text has rules its text out; the rarest one of the others leads to the candidates
+    asked = short.select(scope, "short", F.explode(grams(F.col("short"), F.col("_n"))).alias("_gram")).join(often, [scope, "_gram"], "left")
+    best = asked.groupBy(scope, "short").agg(F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"), F.count_if(F.col("_often").isNull()).alias("_lost")).where("_lost = 0")
+    return best.join(held, [scope, "_gram"]).where(F.contains("long", F.col("short"))).select(scope, "short", "long")
+
+
 def match_titles(headings: DataFrame, reports: DataFrame, scope: str) -> DataFrame:
     """Adds ``report``, the ``id`` of the one report in ``scope`` whose title is the heading's.
 
@@ -63,7 +88,10 @@ def match_titles(headings: DataFrame, reports: DataFrame, scope: str) -> DataFra
     exact = r.groupBy(scope, F.col("_title").alias("_norm")).agg(F.count("*").alias("_same"), F.min("id").alias("_exact"))
     met = h.join(exact, [scope, "_norm"], "left")
     open_ = met.where("_same is null and _norm != ''").select(scope, "_norm").distinct()
-    near = open_.join(r, scope).where(F.contains("_norm", "_title") | F.contains("_title", "_norm")).groupBy(scope, "_norm").agg(F.count("*").alias("_n"), F.min("id").alias("_near")).where("_n = 1")
+    texts = r.select(scope, "_title").distinct()
+    within = containing(texts.withColumnRenamed("_title", "short"), open_.withColumnRenamed("_norm", "long"), scope).select(scope, F.col("long").alias("_norm"), F.col("short").alias("_title"))
+    around = containing(open_.withColumnRenamed("_norm", "short"), texts.withColumnRenamed("_title", "long"), scope).select(scope, F.col("short").alias("_norm"), F.col("long").alias("_title"))
+    near = within.unionByName(around).distinct().join(r, [scope, "_title"]).groupBy(scope, "_norm").agg(F.count("*").alias("_n"), F.min("id").alias("_near")).where("_n = 1")
     out = met.join(near.drop("_n"), [scope, "_norm"], "left")
     return out.withColumn("report", F.when(F.col("_same") == 1, F.col("_exact")).when(F.col("_same").isNull(), F.col("_near"))).drop("_norm", "_same", "_exact", "_near")
 

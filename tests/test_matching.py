@@ -97,3 +97,32 @@ def test_empty_tables_give_no_rows(spark):
         coverage.hop_files(none("path long, ord long, file string"), none("path long, file string"), 3),
     ]
     assert [df.count() for df in out] == [0] * len(out)
+
+
+def test_titles_that_contain_each_other(spark):
+    """Against all pairs: short and long texts, stretches that everything has, and a text that is its own stretch."""
+    import random
+
+    rnd = random.Random(9)
+    words = ["sql", "a", "injection", "in", "the", "report", "of", "é", "x" * 12, ""]
+    title = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 5)))
+    heads = [(s, i, title()) for s in (1, 2) for i in range(60)] + [(1, 99, None), (3, 1, "lone")]
+    reports = [(s, i, title()) for s in (1, 2) for i in range(60)] + [(1, 99, None)]
+    got = matching.match_titles(spark.createDataFrame(heads, "scope long, n long, title string"), spark.createDataFrame(reports, "scope long, id long, title string"), "scope")
+    norm = lambda t: (t or "").strip(" ").lower()
+    want = {}
+    for s, n, t in heads:
+        known = [(i, norm(r)) for q, i, r in reports if q == s and norm(r)]
+        same = [i for i, r in known if r == norm(t)]
+        near = [i for i, r in known if norm(t) and (r in norm(t) or norm(t) in r)]
+        want[s, n] = (same[0] if len(same) == 1 else None) if same else near[0] if len(near) == 1 else None
+    assert {(r.scope, r.n): r.report for r in got.collect()} == want
+    assert any(want.values())
+
+
+def test_results_by_their_beginning(spark):
+    reports = [(1, 1, None, None, "Leak"), (1, 2, "a.c", 3, "x"), (1, 3, None, None, "Leak of keys"), (2, 4, None, None, "Leak"), (1, 5, None, None, " "), (1, 6, None, None, "Leaks")]
+    results = [(1, 10, "b.c", 1, "Leak of keys in b"), (1, 11, "a.c", 3, "other"), (1, 12, "c.c", 1, "Leak"), (2, 13, "c.c", 1, None)]
+    args = spark.createDataFrame(reports, "scope long, id long, file string, line_start long, title string"), spark.createDataFrame(results, "scope long, ord long, file string, line long, text string")
+    assert {r.id: (r.result, r.how) for r in matching.match_results(*args, "scope").collect()} == {1: (10, "title"), 2: (11, "place"), 3: (10, "title"), 4: (None, None), 5: (None, None), 6: (None, None)}
+    assert {r.id: r.result for r in matching.match_results(*args, "scope", unique=True).collect()} == {1: None, 2: 11, 3: 10, 4: None, 5: None, 6: None}
