@@ -77,5 +77,31 @@ def policy_decide(rows: DataFrame, deny: dict[str, str], deny_paths: list[str],
     return rows.withColumn("rule", rule).withColumn("action", action)
 
 
+def policy_gate(rows: DataFrame, deny: list[tuple[str, str, list[str]]], deny_paths: list[str], allow: list[str], default: str = "guidance_only", killed: str | None = None) -> DataFrame:
+    """Adds ``action``, ``reason`` and ``matched`` to rows (cwe, path): the most that a policy allows.
+
+    ``killed`` (``env`` or ``file``) tells that a switch is on, which stops all.  Then, in this order: no weakness, one that
+    ``deny`` (weakness, reason, those below it) names or lists below another, a path that a pattern denies, one that is
+    allowed, the default.  A weakness of its own entry has that entry's reason, the last one's if there are more, else that
+    of the first entry it is below.  The policy is small and known before any row.
+    """
+    if killed:
+        return rows.withColumns({"action": F.lit("guidance_only"), "reason": F.lit(f"kill_switch_{killed}"), "matched": F.lit(None).cast("string")})
+    below = {}
+    for cwe, why, children in deny:
+        for child in children:
+            below.setdefault(child, f"descendant_of:{cwe} ({why})")
+    reasons = below | {cwe: why for cwe, why, _ in deny}
+    denied = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("cwe") == c, F.lit(r)) for c, r in reasons.items()])
+    given = rows.withColumn("_path", F.replace(F.coalesce("path", F.lit("")), F.lit("\\"), F.lit("/")))
+    path = first_hit("_path", deny_paths)
+    allowed = F.coalesce(F.col("cwe").isin(allow), F.lit(False))
+    reason = F.when(F.col("cwe").isNull(), "unmapped_cwe").when(denied.isNotNull(), denied).when(path.isNotNull(), F.concat(F.lit("sensitive_path:"), path)).when(allowed, "allow_list").otherwise("default_action")
+    matched = F.when(F.col("cwe").isNull(), None).when(denied.isNotNull(), F.concat(F.lit("deny:"), "cwe")).when(path.isNotNull(), F.concat(F.lit("deny_path:"), path)).when(allowed, F.concat(F.lit("allow:"), "cwe"))
+    out = given.withColumns({"reason": reason, "matched": matched})
+    action = F.when(F.col("reason") == "allow_list", "patch").when(F.col("reason") == "default_action", F.lit(default)).otherwise("guidance_only")
+    return out.withColumn("action", action).drop("_path")
+
+
 def cap_per_group(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= most)

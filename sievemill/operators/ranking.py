@@ -50,3 +50,21 @@ def attach(findings: DataFrame, links: DataFrame, earlier: DataFrame | None = No
         found = found.unionByName(moved).unionByName(kept)
     once = found.groupBy("ord", *spot).agg(F.min("key").alias("key")).select("ord", "key.dup", *spot)
     return once if earlier is None else once.unionByName(alone)
+
+
+# What a severity counts where there is no score.
+BAND_SCORES = {"CRITICAL": 9.0, "HIGH": 7.0, "MEDIUM": 4.0, "LOW": 1.0}
+
+
+def top_scored(rows: DataFrame, most: int | None) -> DataFrame:
+    """The ``most`` rows (ord, score, severity) with the highest scores, ties by ``ord``, with their ``place`` from 1.
+
+    A null score counts as its severity's, white space and case aside; unknown ones as 0.  Without a positive ``most`` all
+    rows stay as given, and ``place`` follows ``ord``.
+    """
+    if most is None or most <= 0:
+        return rows.withColumn("place", F.row_number().over(Window.orderBy("ord")))
+    band = F.upper(F.trim("severity"))
+    score = F.coalesce(F.col("score").cast("double"), *[F.when(band == k, F.lit(v)) for k, v in BAND_SCORES.items()], F.lit(0.0))
+    best = rows.withColumn("_score", score).orderBy(F.desc("_score"), "ord").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("_score"), "ord"))).drop("_score")

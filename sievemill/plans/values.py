@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import cards, coerce, weakness
-from sievemill.operators import ranking, sarif, trees
+from sievemill.operators import filters, joins, ranking, sarif, trees
 from sievemill.operators.notes import PRIORITIES
 from sievemill.plans import texts, views
 from sievemill.plans.parsing import pick
@@ -142,6 +142,64 @@ a AS (SELECT t.root AS ord, t.dup, d.file, d.line_start, d.line_end, 1 AS k, -1
 o AS (SELECT *, row_number() OVER (PARTITION BY ord, file, line_start, line_end ORDER BY k, dup, place) AS nth FROM a)
 SELECT ord, dup, file, line_start, line_end FROM o WHERE nth = 1 UNION ALL SELECT ord, ord, file, line_start, line_end FROM h WHERE ord NOT IN (SELECT root FROM t) AND ord NOT IN (SELECT dup FROM t)"""
 
+_DENY = [("CWE-416", "lifetime", ["CWE-825", "CWE-122"]), ("CWE-825", "own", []), ("CWE-787", "write", ["CWE-122", "CWE-416"])]
+_NUMBERS = ["CWE-416", "CWE-825", "CWE-122", "CWE-190", "CWE-79", "CWE-1"]
+
+
+def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    path = F.when(n % 8 != 0, F.concat(pick(["src/", "ci/", "a\\ci\\", "tests/x/"], n), F.lit("f.c")))
+    rows = views.table(spark, sf_dir, "events").select(n.alias("ord"), F.when(n % 9 != 0, pick(_NUMBERS, F.expr("event_id div 4"))).alias("cwe"), path.alias("path"))
+    return filters.policy_gate(rows, _DENY, ["**/ci/*", "tests/*"], ["CWE-122", "CWE-190"], "suggest").select("ord", "action", "reason", "matched")
+
+
+def top_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    rows = views.table(spark, sf_dir, "events").select(n.alias("ord"), F.when(n % 3 == 0, (n % 97).cast("double") / 10).alias("score"), pick(["critical ", "High", "MEDIUM", "low", "info", "?"], n).alias("severity"))
+    return ranking.top_scored(rows, 400).select("ord", "place")
+
+
+def app_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as applications and suppliers as components, under ids with zeros before them."""
+    k = F.col("k")
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    text = lambda x: x.cast("string")
+    flag = lambda m, d: F.when(k % m != 0, k % d == 0)
+    flags = [flag(3, 2).alias("external"), flag(4, 3).alias("pci"), flag(5, 4).alias("pan"), flag(7, 5).alias("pii")]
+    apps = c.select(k.alias("ord"), F.concat(pick(["", "0", "00"], k), text(F.expr("k div 2 * 2"))).alias("id"), F.concat(F.lit("app"), text(k)).alias("name"), F.when(k % 5 == 0, "").when(k % 5 == 1, text(k)).when(k % 5 > 2, text(F.expr("k div 3"))).alias("parent_id"), *flags)
+    parts = s.select(k.alias("ord"), F.concat(F.lit("0"), text(k * 3)).alias("id"), F.concat(F.lit("part"), text(k)).alias("name"), F.when(k % 2 == 0, text(k * 2)).alias("parent_id"), *flags)
+    asked = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("0"), text(F.col("p_partkey"))).alias("app"))
+    return joins.lookup_apps(asked, apps, parts).select("ord", "id", "name", "parent_id", *joins.FLAGS, "source")
+
+
+def scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, c = views.table(spark, sf_dir, "part"), views.table(spark, sf_dir, "customer")
+    files = p.select((F.col("p_partkey") % 3).alias("scope"), F.expr("concat('top', p_partkey % 4, '/d', p_size % 5, '/f', p_partkey % 60, '.c')").alias("path"))
+    tops = files.select("scope", F.substring_index("path", "/", 1).alias("top")).where("top != 'top3'")
+    k = F.col("c_custkey")
+    bare = F.expr("concat('d', c_custkey % 5, '/f', c_custkey % 60, '.c')")
+    asked = c.select(k.alias("ord"), (k % 3).alias("scope"), F.concat(pick(["", "././", "/SRV/Repo/", "top1/", "srv\\", "top3/"], F.expr("c_custkey div 3")), bare).alias("path"))
+    return joins.scope_paths(asked, files, tops, ["/srv/repo", "srv"]).select("ord", "resolved", "ambiguous")
+
+
+_POLICY = f"""WITH e AS (SELECT event_id AS ord, CASE WHEN event_id % 9 != 0 THEN {_sql_pick(_NUMBERS, 'event_id // 4')} END AS cwe, CASE WHEN event_id % 8 != 0 THEN event_id % 4 ELSE 0 END AS p FROM events),
+r AS (SELECT *, CASE WHEN cwe IS NULL THEN 'unmapped_cwe' WHEN cwe = 'CWE-416' THEN 'lifetime' WHEN cwe = 'CWE-825' THEN 'own' WHEN cwe = 'CWE-122' THEN 'descendant_of:CWE-416 (lifetime)' WHEN p IN (1, 2) THEN 'sensitive_path:**/ci/*' WHEN p = 3 THEN 'sensitive_path:tests/*' WHEN cwe = 'CWE-190' THEN 'allow_list' ELSE 'default_action' END AS reason FROM e)
+SELECT ord, CASE reason WHEN 'allow_list' THEN 'patch' WHEN 'default_action' THEN 'suggest' ELSE 'guidance_only' END AS action, reason, CASE WHEN cwe IN ('CWE-416', 'CWE-825', 'CWE-122') THEN 'deny:' || cwe WHEN reason LIKE 'sensitive%' THEN 'deny_path:' || split_part(reason, ':', 2) WHEN reason = 'allow_list' THEN 'allow:' || cwe END AS matched FROM r"""
+_TOP = "WITH e AS (SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 97 AS DOUBLE) / 10 ELSE ([9.0, 7.0, 4.0, 1.0, 0.0, 0.0])[CAST(event_id % 6 + 1 AS INT)] END AS s FROM events) SELECT ord, CAST(row_number() OVER (ORDER BY s DESC, ord) AS INT) AS place FROM e ORDER BY s DESC, ord LIMIT 400"
+_AF = lambda m, d: f"CASE WHEN k % {m} != 0 THEN k % {d} = 0 END"
+_APPS = f"""WITH f AS (SELECT k, {_AF(3, 2)} AS external, {_AF(4, 3)} AS pci, {_AF(5, 4)} AS pan, {_AF(7, 5)} AS pii FROM (SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier)),
+a AS (SELECT k // 2 * 2 AS key, arg_max({{'id': (['', '0', '00'])[CAST(k % 3 + 1 AS INT)] || (k // 2 * 2), 'name': 'app' || k, 'parent_id': CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN CAST(k AS VARCHAR) WHEN k % 5 > 2 THEN CAST(k // 3 AS VARCHAR) END, 'external': external, 'pci': pci, 'pan': pan, 'pii': pii}}, k) AS r FROM f WHERE k IN (SELECT c_custkey FROM customer) GROUP BY 1),
+c AS (SELECT k * 3 AS key, {{'id': '0' || k * 3, 'name': 'part' || k, 'parent_id': CASE WHEN k % 2 = 0 THEN CAST(k * 2 AS VARCHAR) END, 'external': external, 'pci': pci, 'pan': pan, 'pii': pii}} AS r FROM f WHERE k IN (SELECT s_suppkey FROM supplier)),
+m AS (SELECT p_partkey AS ord, p_partkey AS key, a.r AS a, c.r AS c, coalesce(a.r, c.r) AS own, CASE WHEN a.r IS NULL THEN c.r.parent_id WHEN a.r.external IS NULL OR a.r.pci IS NULL OR a.r.pan IS NULL OR a.r.pii IS NULL THEN coalesce(nullif(a.r.parent_id, ''), c.r.parent_id) END AS up FROM part LEFT JOIN a ON a.key = p_partkey LEFT JOIN c ON c.key = p_partkey),
+j AS (SELECT m.*, CASE WHEN m.a IS NULL OR b.key != m.key THEN b.r END AS p FROM m LEFT JOIN a b ON b.key = TRY_CAST(m.up AS BIGINT))
+SELECT ord, own.id AS id, own.name AS name, own.parent_id AS parent_id, {', '.join(f"CASE WHEN own IS NOT NULL THEN coalesce(own.{x}, p.{x}, false) END AS {x}" for x in joins.FLAGS)}, CASE WHEN own IS NULL THEN NULL ELSE CASE WHEN a IS NULL THEN 'component' ELSE 'application' END || coalesce('->parent ' || p.id, '') END AS source FROM j"""
+_PATHS = """WITH f AS (SELECT DISTINCT p_partkey % 3 AS scope, 'top' || p_partkey % 4 AS top, 'd' || p_size % 5 || '/f' || p_partkey % 60 || '.c' AS rest FROM part),
+q AS (SELECT c_custkey AS ord, c_custkey % 3 AS scope, c_custkey // 3 % 6 AS how, 'd' || c_custkey % 5 || '/f' || c_custkey % 60 || '.c' AS rest FROM customer),
+e AS (SELECT q.*, (SELECT max(top) FROM f WHERE f.scope = q.scope AND f.rest = q.rest AND top = CASE how WHEN 3 THEN 'top1' WHEN 5 THEN 'top3' END) AS x FROM q),
+b AS (SELECT e.ord, any_value(e.x) AS x, any_value(how) AS how, any_value(e.rest) AS rest, count(f.top) AS n, min(f.top) AS top FROM e LEFT JOIN f ON how NOT IN (3, 5) AND f.scope = e.scope AND f.rest = e.rest AND f.top != 'top3' GROUP BY 1)
+SELECT ord, coalesce(x || '/' || rest, CASE WHEN n = 1 THEN top || '/' || rest END) AS resolved, n > 1 AS ambiguous FROM b"""
+
 QUERIES = {
     "weakness_words": (weakness_words, f"""WITH t AS (SELECT event_id AS ord, coalesce({_PICKED('cwe', [c for _, c in _TITLES], 'event_id')}, CASE event_id // 40 % 3 WHEN 0 THEN 'CWE-74' END) AS cwe FROM events) SELECT ord, cwe, coalesce(cwe || ' - ' || {_named('cwe', weakness.NAMES, 'NULL')}, cwe, '') AS label FROM t"""),
     "enum_values": (enum_values, _ENUM),
@@ -149,4 +207,8 @@ QUERIES = {
     "pan_mask": (pan_mask, _CARD_SQL),
     "redact_tree": (redact_tree, _TREE_SQL),
     "sarif_run": (sarif_run, _SARIF),
+    "policy_gate": (policy_gate, _POLICY),
+    "top_scored": (top_scored, _TOP),
+    "app_lookup": (app_lookup, _APPS),
+    "scope_paths": (scope_paths, _PATHS),
 }
