@@ -27,9 +27,43 @@ def save(rows: DataFrame, folder: str) -> None:
     rows.where((F.octet_length("payload") <= MOST_BYTES) & F.col("run_id").isNotNull() & F.col("step").isNotNull()).write.partitionBy("run_id").mode("append").parquet(folder)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        # names of input files are written as URIs
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_SAVED = "run_id string, step string, payload string, seq long"
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Leaves one row for each key, the latest, and one file for each run.
+
+    What holds is added once more before the files that were there go, so a reader finds it at any time, and after a
+    lost driver nothing is missing: the same row twice is one.  Nothing may be saved meanwhile.
+    """
+    at = spark.read.schema(_SAVED).parquet(folder)
+    before = at.inputFiles()
+    if not before:
+        return
+    fits = at.where(F.octet_length("payload") <= MOST_BYTES)
+    held = fits.groupBy("run_id", "step").agg(F.max(F.struct("seq", "payload")).alias("_x")).select("run_id", "step", "_x.payload", "_x.seq")
+    held.repartition("run_id").write.partitionBy("run_id").mode("append").parquet(folder)
+    _remove(spark, before)
+
+
+def forget(spark: SparkSession, folder: str, run_ids: list[str]) -> int:
+    """Removes all saved steps of some runs, and gives how many keys these had."""
+    at = spark.read.schema(_SAVED).parquet(folder).where(F.col("run_id").isin(run_ids))
+    gone = at.select("run_id", "step").distinct().count()
+    _remove(spark, [r["file_path"] for r in at.select("_metadata.file_path").distinct().collect()])
+    return gone
+
+
 def load(spark: SparkSession, folder: str, run_id: str, step: str, schema: StructType) -> DataFrame:
     """The saved step as one row of ``schema``; no row if there is none or it does not parse: the step runs again."""
-    at = spark.read.schema("run_id string, step string, payload string, seq long").parquet(folder)
+    at = spark.read.schema(_SAVED).parquet(folder)
     kept = latest(at.where((F.col("run_id") == run_id) & (F.col("step") == step)))
     strict = StructType(list(schema.fields)).add("_bad", StringType())
     got = kept.select(F.from_json("payload", strict, {"columnNameOfCorruptRecord": "_bad"}).alias("x")).select("x.*")
