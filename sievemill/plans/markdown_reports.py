@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import weakness
-from sievemill.operators import reports
+from sievemill.operators import batches, reports
 from sievemill.operators.notes import PRIORITIES
 from sievemill.plans import views
 from sievemill.plans.parsing import pick
@@ -102,8 +102,46 @@ _PARSE = f"""WITH o AS (SELECT o_orderkey % 30 AS scope, o_orderkey // 30 AS k,
 SELECT scope, CAST(k AS INT) AS index, {_PICKED('s', [s for _, s, _ in _HEADS], 'k')} AS severity, CASE WHEN k % 3 = 2 THEN 'A title <!-- note -->' ELSE 'A title' END AS title, k % 3 = 0 AS done, {_PICKED('f', [x[1] for x in _FILES], 'f')} AS file, CAST({_PICKED('a', [x[2] for x in _FILES], 'f')} AS INT) AS line_start, CAST({_PICKED('b', [x[3] for x in _FILES], 'f')} AS INT) AS line_end,
   {_PICKED('c', [x[1] for x in _SCORES], 'k')} AS cvss_score, {_PICKED('v', [x[2] for x in _SCORES], 'k')} AS cvss_vector, '0.80' AS confidence, '2' AS votes, 'x' AS snippet, 'last|```py' || chr(10) || 'x' || chr(10) || '```|-' AS sections FROM o"""
 
+_REFS, _ERRORS = ["https://me:secret@host/a|b", "/srv/x", "git+ssh://t@h/r and ftp://u@i"], ["clone of https://u:p@h failed", "line\none | two"]
+_REF_CELLS, _ERROR_CELLS = ["https://***@host/a\\|b", "/srv/x", "git+ssh://***@h/r and ftp://***@i"], ["clone of https://***@h failed", "line one \\| two"]
+
+
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as repositories of a customer's batch."""
+    n = F.col("o_orderkey")
+    o = views.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("batch"), n.alias("ord"), F.concat(F.lit("A|"), (n % 5).cast("string")).alias("app"), F.concat(F.lit("repo"), n.cast("string")).alias("module"), pick(["OK", "FAILED", "OK"], n).alias("status"), (n % 7).alias("findings"), (n.cast("double") / 2).alias("elapsed"), F.when(n % 4 != 0, "r.md").alias("report"), pick(_REFS, n).alias("ref"), pick(_ERRORS, F.expr("o_orderkey div 3")).alias("error"))
+    heads = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch"), F.concat(F.lit("list"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("list_file"), (F.col("c_custkey") + 0.5).cast("double").alias("elapsed"))
+    return batches.summaries(heads, rows).select("batch", F.sha2("text", 256).alias("digest"))
+
+
+_ENTRIES = ['{"tracking_id": "T1", "gates": [{"gate": "a", "status": "pass"}]}', '{"tracking_id": null, "gates": []}', '{"gates": [1, "x]"]}', '{"tracking_id": 7, "gates": {"a": 1}}', '"text"', '{"tracking_id": "T1", "gates": [2]}', '[1]', '{"tracking_id": 9, "gates": [3]}']
+_FOUND = [("T1", '[{"gate":"a","status":"pass"}]'), ("None", "[]"), ("", '[1,"x]"]'), None, None, ("T1", "[2]"), None, ("9", "[3]")]
+
+
+def gate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three entries for each event's run; some texts are no list, or no JSON."""
+    n = F.col("event_id")
+    entries = F.concat(pick(_ENTRIES, n), F.lit(", "), pick(_ENTRIES, F.expr("event_id div 8")), F.lit(","), pick(_ENTRIES, F.expr("event_id div 64")))
+    text = F.when(n % 11 == 0, F.concat(F.lit('{"a": ['), entries, F.lit("]}"))).when(n % 13 == 0, F.concat(F.lit("["), entries)).when(n % 17 != 0, F.concat(F.lit("\n["), entries, F.lit("]")))
+    return batches.gate_lists(views.table(spark, sf_dir, "events").select(n.alias("scope"), text.alias("text")))
+
+
+_CELL = lambda items, n: _sql_pick(items, n)
+_BATCH = f"""WITH r AS (SELECT o_custkey AS batch, o_orderkey AS n, o_orderkey % 3 = 1 AS bad, 'A\\|' || o_orderkey % 5 AS app, 'repo' || o_orderkey AS module, {_CELL(_REF_CELLS, 'o_orderkey')} AS ref, {_CELL(_ERROR_CELLS, 'o_orderkey // 3')} AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+g AS (SELECT batch, count(*) AS n, count(*) FILTER (NOT bad) AS ok, string_agg('| ' || k || ' | ' || app || ' | ' || module || ' | ' || CASE WHEN bad THEN 'FAILED' ELSE 'OK' END || ' | ' || n % 7 || ' | ' || CAST(round_even(n / 2, 0) AS BIGINT) || ' | ' || CASE WHEN n % 4 != 0 THEN '`r.md`' ELSE '' END || ' | ' || ref || ' |' || chr(10), '' ORDER BY k) AS rows,
+  string_agg('### ' || module || ' (app ' || app || ')' || chr(10) || '- Source: `' || ref || '`' || chr(10) || '- Error: ' || error || chr(10) || chr(10), '' ORDER BY k) FILTER (bad) AS lost FROM r GROUP BY 1)
+SELECT c_custkey AS batch, sha256('# Agentic SAST batch summary' || chr(10) || chr(10) || '- Input list: `list' || c_custkey || '.csv`' || chr(10) || '- Repos: ' || coalesce(n, 0) || ' (' || coalesce(ok, 0) || ' OK, ' || coalesce(n - ok, 0) || ' failed)' || chr(10) || '- Total elapsed: ' || CAST(round_even(c_custkey + 0.5, 0) AS BIGINT) || 's' || chr(10) || chr(10)
+  || '| # | App ID | Repo | Status | Findings | Elapsed (s) | Report | Source |' || chr(10) || '|--:|---|---|---|--:|--:|---|---|' || chr(10) || coalesce(rows, '') || coalesce(chr(10) || '## Failures' || chr(10) || chr(10) || lost, '')) AS digest FROM customer LEFT JOIN g ON batch = c_custkey"""
+_IDS, _LISTS = [None if x is None else x[0] for x in _FOUND], [None if x is None else x[1] for x in _FOUND]
+_GATES = f"""WITH e AS (SELECT event_id AS scope, i, event_id // (CASE i WHEN 0 THEN 1 WHEN 1 THEN 8 ELSE 64 END) AS k FROM events, range(3) t(i) WHERE event_id % 11 != 0 AND event_id % 13 != 0 AND event_id % 17 != 0),
+f AS (SELECT scope, i, {_PICKED('t', _IDS, 'k')} AS tracking_id, {_PICKED('g', _LISTS, 'k')} AS gates FROM e), b AS (SELECT scope, count(*) FILTER (gates IS NULL) AS dropped FROM f GROUP BY 1)
+SELECT scope, tracking_id, arg_max(gates, i) AS gates, any_value(dropped) AS dropped FROM f JOIN b USING (scope) WHERE gates IS NOT NULL GROUP BY 1, 2"""
+
 QUERIES = {
     "report_markdown": (report_markdown, _REPORT),
     "report_unconfirmed": (report_unconfirmed, _UNCONFIRMED),
     "report_parse": (report_parse, _PARSE),
+    "batch_summary": (batch_summary, _BATCH),
+    "gate_lists": (gate_lists, _GATES),
 }
