@@ -207,18 +207,18 @@ def in_context(table: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int
     return e
 
 
-def _compact(words: list[str], slice_: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compact(words: list[str], lexicon: dict[str, int] | None = None, slice_: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The features that any word has, each word's as places among these, and how many each word has; a slice of words at a time."""
     parts, sizes = [], []
     for lo in range(0, len(words), slice_):
-        number, begin = features(words[lo : lo + slice_], {})
+        number, begin = features(words[lo : lo + slice_], lexicon or {})
         parts.append(number.astype(np.int32))
         sizes.append(np.diff(np.append(begin, len(number))))
     number = np.concatenate(parts)
-    seen = np.zeros(1 << BITS, bool)
+    seen = np.zeros((1 << BITS) + max((lexicon or {}).values(), default=-1) + 1, bool)
     seen[number] = True
     used = np.flatnonzero(seen)
-    place = np.zeros(1 << BITS, np.int32)
+    place = np.zeros(len(seen), np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     return used, place[number], np.concatenate(sizes)
 
@@ -299,10 +299,8 @@ def fit(sequences: list[list[str]], tags: list[np.ndarray], labels: list, lexico
     tokens = np.fromiter((index.setdefault(w, len(index)) for s in sequences for w in s), np.int64)
     counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
     gold = np.concatenate(tags)
-    number, begin = features(list(index), lexicon)
-    used, compact = np.unique(number, return_inverse=True)
-    sizes = np.diff(np.append(begin, len(number)))
-    owner = np.repeat(np.arange(len(index)), sizes)
+    used, compact, sizes = _compact(list(index), lexicon)
+    begin = np.cumsum(sizes) - sizes
     scale = 1 / np.sqrt(sizes)
     first = np.cumsum(counts) - counts
     gold_pairs = np.zeros((k, k))
@@ -316,11 +314,12 @@ def fit(sequences: list[list[str]], tags: list[np.ndarray], labels: list, lexico
     mean, square = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     total = len(tokens)
     for step in range(1, steps + 1):
-        by_word = np.add.reduceat(p[0][compact], begin, axis=0) * scale[:, None]
+        # one label at a time: all at once would be the largest array of all
+        by_word = np.stack([np.add.reduceat(p[0][:, j][compact], begin) for j in range(k)], 1) * scale[:, None]
         marginal, expected, begun = sweep(by_word[tokens], counts, p[1], p[2], pairs=True)
         gap = gold_word - np.stack([np.bincount(tokens, marginal[:, j], len(index)) for j in range(k)], 1)
         gap *= scale[:, None]
-        grads = [np.stack([np.bincount(compact, gap[owner, j], len(used)) for j in range(k)], 1) / total - decay * p[0], (gold_pairs - expected) / total - decay * p[1], (gold_start - begun) / total - decay * p[2]]
+        grads = [np.stack([np.bincount(compact, np.repeat(gap[:, j], sizes), len(used)) for j in range(k)], 1) / total - decay * p[0], (gold_pairs - expected) / total - decay * p[1], (gold_start - begun) / total - decay * p[2]]
         for i, g in enumerate(grads):
             mean[i] = 0.9 * mean[i] + 0.1 * g
             square[i] = 0.99 * square[i] + 0.01 * g * g

@@ -66,11 +66,15 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> crf.Model | None:
         return None
     number = {lang: i for i, lang in enumerate(labels)}
     texts = [(number[lang], [w for w in map(crf.normal, text.split()) if w]) for lang, text in rows]
-    seen: dict[str, np.ndarray] = {}
-    for y, words in texts:
-        for w in set(words):
-            seen.setdefault(w, np.zeros(len(labels)))[y] += 1
-    lexicon = {w: int(c.argmax()) for w, c in seen.items() if c.sum() >= LEXICON_DOCS and c.max() >= LEXICON_SHARE * c.sum()}
+    index: dict[str, int] = {}
+    held_in = [(y, np.fromiter((index.setdefault(w, len(index)) for w in set(words)), np.int32)) for y, words in texts]
+    seen = np.zeros((len(index), len(labels)))
+    for y, at in held_in:
+        seen[at, y] += 1
+    sums, most = seen.sum(1), seen.max(1, initial=0)
+    sure = (sums >= LEXICON_DOCS) & (most >= LEXICON_SHARE * sums)
+    lexicon = {w: int(seen[i].argmax()) for w, i in index.items() if sure[i]}
+    del index, held_in, seen
     draw = random.Random(seed)
     snippets = [(y, words[i : i + SNIPPET]) for y, words in texts for i in range(0, len(words), SNIPPET)]
     draw.shuffle(snippets)
