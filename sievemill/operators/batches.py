@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions import markdown
+from sievemill.functions import markdown, paths
 
 # Fixed value: who is named before the host of an address.
 USER = r"(?U)(\w[\w+.\-]*://)[^/@\s]+@"
@@ -63,3 +63,27 @@ def gate_lists(left: DataFrame) -> DataFrame:
     rows = rows.select("scope", "n", good.alias("good"), tracking.alias("tracking_id"), gates.alias("gates"))
     bad = rows.groupBy("scope").agg(F.count_if(~F.col("good")).alias("dropped"))
     return rows.where("good").groupBy("scope", "tracking_id").agg(F.max_by("gates", "n").alias("gates")).join(bad, "scope")
+
+
+#: Fixed value: the severity of a result that states none.
+NO_SEVERITY = "Medium"
+
+
+def filled_results(results: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Results (scope, tracking_id, title, description, severity, files) with what is blank taken from their manifest.
+
+    ``manifests`` (scope, tracking_id, title, category, severity, files, ticket) has at most one row a scope; a result
+    without one, or whose manifest has no finding (a null title), stays.  A tracking id that is blank or the ticket's
+    becomes the manifest's, else the ticket's; ``Medium`` gives way to a stated severity; files are those longer than
+    three characters that are no comment.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    m = manifests.select("scope", *[F.col(c).alias(f"_{c}") for c in ("tracking_id", "title", "category", "severity", "files", "ticket")]).where("_title is not null")
+    met = results.join(m, "scope", "left").withColumn("_has", F.col("_title").isNotNull())
+    said = F.regexp_replace(F.replace(F.coalesce("_category", F.lit("")), F.lit("\\n"), F.lit(" ")), r"(?U)^\s+|\s+\z", "")
+    own = F.coalesce(F.nullif(F.col("_tracking_id"), F.lit("")), F.col("_ticket"))
+    values = {
+        "title": (blank("title"), F.col("_title")), "description": (blank("description"), said), "severity": ((F.col("severity") == NO_SEVERITY) & ~blank("_severity"), F.col("_severity")),
+        "files": (blank("files"), paths.affected(F.coalesce("_files", F.array().cast("array<string>")))), "tracking_id": (blank("tracking_id") | F.col("tracking_id").eqNullSafe(F.col("_ticket")), own),
+    }
+    return met.select(*[F.when(F.col("_has") & values[c][0], values[c][1]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in results.columns])

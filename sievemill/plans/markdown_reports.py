@@ -127,6 +127,18 @@ def gate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.gate_lists(views.table(spark, sf_dir, "events").select(n.alias("scope"), text.alias("text")))
 
 
+def filled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as results, suppliers as manifests."""
+    n, k = F.col("p_partkey"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    rows = views.table(spark, sf_dir, "part").select((n % 120).alias("scope"), n.alias("ord"), F.when(n % 4 == 0, "").when(n % 4 == 1, F.concat(F.lit("J-"), text(n % 120))).otherwise(F.concat(F.lit("T"), text(n))).alias("tracking_id"), F.when(n % 3 != 0, F.col("p_name")).alias("title"), pick(["", "told"], n).alias("description"), pick(["Medium", "High"], F.expr("p_partkey div 2")).alias("severity"), F.when(n % 5 == 0, "own.c").alias("files"))
+    heads = views.table(spark, sf_dir, "supplier").select(k.alias("scope"), F.when(k % 3 != 0, F.concat(F.lit("M"), text(k))).alias("tracking_id"), F.when(k % 8 != 0, F.concat(F.lit("head"), text(k))).alias("title"), F.lit(" a\\nb ").alias("category"), F.when(k % 2 == 0, "Low").alias("severity"), F.array(F.lit("// x.c"), F.lit("a.c"), F.lit("long.c"), F.concat(F.lit("f"), text(k), F.lit(".cc"))).alias("files"), F.concat(F.lit("J-"), text(k)).alias("ticket"))
+    return batches.filled_results(rows, heads).select("ord", "tracking_id", "title", "description", "severity", "files")
+
+
+_FILLED = """WITH r AS (SELECT p_partkey AS n, p_partkey % 120 AS scope, p_name FROM part), m AS (SELECT s_suppkey AS scope, s_suppkey AS k FROM supplier WHERE s_suppkey % 8 != 0)
+SELECT n AS ord, CASE WHEN n % 4 < 2 AND k IS NOT NULL THEN CASE WHEN k % 3 != 0 THEN 'M' || k ELSE 'J-' || k END WHEN n % 4 = 0 THEN '' WHEN n % 4 = 1 THEN 'J-' || n % 120 ELSE 'T' || n END AS tracking_id, coalesce(CASE WHEN n % 3 != 0 THEN p_name END, 'head' || k) AS title, CASE WHEN n % 2 = 1 THEN 'told' WHEN k IS NOT NULL THEN 'a b' ELSE '' END AS description,
+  CASE WHEN n // 2 % 2 = 1 THEN 'High' WHEN k % 2 = 0 THEN 'Low' ELSE 'Medium' END AS severity, CASE WHEN n % 5 = 0 THEN 'own.c' WHEN k IS NOT NULL THEN 'long.c, f' || k || '.cc' END AS files FROM r LEFT JOIN m USING (scope)"""
 _CELL = lambda items, n: _sql_pick(items, n)
 _BATCH = f"""WITH r AS (SELECT o_custkey AS batch, o_orderkey AS n, o_orderkey % 3 = 1 AS bad, 'A\\|' || o_orderkey % 5 AS app, 'repo' || o_orderkey AS module, {_CELL(_REF_CELLS, 'o_orderkey')} AS ref, {_CELL(_ERROR_CELLS, 'o_orderkey // 3')} AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 g AS (SELECT batch, count(*) AS n, count(*) FILTER (NOT bad) AS ok, string_agg('| ' || k || ' | ' || app || ' | ' || module || ' | ' || CASE WHEN bad THEN 'FAILED' ELSE 'OK' END || ' | ' || n % 7 || ' | ' || CAST(round_even(n / 2, 0) AS BIGINT) || ' | ' || CASE WHEN n % 4 != 0 THEN '`r.md`' ELSE '' END || ' | ' || ref || ' |' || chr(10), '' ORDER BY k) AS rows,
@@ -144,4 +156,5 @@ QUERIES = {
     "report_parse": (report_parse, _PARSE),
     "batch_summary": (batch_summary, _BATCH),
     "gate_lists": (gate_lists, _GATES),
+    "filled_results": (filled_results, _FILLED),
 }

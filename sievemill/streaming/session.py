@@ -54,3 +54,35 @@ def tried(arriving: DataFrame, folder: str, limit: int) -> DataFrame:
 def in_order(results: DataFrame) -> DataFrame:
     """Adds ``place``: results as findings were given, whatever order they came back in."""
     return results.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("ord")))
+
+
+# Why a candidate is dropped, and how much of an error's text is kept.
+BLOCKED, FAILED, MOST_DETAIL = "GUARDRAIL_BLOCKED", "VERIFY_ERROR", 200
+
+
+def outcomes(verified: DataFrame, least: int = 7) -> DataFrame:
+    """(scope, ord, reason, detail) of verified candidates (scope, ord, verdict, confidence, said, error, error_text): kept
+    ones have no reason.
+
+    An error of one candidate drops that candidate alone: ``error`` is ``guardrail`` or another kind, ``error_text`` its
+    first 200 characters' detail.  Then a true positive is kept from ``least`` on, and unconfirmed below; an answer that
+    could not be read is an error as well; anything else is a false positive.  Works on streams and tables alike.
+    """
+    sure, said = F.coalesce("confidence", F.lit(0)), F.coalesce("said", F.lit(""))
+    positive = F.col("verdict").eqNullSafe(F.lit("TRUE_POSITIVE"))
+    unread = (said == "verifier output unparseable") & (sure == 0)
+    low = F.concat(F.lit("verifier confidence "), F.coalesce(F.col("confidence").cast("string"), F.lit("None")), F.lit(f"/10 below gate {least}"))
+    reason = F.when(F.col("error") == "guardrail", BLOCKED).when(F.col("error").isNotNull(), FAILED).when(positive & (sure >= least), None).when(positive, "UNCONFIRMED").when(unread, FAILED).otherwise("FALSE_POSITIVE")
+    detail = F.when(F.col("error").isNotNull(), F.left(F.coalesce("error_text", F.lit("")), F.lit(MOST_DETAIL))).when(positive & (sure >= least), None).when(positive, low).otherwise(said)
+    return verified.select("scope", "ord", reason.alias("reason"), detail.alias("detail"))
+
+
+def stop_if_blocked(results: DataFrame, most: int, parallel: int = 1) -> DataFrame:
+    """``results`` (reason), unless ``most`` candidates (and as many as run at a time, three at least) were blocked and none
+    was judged: then the run makes no sense, and an error says so.
+    """
+    gate = max(3, most, parallel)
+    blocked, judged = results.agg(F.count_if(F.col("reason").eqNullSafe(F.lit(BLOCKED))), F.count_if(~F.coalesce(F.col("reason").isin(BLOCKED, FAILED), F.lit(False)))).first()
+    if blocked >= gate and not judged:
+        raise RuntimeError(f"{blocked} cumulative guardrail blocks with zero successes")
+    return results

@@ -21,3 +21,13 @@ def test_gates(spark):
     texts = [(1, '[{"tracking_id": "a", "gates": [1]}, {"gates": {}}, 5, {"tracking_id": "a", "gates": []}]'), (2, "{}"), (3, None), (4, "[{"), (5, "[]"), (6, '[{"gates": null}]')]
     got = batches.gate_lists(spark.createDataFrame(texts, "scope long, text string"))
     assert [tuple(r) for r in got.collect()] == [(1, "a", "[]", 2)]
+
+
+def test_blank_fields_are_filled(spark):
+    results = [(1, "", None, " ", "Medium", None), (1, "J-1", "t", "d", "High", "f.c"), (1, "own", "", "", "Medium", ""), (2, "", None, None, "Medium", None), (3, "J-3", None, None, "Medium", None), (4, None, None, None, None, None)]
+    manifests = [(1, "M", "title", " c\\nd ", "Low", ["//no.c", "abc", "abcd", None], "J-1"), (2, "M", None, "c", "Low", ["abcd"], "J-2"), (3, None, "x", None, None, None, "J-3")]
+    got = batches.filled_results(spark.createDataFrame(results, "scope long, tracking_id string, title string, description string, severity string, files string"), spark.createDataFrame(manifests, "scope long, tracking_id string, title string, category string, severity string, files array<string>, ticket string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+        (1, "M", "title", " ", "Low", "abcd"), (1, "M", "t", "d", "High", "f.c"), (1, "own", "title", "c d", "Low", "abcd"),
+        (2, "", None, None, "Medium", None), (3, "J-3", "x", "", "Medium", ""), (4, None, None, None, None, None),
+    ], key=repr)

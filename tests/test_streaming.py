@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from sievemill.operators import rounds
 from sievemill.streaming import reconcile, session
 
@@ -38,3 +40,23 @@ def test_budget_over_restarts(spark):
         assert got == in_turn(turns[: k + 1], 7)
     places = sorted((r.scope, r.place, r.ord) for r in out.collect())
     assert [(s, n) for s, _, n in places] == sorted((r[0], r[1]) for r in every)
+
+
+def test_a_failing_candidate_fails_alone(spark):
+    long = "x" * 300
+    rows = [(1, 1, "TRUE_POSITIVE", 9, "s", None, None), (1, 2, "TRUE_POSITIVE", None, "s", None, None), (1, 3, None, None, "verifier output unparseable", None, None), (1, 4, "FALSE_POSITIVE", 5, None, None, None), (1, 5, "TRUE_POSITIVE", 9, "s", "guardrail", long), (1, 6, None, None, None, "timeout", None)]
+    schema = "scope long, ord long, verdict string, confidence long, said string, error string, error_text string"
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.ord, r.reason, r.detail) for r in session.outcomes(df).orderBy("ord").collect()]
+    assert got == [(1, None, None), (2, "UNCONFIRMED", "verifier confidence None/10 below gate 7"), (3, "VERIFY_ERROR", "verifier output unparseable"), (4, "FALSE_POSITIVE", ""), (5, "GUARDRAIL_BLOCKED", long[:200]), (6, "VERIFY_ERROR", "")]
+    assert session.stop_if_blocked(session.outcomes(df), 1).count() == 6
+
+
+@pytest.mark.parametrize("blocked,others,stops", [(3, [], True), (3, ["VERIFY_ERROR"], True), (2, [], False), (3, [None], False), (3, ["FALSE_POSITIVE"], False)])
+def test_only_blocks_stop_the_run(spark, blocked, others, stops):
+    df = spark.createDataFrame([(r,) for r in ["GUARDRAIL_BLOCKED"] * blocked + others], "reason string")
+    if stops:
+        with pytest.raises(RuntimeError, match="3 cumulative guardrail blocks"):
+            session.stop_if_blocked(df, 3)
+    else:
+        assert session.stop_if_blocked(df, 3) is df
