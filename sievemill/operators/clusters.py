@@ -14,7 +14,7 @@ from sievemill.operators import graph
 STAGES = [["/prod"], ["/cert", "/stag", "/stg"], ["/perf", "/qa"]]
 
 
-def _stage(path):
+def stage(path):
     low = F.lower(path)
     hit = lambda words: F.greatest(*[F.contains(low, F.lit(w)) for w in words], F.lit(False))
     return F.coalesce(*[F.when(hit(w), F.lit(i)) for i, w in enumerate(STAGES)], F.lit(len(STAGES)))
@@ -33,7 +33,7 @@ def reduce_shapes(files: DataFrame, least: int, per_top: bool = True) -> DataFra
     order = ["_stage", F.desc("size"), "path"]
     shape = Window.partitionBy("shape")
     top = F.substring_index("path", "/", 1) if per_top else F.lit("*")
-    numbered = files.withColumn("_stage", _stage(F.col("path"))).withColumn("_n", F.count("*").over(shape)).withColumn("_top", top)
+    numbered = files.withColumn("_stage", stage(F.col("path"))).withColumn("_n", F.count("*").over(shape)).withColumn("_top", top)
     numbered = numbered.withColumn("_rep", F.row_number().over(Window.partitionBy("shape", "_top").orderBy(*order)) == 1)
     key = F.struct((~F.col("_rep")).alias("rest"), F.col("_stage"), (-F.col("size")).alias("big"), F.col("path"))
     numbered = numbered.withColumn("_key", key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import keypaths
-from sievemill.operators import callgraph
+from sievemill.operators import callgraph, configs
 from sievemill.plans import views
 
 # Forms of a source line; {w} is its word, {v} the next one.
@@ -128,6 +128,46 @@ g AS (SELECT d, count(DISTINCT path) AS n, sha1(array_to_string(list_sort(list(D
 SELECT doc_id AS ord, (['.yml', '.json', '.ini', '.properties'])[CAST(doc_id % 4 + 1 AS INT)] AS ending, CASE WHEN doc_id % 8 != 2 AND w.d IS NOT NULL THEN coalesce(n, 0) END AS n, shape, CASE WHEN doc_id % 8 != 2 AND w.d IS NOT NULL THEN coalesce(digest, sha256('')) END AS digest
 FROM documents LEFT JOIN (SELECT d FROM w WHERE ws IS NOT NULL) w ON w.d = doc_id LEFT JOIN g ON g.d = doc_id"""
 
+_KINDS = ["app:\n  name: {w}\n  port: {n}\n", "a: {w}\nb:\n  - c: {n}\n", "z: {n}", "app:\n  name: {w}\n", "x{m}: 1"]
+_PLACES, _EXTRA = ["prod", "qa", "dev", "stage"], ["", "debug: true\n", "", "verify: off\n", "", "", "debug: yes\n"]
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings file for each document, some with a setting that is not safe, some that are no settings or too large."""
+    w = _words(spark, sf_dir)
+    x = F.struct(F.expr("coalesce(get(ws, 0), 'none')").alias("w"), (F.col("d") % 5).alias("n"), F.col("d").alias("m"))
+    d = F.col("d")
+    said = None
+    for i, form in enumerate(_KINDS):
+        parts = form.replace("{w}", "\0w\0").replace("{n}", "\0m\0").replace("{m}", "\0m\0").split("\0")
+        text = F.concat(*[x[p].cast("string") if j % 2 else F.lit(p) for j, p in enumerate(parts) if p])
+        said = F.when(d % 5 == i, text) if said is None else said.when(d % 5 == i, text)
+    extra = F.element_at(F.array(*[F.lit(e) for e in _EXTRA]), (F.expr("d div 5") % len(_EXTRA) + 1).cast("int"))
+    place = F.element_at(F.array(*[F.lit(p) for p in _PLACES]), (F.expr("d div 3") % 4 + 1).cast("int"))
+    path = F.concat_ws("/", F.expr("concat('top', d % 4)"), place, F.concat(F.lit("f"), d.cast("string"), F.when(d % 13 == 7, ".txt").otherwise(".YML")))
+    text = F.when(d % 5 != 2, F.concat(extra, said)).otherwise(said)
+    return w.select(F.coalesce("lang", F.lit("")).alias("scope"), d.alias("ord"), path.alias("path"), F.when(d % 29 == 3, 600 * 1024).otherwise(F.expr("d * 7 % 100")).alias("size"), text.alias("text"))
+
+
+def config_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configs.roles(_configs(spark, sf_dir)).select("scope", "ord", "path", "role", "token")
+
+
+def config_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = configs.report(configs.roles(_configs(spark, sf_dir)))[1]
+    return top.select("scope", "place", F.col("size").alias("files"), F.array_join("representatives", " ").alias("representatives"), "dropped", "sample")
+
+
+_CONFIGS = """WITH d AS (SELECT doc_id AS n, coalesce(lang, '') AS scope, 'top' || doc_id % 4 || '/' || (['prod', 'qa', 'dev', 'stage'])[CAST(doc_id // 3 % 4 + 1 AS INT)] || '/f' || doc_id || CASE WHEN doc_id % 13 = 7 THEN '.txt' ELSE '.YML' END AS path, CASE WHEN doc_id % 29 = 3 THEN 600 * 1024 ELSE doc_id * 7 % 100 END AS size,
+  ([0, 2, 3, 1])[CAST(doc_id // 3 % 4 + 1 AS INT)] AS env, (['', 'debug: true', '', 'verify: off', '', '', 'debug: yes'])[CAST(CASE WHEN doc_id % 5 = 2 THEN 0 ELSE doc_id // 5 % 7 END + 1 AS INT)] AS x FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, n % 5 || CASE WHEN n % 5 = 4 THEN 'u' || n ELSE '' END || split_part(x, ':', 1) AS shape, CASE WHEN x != '' THEN 'insecure:' || x END AS token FROM d WHERE n % 13 != 7 AND n % 29 != 3),
+k AS (SELECT *, count(*) OVER (PARTITION BY scope, shape) AS many, row_number() OVER (PARTITION BY scope, shape, split_part(path, '/', 1) ORDER BY CASE env WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE env END, -size, path) = 1 AS rep FROM c),
+r AS (SELECT DISTINCT scope, shape, token FROM k WHERE rep AND token IS NOT NULL), p AS (SELECT scope, shape, token, arg_min(n, (env, -size, path)) AS n FROM k WHERE NOT rep AND many >= 3 AND token IS NOT NULL AND (scope, shape, token) NOT IN (SELECT scope, shape, token FROM r) GROUP BY 1, 2, 3),
+s AS (SELECT k.*, CASE WHEN many < 3 THEN 'small' WHEN rep THEN 'representative' WHEN p.n IS NOT NULL THEN 'promoted' ELSE 'dropped' END AS role, p.token AS why FROM k LEFT JOIN p ON p.n = k.n)"""
+_ROLES = _CONFIGS + " SELECT scope, n AS ord, path, role, why AS token FROM s UNION ALL SELECT scope, n, path, CASE WHEN n % 13 = 7 THEN 'other' ELSE 'unreadable' END, NULL FROM d WHERE n % 13 = 7 OR n % 29 = 3"
+_TOP_SHAPES = _CONFIGS + """, t AS (SELECT scope, shape, count(*) AS files, coalesce(string_agg(path, ' ' ORDER BY path) FILTER (role = 'representative'), '') AS representatives, count(*) FILTER (role = 'dropped') AS dropped, arg_min(path, (env, -size, path)) AS sample, min(n) AS since FROM s WHERE role != 'small' GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY scope ORDER BY files DESC, since) AS INT) AS place FROM t) SELECT scope, place, files, representatives, dropped, sample FROM o WHERE place <= 10"""
+
 QUERIES = {
     "function_defs": (function_defs, f"WITH {_LINES}, {_DEFS} SELECT path, CAST(line AS INT) AS line, name FROM defs"),
     "frontier": (frontier, f"""WITH {_LINES}, {_DEFS}, {_SEEN}, seeds AS (SELECT source AS scope, ws[2] AS name FROM w),
@@ -143,4 +183,6 @@ m AS (SELECT ok.scope, ok.path || '::' || caller AS caller, ok.name AS callee, n
   UNION ALL SELECT ok.scope, caller, ok.name, f.path FROM ok LEFT JOIN firsts f ON f.scope = ok.scope AND f.name = ok.name WHERE ok.path IS NULL)
 SELECT scope, caller, callee, file || '::' || callee AS target, CASE WHEN file IS NULL THEN 'target' END AS reason FROM m UNION ALL SELECT scope, caller, callee, NULL, reason FROM r WHERE reason IS NOT NULL"""),
     "key_paths": (key_paths, _KEY_PATHS),
+    "config_roles": (config_roles, _ROLES),
+    "config_shapes": (config_shapes, _TOP_SHAPES),
 }

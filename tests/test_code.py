@@ -136,3 +136,19 @@ def test_qualified_edges(spark):
         (1, "a/x::main", "lone", None, "target"), (1, "b/z::main", "lone", None, "target"), (1, "ghost", "helper", None, "caller"), (1, "main", "ghost", None, "callee"),
         (1, "lone", "helper", "b/y::helper", None), (1, "lone", "helper", "b/z::helper", None), (2, "any", "thing", None, "target"),
     ], key=repr)
+
+
+def test_settings_files_are_thinned_out(spark):
+    from sievemill.operators import configs
+
+    same, odd = "a:\n  b: {}\n", "a:\n  b: 1\ndebug: true\n"
+    rows = [(1, i, f"svc{i % 2}/{env}/app{i}.yml", 10 + i, same.format(i)) for i, env in enumerate(["dev", "prod", "qa", "prod", "perf", "dev"])]
+    rows += [(1, 20, "svc0/dev/x.yml", 5, odd), (1, 21, "readme.md", 5, "a: 1"), (1, 22, "svc0/big.yml", 10**7, same), (1, 23, "svc0/none.yml", 1, None), (1, 24, "svc0/.env", 1, "K=1"), (1, 25, "svc0/empty.yml", 1, ""), (2, 1, "lone/app.yml", 1, same)]
+    done = configs.roles(spark.createDataFrame(rows, "scope long, ord long, path string, size long, text string"))
+    role = {(r.scope, r.ord): r.role for r in done.collect()}
+    assert role == {(1, 0): "dropped", (1, 1): "dropped", (1, 2): "dropped", (1, 3): "representative", (1, 4): "representative", (1, 5): "dropped", (1, 20): "small", (1, 21): "other", (1, 22): "unreadable", (1, 23): "unreadable", (1, 24): "other", (1, 25): "unreadable", (2, 1): "small"}
+    total, top = configs.report(done)
+    assert [tuple(r) for r in total.orderBy("scope").collect()] == [(1, 10, 3, 1, 2, 0, 4), (2, 1, 0, 0, 0, 0, 0)]
+    (best,) = top.collect()
+    assert (best.scope, best.place, best["size"], best.representatives, best.dropped, best.sample, len(best["shape"])) == (1, 1, 6, ["svc0/perf/app4.yml", "svc1/prod/app3.yml"], 4, "svc1/prod/app3.yml", 12)
+    assert configs.roles(done.select("scope", "ord", "path", "size", F.lit(None).cast("string").alias("text")).limit(0)).collect() == []
