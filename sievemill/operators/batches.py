@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import markdown, paths
+from sievemill.operators.reports import TOOL
 
 # Fixed value: who is named before the host of an address.
 USER = r"(?U)(\w[\w+.\-]*://)[^/@\s]+@"
@@ -21,7 +22,7 @@ def _seconds(c: str) -> Column:
     return F.bround(F.col(c).cast("double"), 0).cast("long").cast("string")
 
 
-def summaries(batches: DataFrame, results: DataFrame) -> DataFrame:
+def summaries(batches: DataFrame, results: DataFrame, tool: str = TOOL) -> DataFrame:
     """(batch, text): a table of all repositories of a batch in Markdown, then what has failed.
 
     ``batches`` (batch, list_file, elapsed), ``results`` (batch, ord, app, module, status, findings, elapsed, report, ref,
@@ -40,7 +41,7 @@ def summaries(batches: DataFrame, results: DataFrame) -> DataFrame:
     met = batches.join(got, "batch", "left")
     n, ok = F.coalesce("n", F.lit(0)), F.coalesce("ok", F.lit(0))
     text = F.concat(
-        F.lit("# Agentic SAST batch summary\n\n- Input list: `"), F.coalesce("list_file", F.lit("")), F.lit("`\n- Repos: "), n.cast("string"), F.lit(" ("), ok.cast("string"), F.lit(" OK, "), (n - ok).cast("string"), F.lit(" failed)\n- Total elapsed: "), _seconds("elapsed"),
+        F.lit(f"# {tool} batch summary\n\n- Input list: `"), F.coalesce("list_file", F.lit("")), F.lit("`\n- Repos: "), n.cast("string"), F.lit(" ("), ok.cast("string"), F.lit(" OK, "), (n - ok).cast("string"), F.lit(" failed)\n- Total elapsed: "), _seconds("elapsed"),
         F.lit("s\n\n| # | App ID | Repo | Status | Findings | Elapsed (s) | Report | Source |\n|--:|---|---|---|--:|--:|---|---|\n"), F.coalesce(F.array_join(lines, ""), F.lit("")), F.when(n > ok, F.concat(F.lit("\n## Failures\n\n"), parts)).otherwise(""),
     )
     return met.select("batch", text.alias("text"))

@@ -68,8 +68,12 @@ def _blocks(f: DataFrame) -> DataFrame:
     ).alias("block"))
 
 
-def _title(name: str) -> Column:
-    return F.concat(F.lit("# Agentic SAST — "), F.regexp_replace(_said(name), r"[<>`|\[\]]", ""))
+#: What reports call the tool that they are of; hand in your own.
+TOOL = "Static analysis"
+
+
+def _title(name: str, tool: str) -> Column:
+    return F.concat(F.lit(f"# {tool} — "), F.regexp_replace(_said(name), r"[<>`|\[\]]", ""))
 
 
 def _joined(blocks: DataFrame) -> DataFrame:
@@ -77,7 +81,7 @@ def _joined(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: F.concat(x["block"], F.lit("\n"))), "").alias("found"), F.count("*").alias("n"))
 
 
-def written(reports: DataFrame, findings: DataFrame, chains: DataFrame, dropped: DataFrame) -> DataFrame:
+def written(reports: DataFrame, findings: DataFrame, chains: DataFrame, dropped: DataFrame, tool: str = TOOL) -> DataFrame:
     """(scope, text): the report of each row of ``reports`` (scope, name, summary, raw, before, after, degraded).
 
     ``findings`` (scope, place from 1, severity, title, kind, cwe, file, line_start, line_end, cvss_score, cvss_rating,
@@ -108,11 +112,11 @@ def written(reports: DataFrame, findings: DataFrame, chains: DataFrame, dropped:
         F.lit("\n- Duplicates collapsed (all passes): "), count("again"), F.lit("\n- Verification precision: "), precision, F.lit("%\n\n## Findings ("), count("n"), F.lit(")\n\n"),
     )
     tail = F.when(F.col("chains").isNotNull(), F.concat(F.lit("## Exploit Chains\n\n"), "chains")).when(~F.coalesce("degraded", F.lit(False)), F.lit(f"## Exploit Chains\n\n{NO_CHAINS}\n\n")).otherwise("")
-    whole = F.concat(_title("name"), F.lit("\n\n## Summary\n"), _prose("summary"), F.lit("\n\n"), _said("before"), checked, _said("found"), tail, _said("after"))
+    whole = F.concat(_title("name", tool), F.lit("\n\n## Summary\n"), _prose("summary"), F.lit("\n\n"), _said("before"), checked, _said("found"), tail, _said("after"))
     return met.select("scope", F.regexp_replace(whole, r"\n\z", "").alias("text"))
 
 
-def unconfirmed(reports: DataFrame, candidates: DataFrame) -> DataFrame:
+def unconfirmed(reports: DataFrame, candidates: DataFrame, tool: str = TOOL) -> DataFrame:
     """(scope, text): the report on findings that no run confirmed, for each row of ``reports`` (scope, name).
 
     ``candidates`` are findings as :func:`written` takes them, with ``detail`` instead of severity, notes and verdict: the
@@ -124,7 +128,7 @@ def unconfirmed(reports: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = candidates.withColumn("severity", band).withColumn("notes", F.concat(F.lit(CANDIDATE), _said("detail"))).withColumn("verdict", none).withColumn("verdict_confidence", none).withColumn("verdict_reason", none).withColumn("reasoning", none)
     met = reports.join(_joined(_blocks(rows)), "scope", "left")
     n = F.coalesce("n", F.lit(0)).cast("string")
-    head = F.concat(_title("name"), F.lit(f" — ASAN-Unconfirmed Candidates\n\n## Summary\n\n{UNCONFIRMED}\n\n- ASAN-unconfirmed candidates: "), n, F.lit("\n- Required disposition: manually reproduce before confirmation\n\n## Findings ("), n, F.lit(")\n\n"))
+    head = F.concat(_title("name", tool), F.lit(f" — ASAN-Unconfirmed Candidates\n\n## Summary\n\n{UNCONFIRMED}\n\n- ASAN-unconfirmed candidates: "), n, F.lit("\n- Required disposition: manually reproduce before confirmation\n\n## Findings ("), n, F.lit(")\n\n"))
     return met.select("scope", F.regexp_replace(F.concat(head, F.coalesce("found", F.lit("_None._\n"))), r"\n\z", "").alias("text"))
 
 

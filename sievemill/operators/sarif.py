@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from sievemill.functions import cvss, weakness
 from sievemill.operators import trees
 from sievemill.operators.notes import PRIORITIES
+from sievemill.operators.reports import TOOL
 
 # What a document says of itself, of its taxonomy and of further places.
 SCHEMA, VERSION = "https://json.schemastore.org/sarif-2.1.0.json", "2.1.0"
-TOOL = "Agentic SAST"
 TAXONOMY = {"name": "CWE", "organization": "MITRE", "text": "The MITRE Common Weakness Enumeration", "uri": "https://cwe.mitre.org/"}
 WEAKNESS_PAGE = "https://cwe.mitre.org/data/definitions/%s.html"
 FURTHER = "Additional call site — collapsed during dedup; same root cause as the primary location and needs the same fix."
@@ -98,7 +98,7 @@ def _runs(health: DataFrame) -> DataFrame:
     return health.select("scope", _list(F.array(ran)).alias("invocations"), _json(degraded).alias("flag"))
 
 
-def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str, version: str, health: DataFrame | None = None, mask: bool = True) -> DataFrame:
+def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str, version: str, health: DataFrame | None = None, mask: bool = True, tool: str = TOOL) -> DataFrame:
     """(scope, sarif): one document for each scope with findings.
 
     ``findings`` (scope, ord, title, severity, category, cwe, cvss, cvss_score, description, file, line, context_vector,
@@ -130,7 +130,7 @@ def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str
     met = met.withColumn("invocations", F.lit(None).cast("string")).withColumn("flag", F.lit(None).cast("string")) if runs is None else met.join(runs, "scope", "left")
     none = F.array().cast("array<string>")
     taxonomy = _object(guid=f'"{guid}"', name=_json(F.lit(TAXONOMY["name"])), organization=_json(F.lit(TAXONOMY["organization"])), shortDescription=_text(TAXONOMY["text"]), informationUri=_json(F.lit(TAXONOMY["uri"])), taxa=_list(F.coalesce("taxa", none)))
-    driver = _object(name=_json(F.lit(TOOL)), version=_json(F.lit(version)), rules=_list(F.coalesce("rules", none)), supportedTaxonomies=_list(F.array(_object(guid=f'"{guid}"'))))
+    driver = _object(name=_json(F.lit(tool)), version=_json(F.lit(version)), rules=_list(F.coalesce("rules", none)), supportedTaxonomies=_list(F.array(_object(guid=f'"{guid}"'))))
     about = F.col("source").isNotNull()
     props = _object(applicationId=_json(F.col("id")), cmdbSource=F.when(about, _json(F.col("source"))), applicationName=F.when(about, _json(F.col("app"))), scanDegraded=F.col("flag"), unrankedFallback=F.col("flag"))
     run = _object(tool=_object(driver=driver), taxonomies=_list(F.array(taxonomy)), properties=props, results=_list(F.col("results")), invocations=F.col("invocations"))

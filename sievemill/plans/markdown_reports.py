@@ -92,11 +92,11 @@ g AS (SELECT *, {_NAME} AS name, coalesce(CASE WHEN n % 6 = 0 THEN CAST(n % 90 A
 _LEVEL = "CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score IS NOT NULL THEN 'low' ELSE 'info' END"
 _REPORT = f"""WITH {views.FINDINGS}, {_ROWS}, b AS (SELECT scope, string_agg({_block(_sql_pick(_LEVELS, f'n // {_SCOPES}'), _TEXT, True)}, '' ORDER BY place) AS found, count(*) AS n, min({_sql_pick(_CELLS, 'n')}) FILTER (place = 1) AS first, min({_sql_pick(_CELLS, 'n')}) FILTER (place = 2) AS second FROM g GROUP BY 1),
 d AS (SELECT o_orderkey % {_SCOPES} AS scope, count(*) FILTER (r = 0) AS fp, count(*) FILTER (r = 1) AS again, count(*) FILTER (r IN (2, 3)) AS errors FROM (SELECT *, o_orderkey // {_SCOPES} % 5 AS r FROM orders) GROUP BY 1),
-t AS (SELECT b.scope, '# Agentic SAST — ' || CASE WHEN b.scope % 3 != 0 THEN 'Repo ' || b.scope ELSE '' END || {_T(chr(10).join(['', '', '## Summary', '**All**', 'well', '', '']))} || CASE WHEN b.scope % 2 = 0 THEN {_T(chr(10).join(['## Scope', '- one', '', '']))} ELSE '' END || '## Verification' || chr(10) || '- Raw findings (pre-verification): ' || b.scope * 50 || chr(10) || '- True positives (verified): ' || n
+t AS (SELECT b.scope, '# Static analysis — ' || CASE WHEN b.scope % 3 != 0 THEN 'Repo ' || b.scope ELSE '' END || {_T(chr(10).join(['', '', '## Summary', '**All**', 'well', '', '']))} || CASE WHEN b.scope % 2 = 0 THEN {_T(chr(10).join(['## Scope', '- one', '', '']))} ELSE '' END || '## Verification' || chr(10) || '- Raw findings (pre-verification): ' || b.scope * 50 || chr(10) || '- True positives (verified): ' || n
   || chr(10) || '- False positives (dropped): ' || coalesce(fp, 0) || chr(10) || '- Verifier errors (excluded — undetermined, not confirmed clean): ' || coalesce(errors, 0) || chr(10) || '- Duplicates collapsed (all passes): ' || coalesce(again, 0) || chr(10) || '- Verification precision: ' || CASE WHEN b.scope = 0 THEN '0.0' ELSE format('{{:.1f}}', 100.0::DOUBLE * n / (b.scope * 50)) END || '%' || chr(10) || chr(10) || '## Findings (' || n || ')' || chr(10) || chr(10) || found
   || CASE WHEN b.scope % 3 = 1 THEN '## Exploit Chains' || chr(10) || chr(10) || '### [HIGH] Both' || chr(10) || '**Path:** #2 ' || second || ' → #1 ' || first || CASE WHEN b.scope % 2 = 0 THEN '  ' || chr(10) || '**Blocked by:** waf\\|x' ELSE '' END || {_T(chr(10).join(['', '', '**Then**', 'so', '', '']))} WHEN b.scope % 5 != 0 THEN '## Exploit Chains' || chr(10) || chr(10) || '{reports.NO_CHAINS}' || chr(10) || chr(10) ELSE '' END
   || CASE WHEN b.scope % 4 = 0 THEN {_T(chr(10).join(['## Appendix', 'end', '']))} ELSE '' END AS text FROM b LEFT JOIN d USING (scope)) SELECT scope, sha256(text[1:length(text) - 1]) AS digest FROM t"""
-_UNCONFIRMED = f"""WITH {views.FINDINGS}, {_ROWS}, t AS (SELECT scope, '# Agentic SAST — Repo ' || scope || {_T(chr(10).join([' — ASAN-Unconfirmed Candidates', '', '## Summary', '', reports.UNCONFIRMED, '', '- ASAN-unconfirmed candidates: ']))} || count(*) || {_T(chr(10).join(['', '- Required disposition: manually reproduce before confirmation', '', '## Findings (']))} || count(*) || ')' || chr(10) || chr(10)
+_UNCONFIRMED = f"""WITH {views.FINDINGS}, {_ROWS}, t AS (SELECT scope, '# Static analysis — Repo ' || scope || {_T(chr(10).join([' — ASAN-Unconfirmed Candidates', '', '## Summary', '', reports.UNCONFIRMED, '', '- ASAN-unconfirmed candidates: ']))} || count(*) || {_T(chr(10).join(['', '- Required disposition: manually reproduce before confirmation', '', '## Findings (']))} || count(*) || ')' || chr(10) || chr(10)
   || string_agg({_block(_LEVEL, f"'{reports.CANDIDATE}No crash.'", False)}, '' ORDER BY place) AS text FROM g GROUP BY scope) SELECT scope, sha256(text[1:length(text) - 1]) AS digest FROM t"""
 _PARSE = f"""WITH o AS (SELECT o_orderkey % 30 AS scope, o_orderkey // 30 AS k, o_orderkey // 90 AS f FROM orders)
 SELECT scope, CAST(k AS INT) AS index, {_PICKED('s', [s for _, s, _ in _HEADS], 'k')} AS severity, CASE WHEN k % 3 = 2 THEN 'A title <!-- note -->' ELSE 'A title' END AS title, k % 3 = 0 AS done, {_PICKED('f', [x[1] for x in _FILES], 'f')} AS file, CAST({_PICKED('a', [x[2] for x in _FILES], 'f')} AS INT) AS line_start, CAST({_PICKED('b', [x[3] for x in _FILES], 'f')} AS INT) AS line_end,
@@ -143,7 +143,7 @@ _CELL = lambda items, n: _sql_pick(items, n)
 _BATCH = f"""WITH r AS (SELECT o_custkey AS batch, o_orderkey AS n, o_orderkey % 3 = 1 AS bad, 'A\\|' || o_orderkey % 5 AS app, 'repo' || o_orderkey AS module, {_CELL(_REF_CELLS, 'o_orderkey')} AS ref, {_CELL(_ERROR_CELLS, 'o_orderkey // 3')} AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 g AS (SELECT batch, count(*) AS n, count(*) FILTER (NOT bad) AS ok, string_agg('| ' || k || ' | ' || app || ' | ' || module || ' | ' || CASE WHEN bad THEN 'FAILED' ELSE 'OK' END || ' | ' || n % 7 || ' | ' || CAST(round_even(n / 2, 0) AS BIGINT) || ' | ' || CASE WHEN n % 4 != 0 THEN '`r.md`' ELSE '' END || ' | ' || ref || ' |' || chr(10), '' ORDER BY k) AS rows,
   string_agg('### ' || module || ' (app ' || app || ')' || chr(10) || '- Source: `' || ref || '`' || chr(10) || '- Error: ' || error || chr(10) || chr(10), '' ORDER BY k) FILTER (bad) AS lost FROM r GROUP BY 1)
-SELECT c_custkey AS batch, sha256('# Agentic SAST batch summary' || chr(10) || chr(10) || '- Input list: `list' || c_custkey || '.csv`' || chr(10) || '- Repos: ' || coalesce(n, 0) || ' (' || coalesce(ok, 0) || ' OK, ' || coalesce(n - ok, 0) || ' failed)' || chr(10) || '- Total elapsed: ' || CAST(round_even(c_custkey + 0.5, 0) AS BIGINT) || 's' || chr(10) || chr(10)
+SELECT c_custkey AS batch, sha256('# Static analysis batch summary' || chr(10) || chr(10) || '- Input list: `list' || c_custkey || '.csv`' || chr(10) || '- Repos: ' || coalesce(n, 0) || ' (' || coalesce(ok, 0) || ' OK, ' || coalesce(n - ok, 0) || ' failed)' || chr(10) || '- Total elapsed: ' || CAST(round_even(c_custkey + 0.5, 0) AS BIGINT) || 's' || chr(10) || chr(10)
   || '| # | App ID | Repo | Status | Findings | Elapsed (s) | Report | Source |' || chr(10) || '|--:|---|---|---|--:|--:|---|---|' || chr(10) || coalesce(rows, '') || coalesce(chr(10) || '## Failures' || chr(10) || chr(10) || lost, '')) AS digest FROM customer LEFT JOIN g ON batch = c_custkey"""
 _IDS, _LISTS = [None if x is None else x[0] for x in _FOUND], [None if x is None else x[1] for x in _FOUND]
 _GATES = f"""WITH e AS (SELECT event_id AS scope, i, event_id // (CASE i WHEN 0 THEN 1 WHEN 1 THEN 8 ELSE 64 END) AS k FROM events, range(3) t(i) WHERE event_id % 11 != 0 AND event_id % 13 != 0 AND event_id % 17 != 0),

@@ -121,7 +121,7 @@ r AS (SELECT *, '{{"ruleId":' || {_J('rule')} || ',"level":"' || {_named('severi
   || {_IF('score IS NOT NULL', 'rank', _NUM('score * 10', 1))} || '}}' AS result FROM g),
 rules AS (SELECT scope, string_agg('{{"id":' || {_J('rule')} || ',"name":' || {_J('rule')} || coalesce(',"shortDescription":{{"text":' || {_J('name')} || '}}', '') || '}}', ',' ORDER BY since) AS rules FROM (SELECT scope, rule, min(n) AS since, arg_min(name, n) FILTER (name IS NOT NULL) AS name FROM g GROUP BY 1, 2) GROUP BY 1),
 taxa AS (SELECT scope, string_agg('{{"id":"' || cwe || '","helpUri":"https://cwe.mitre.org/data/definitions/' || split_part(cwe, '-', 2) || '.html"' || coalesce(',"name":' || {_J('name')} || ',"shortDescription":{{"text":' || {_J('name')} || '}}', '') || '}}', ',' ORDER BY CAST(split_part(cwe, '-', 2) AS INT)) AS taxa FROM (SELECT DISTINCT scope, cwe, name FROM g WHERE cwe IS NOT NULL) GROUP BY 1),
-d AS (SELECT scope, '{{"$schema":"{sarif.SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"Agentic SAST","version":"1.0","rules":[' || any_value(rules) || '],"supportedTaxonomies":[{{"guid":"{_GUID}"}}]}}}},"taxonomies":[{{"guid":"{_GUID}","name":"CWE","organization":"MITRE","shortDescription":{{"text":"{sarif.TAXONOMY['text']}"}},"informationUri":"https://cwe.mitre.org/","taxa":['
+d AS (SELECT scope, '{{"$schema":"{sarif.SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"Static analysis","version":"1.0","rules":[' || any_value(rules) || '],"supportedTaxonomies":[{{"guid":"{_GUID}"}}]}}}},"taxonomies":[{{"guid":"{_GUID}","name":"CWE","organization":"MITRE","shortDescription":{{"text":"{sarif.TAXONOMY['text']}"}},"informationUri":"https://cwe.mitre.org/","taxa":['
   || coalesce(any_value(taxa), '') || ']}}],"properties":{{"applicationId":"A' || scope || '"' || CASE WHEN scope % 2 = 0 THEN ',"cmdbSource":"application","applicationName":"App ' || scope || '"' ELSE '' END || '}},"results":[' || string_agg(result, ',' ORDER BY n) || ']}}]}}' AS sarif FROM r JOIN rules USING (scope) LEFT JOIN taxa USING (scope) GROUP BY scope)
 SELECT scope, length(sarif) AS size, sha256(sarif) AS digest FROM d"""
 _PICKED = lambda column, items, n: "[" + ", ".join("NULL" if x is None else "'" + str(x).replace("'", "''") + "'" for x in items) + f"][CAST(({n}) % {len(items)} + 1 AS INT)]"

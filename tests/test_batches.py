@@ -11,10 +11,10 @@ def test_summary(spark):
     text = {r.batch: r.text for r in batches.summaries(heads, spark.createDataFrame(rows, RESULT)).collect()}
     table = "\n| # | App ID | Repo | Status | Findings | Elapsed (s) | Report | Source |\n|--:|---|---|---|--:|--:|---|---|\n"
     assert text[1] == (
-        "# Agentic SAST batch summary\n\n- Input list: `l.csv`\n- Repos: 2 (1 OK, 1 failed)\n- Total elapsed: 0s\n" + table + "| 1 | a | n | OK | 3 | 2 | `r.md` |  |\n| 2 | a\\|b c | m | FAILED | 0 | 2 |  | https://***@h/x |\n"
+        "# Static analysis batch summary\n\n- Input list: `l.csv`\n- Repos: 2 (1 OK, 1 failed)\n- Total elapsed: 0s\n" + table + "| 1 | a | n | OK | 3 | 2 | `r.md` |  |\n| 2 | a\\|b c | m | FAILED | 0 | 2 |  | https://***@h/x |\n"
         "\n## Failures\n\n### m (app a\\|b c)\n- Source: `https://***@h/x`\n- Error: no # head at https://***@h\n\n"
     )
-    assert text[2] == "# Agentic SAST batch summary\n\n- Input list: ``\n- Repos: 0 (0 OK, 0 failed)\n- Total elapsed: 7s\n" + table
+    assert text[2] == "# Static analysis batch summary\n\n- Input list: ``\n- Repos: 0 (0 OK, 0 failed)\n- Total elapsed: 7s\n" + table
 
 
 def test_gates(spark):

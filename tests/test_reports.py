@@ -22,9 +22,9 @@ def made(spark, heads, findings, chains=(), dropped=()):
 def test_written_and_read_back(spark):
     df = made(spark, [(1, "r<e>po", "all", 8, None, None, False), (2, None, None, 0, None, "end\n", True)], [FULL, BARE], [(1, 1, "high", "C", [0, 1], ["waf"], "so")], [(1, "DUPLICATE"), (1, "FALSE_POSITIVE"), (1, "GUARDRAIL_BLOCKED")])
     text = {r.scope: r.text for r in df.collect()}
-    assert text[1].startswith("# Agentic SAST — repo\n\n## Summary\nall\n\n## Verification\n- Raw findings (pre-verification): 8\n- True positives (verified): 2\n- False positives (dropped): 1\n- Verifier errors (excluded — undetermined, not confirmed clean): 1\n- Duplicates collapsed (all passes): 1\n- Verification precision: 25.0%\n\n## Findings (2)\n\n### 1. [HIGH] SQL in query\n")
+    assert text[1].startswith("# Static analysis — repo\n\n## Summary\nall\n\n## Verification\n- Raw findings (pre-verification): 8\n- True positives (verified): 2\n- False positives (dropped): 1\n- Verifier errors (excluded — undetermined, not confirmed clean): 1\n- Duplicates collapsed (all passes): 1\n- Verification precision: 25.0%\n\n## Findings (2)\n\n### 1. [HIGH] SQL in query\n")
     assert text[1].endswith("## Exploit Chains\n\n### [HIGH] C\n**Path:** #1 SQL in query → #2 t  \n**Blocked by:** waf\n\nso\n")
-    assert text[2] == "# Agentic SAST — \n\n## Summary\n\n\n## Verification\n- Raw findings (pre-verification): 0\n- True positives (verified): 0\n- False positives (dropped): 0\n- Verifier errors (excluded — undetermined, not confirmed clean): 0\n- Duplicates collapsed (all passes): 0\n- Verification precision: 0.0%\n\n## Findings (0)\n\nend"
+    assert text[2] == "# Static analysis — \n\n## Summary\n\n\n## Verification\n- Raw findings (pre-verification): 0\n- True positives (verified): 0\n- False positives (dropped): 0\n- Verifier errors (excluded — undetermined, not confirmed clean): 0\n- Duplicates collapsed (all passes): 0\n- Verification precision: 0.0%\n\n## Findings (0)\n\nend"
     first, second = reports.parsed(df).orderBy("scope", "place").collect()
     assert (first["index"], first.severity, first.title, first.done, first.ref, first.file, first.line_start, first.line_end) == (1, "HIGH", "SQL in query", False, "a/b.c:3-9", "a/b.c", 3, 9)
     assert (first["class"], first.cwe, first.cvss_score, first.cvss_rating, first.cvss_vector, first.confidence, first.votes) == ("CWE-74: Improper Neutralization of Special Elements in Output (Injection)", "CWE-74", "9.8", "Critical", "V", "0.85", "1")
