@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,16 +80,27 @@ def selected(text: Column, known: Column, done: Column) -> Column:
     and ranges ``a-b`` between commas and blanks.  What is neither, and unknown numbers, are passed over.  A range costs
     no more than ``known`` is long.
     """
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    whole = F.struct(F.lower(F.trim(F.coalesce(text, F.lit("")))).alias("t"), known.alias("known"), done.alias("done"), F.array_sort(F.transform(known, lambda k, i: F.struct(k.alias("k"), i.alias("i")))).alias("sorted"))
+    return _once(whole, _chosen)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used, also inside of loops."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chosen(s: Column) -> Column:
+    """The selection of (t, known, done, sorted: known numbers with their places, in order)."""
+    t, known, done = s["t"], s["known"], s["done"]
     every = F.when(F.size(known) > 0, F.sequence(F.lit(0), F.size(known) - 1)).otherwise(F.array().cast("array<int>"))
-    number = r"^\d{1,18}$"
+    # a number is a range of its own
+    ends = lambda token: F.regexp_extract_all(token, F.lit(r"^(\d{1,18})(?:-(\d{1,18}))?$"), F.lit(0))
+    bounds = lambda token: F.transform(F.split(token, "-"), lambda x: x.try_cast("long"))
 
     def places(token: Column) -> Column:
-        low, high = F.regexp_extract(token, r"^(\d{1,18})-(\d{1,18})$", 1).try_cast("long"), F.regexp_extract(token, r"^(\d{1,18})-(\d{1,18})$", 2).try_cast("long")
-        low, high = F.coalesce(low, F.when(token.rlike(number), token).try_cast("long")), F.coalesce(high, F.when(token.rlike(number), token).try_cast("long"))
-        inside = F.filter(every, lambda i: F.get(known, i).between(low, high))
-        return F.transform(F.array_sort(F.transform(inside, lambda i: F.struct(F.get(known, i).alias("k"), i.alias("i")))), lambda x: x["i"])
+        inside = lambda b: F.filter(s["sorted"], lambda x: x["k"].between(F.get(b, F.lit(0)), F.element_at(b, -1)))
+        return F.flatten(F.transform(ends(token), lambda x: _once(bounds(x), lambda b: F.transform(inside(b), lambda x: x["i"]))))
 
-    named = F.array_distinct(F.flatten(F.transform(F.split(t, r"[,\s]+"), places)))
+    named = F.coalesce(F.array_distinct(F.flatten(F.transform(F.split(t, r"[,\s]+"), places))), F.array().cast("array<int>"))
     left = F.filter(every, lambda i: ~F.get(done, i))
     return F.when(t.isin("q", "quit", "exit", ""), None).when(t == "all", every).when(t == "pending", left).otherwise(named)

@@ -68,6 +68,15 @@ def test_typed_selection(spark):
     assert {r.t: r.p for r in got} == cases
 
 
+def test_typed_selection_works_out_what_is_known_once_a_row(spark):
+    known, done = (F.transform(F.sequence(F.lit(1), F.lit(12)), f) for f in (lambda i: i * 3, lambda i: i % 2 == 0))
+    df = spark.createDataFrame([("1-9 36,3 3", 1), ("40 x 5-", 2), ("12-1", 3)], "t string, n int").select("n", status.selected(F.col("t"), known, done).alias("p"))
+    assert df._jdf.queryExecution().analyzed().toString().count("sequence(1, 12") <= 3
+    assert {r.n: r.p for r in df.collect()} == {1: [0, 1, 2, 11], 2: [], 3: []}
+    none = spark.createDataFrame([("1-9", None)], "t string, k array<int>")
+    assert none.select(status.selected(F.col("t"), F.col("k"), F.col("k").cast("array<boolean>")).alias("p")).first().p == []
+
+
 def test_paths_arguments_and_logs(spark):
     from sievemill.functions import commands, judgement
 
