@@ -21,9 +21,8 @@ LONGEST = 4000
 
 
 def _json(value: Column) -> Column:
-    """A value as JSON, ``null`` for null."""
-    text = F.to_json(F.array(value))
-    return F.substring(text, 2, 1 << 30).substr(F.lit(1), F.length(text) - 2)
+    """A string, number or flag as JSON, ``null`` for null.  None of them begins or ends with a bracket."""
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
 
 
 def _object(**parts: Column | str) -> Column:
@@ -98,6 +97,10 @@ def _runs(health: DataFrame) -> DataFrame:
     return health.select("scope", _list(F.array(ran)).alias("invocations"), _json(degraded).alias("flag"))
 
 
+#: Stands for the results in a document's text; JSON has no such character.
+_HERE = "\0"
+
+
 def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str, version: str, health: DataFrame | None = None, mask: bool = True, tool: str = TOOL) -> DataFrame:
     """(scope, sarif): one document for each scope with findings.
 
@@ -109,14 +112,40 @@ def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str
 
     A rule is a category, else the severity; rules stand in the order of their first finding and bear the name of the
     first weakness that has one.  Weaknesses stand in the order of their numbers.  With ``mask`` all strings of findings
-    and places are masked first.  Scores below 0 or null are none.
+    and places are masked first.  Scores below 0 or null are none.  A
+    document is held whole, so for those that may not fit :func:`document_parts` gives what they are made of.
+    """
+    results = _results(findings, places, guid, mask).groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "result"))), lambda x: x["result"]), ",").alias("results"))
+    frames = _framed(findings, apps, guid, version, health, tool).withColumnRenamed("scope", "_scope")
+    met = results.join(frames, F.col("scope").eqNullSafe(F.col("_scope")))
+    return met.select("scope", F.concat("head", "results", "tail").alias("sarif"))
+
+
+def document_parts(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str, version: str, health: DataFrame | None = None, mask: bool = True, tool: str = TOOL) -> DataFrame:
+    """(scope, step, place, part): the texts of :func:`documents` in parts, which no row holds together.
+
+    Joined by step and place they are the document, with a comma between those of step 1, the results.
     """
+    frames = _framed(findings, apps, guid, version, health, tool)
+    part = lambda step, c: frames.select("scope", F.lit(step).alias("step"), F.lit(0).cast("long").alias("place"), F.col(c).alias("part"))
+    found = _results(findings, places, guid, mask).select("scope", F.lit(1).alias("step"), F.col("ord").cast("long").alias("place"), F.col("result").alias("part"))
+    return part(0, "head").unionByName(found).unionByName(part(2, "tail"))
+
+
+_PLACES = "array<struct<place:bigint,file:string,line_start:bigint,line_end:bigint>>"
+
+
+def _results(findings: DataFrame, places: DataFrame, guid: str, mask: bool) -> DataFrame:
     spots = places.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("place", "file", "line_start", "line_end"))).alias("places"))
-    rows = findings.join(spots, "ord", "left").withColumn("places", F.coalesce("places", F.array().cast("array<struct<place:bigint,file:string,line_start:bigint,line_end:bigint>>")))
+    rows = findings.join(spots, "ord", "left").withColumn("places", F.coalesce("places", F.array().cast(_PLACES)))
     if mask:
         rows = trees.masked(rows, "ord", ["title", "cvss", "description", "file", "context_vector", "reason", "places"])
-    rows = _rows(rows, guid)
-    results = rows.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "result"))), lambda x: x["result"]).alias("results"))
+    return _rows(rows, guid).select("scope", "ord", "result")
+
+
+def _framed(findings: DataFrame, apps: DataFrame, guid: str, version: str, health: DataFrame | None, tool: str) -> DataFrame:
+    """(scope, head, tail): what stands before and after a document's results.  Nothing of it is masked, so findings are read as they are."""
+    rows = _rows(findings.withColumn("places", F.array().cast(_PLACES)), guid).select("scope", "ord", "rule", "cwe", "name")
     first = rows.where("rule != ''").groupBy("scope", "rule").agg(F.min("ord").alias("at"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("ord"))).alias("name"))
     rule = _object(id=_json(F.col("rule")), name=_json(F.col("rule")), shortDescription=F.when(F.col("name").isNotNull(), _text(F.col("name"))))
     rules = first.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", rule.alias("r")))), lambda x: x["r"]).alias("rules"))
@@ -125,7 +154,7 @@ def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str
     taxon = _object(id=_json(F.col("cwe")), helpUri=_json(F.format_string(WEAKNESS_PAGE, n)), name=F.when(F.col("name").isNotNull(), _json(F.col("name"))), shortDescription=F.when(F.col("name").isNotNull(), _text(F.col("name"))))
     order = F.struct(n.try_cast("long").alias("n"), F.col("cwe"), taxon.alias("t"))
     taxa = known.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["t"]).alias("taxa"))
-    met = results.join(rules, "scope", "left").join(taxa, "scope", "left").join(apps.select("scope", "id", "source", F.col("name").alias("app")), "scope", "left")
+    met = rows.select("scope").distinct().join(rules, "scope", "left").join(taxa, "scope", "left").join(apps.select("scope", "id", "source", F.col("name").alias("app")), "scope", "left")
     runs = health if health is None else _runs(health)
     met = met.withColumn("invocations", F.lit(None).cast("string")).withColumn("flag", F.lit(None).cast("string")) if runs is None else met.join(runs, "scope", "left")
     none = F.array().cast("array<string>")
@@ -133,5 +162,6 @@ def documents(findings: DataFrame, places: DataFrame, apps: DataFrame, guid: str
     driver = _object(name=_json(F.lit(tool)), version=_json(F.lit(version)), rules=_list(F.coalesce("rules", none)), supportedTaxonomies=_list(F.array(_object(guid=f'"{guid}"'))))
     about = F.col("source").isNotNull()
     props = _object(applicationId=_json(F.col("id")), cmdbSource=F.when(about, _json(F.col("source"))), applicationName=F.when(about, _json(F.col("app"))), scanDegraded=F.col("flag"), unrankedFallback=F.col("flag"))
-    run = _object(tool=_object(driver=driver), taxonomies=_list(F.array(taxonomy)), properties=props, results=_list(F.col("results")), invocations=F.col("invocations"))
-    return met.select("scope", _object(D_schema=_json(F.lit(SCHEMA)), version=_json(F.lit(VERSION)), runs=_list(F.array(run))).alias("sarif"))
+    run = _object(tool=_object(driver=driver), taxonomies=_list(F.array(taxonomy)), properties=props, results=f"[{_HERE}]", invocations=F.col("invocations"))
+    whole = met.select("scope", _object(D_schema=_json(F.lit(SCHEMA)), version=_json(F.lit(VERSION)), runs=_list(F.array(run))).alias("whole"))
+    return whole.select("scope", F.substring_index("whole", _HERE, 1).alias("head"), F.substring_index("whole", _HERE, -1).alias("tail"))

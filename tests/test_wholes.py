@@ -26,3 +26,20 @@ def test_no_row_of_a_report_holds_it_whole(spark):
     assert parts.agg(F.max(F.length("part"))).first()[0] < 2000
     whole = {r.scope: hashlib.sha256(r.text.encode()).hexdigest() for r in reports.unconfirmed(heads, f).collect()}
     assert {r.scope: r.digest for r in wholes.digests(parts, "scope", cut=True).collect()} == whole
+
+
+def test_no_row_of_a_sarif_document_holds_it_whole(spark):
+    from pyspark.sql import functions as F
+
+    from sievemill.operators import sarif
+
+    kinds = {"cvss_score": "double", "context_score": "double", "confidence": "double", "line": "long", "votes": "long"}
+    given = {"title": "]t[", "severity": "HIGH", "category": "k", "file": "a.c", "line": 3, "description": "d" * 100}
+    names = ["title", "severity", "category", "cwe", "cvss", "cvss_score", "description", "file", "line", "context_vector", "context_score", "context_rating", "priority", "reason", "confidence", "votes"]
+    f = spark.range(3000).select((F.col("id") % 2).alias("scope"), F.col("id").alias("ord"), *[F.lit(given.get(n)).cast(kinds.get(n, "string")).alias(n) for n in names])
+    places = spark.createDataFrame([], "ord long, place long, file string, line_start long, line_end long")
+    args = (f, places, spark.createDataFrame([(0, "A", "s", "n"), (1, "B", None, "n")], "scope long, id string, source string, name string"), "g", "1.2")
+    parts = sarif.document_parts(*args, mask=False)
+    assert parts.agg(F.max(F.length("part"))).first()[0] < 2000
+    whole = {r.scope: (len(r.sarif), hashlib.sha256(r.sarif.encode()).hexdigest()) for r in sarif.documents(*args, mask=False).collect()}
+    assert {r.scope: (r.size, r.digest) for r in wholes.digests(parts, "scope", {1: ","}).collect()} == whole
