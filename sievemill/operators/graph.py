@@ -30,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select(F.col("caller").alias("a"), F.col("callee").alias("b")).unionByName(edges.select(F.col("callee").alias("a"), F.col("caller").alias("b"))).distinct())
     labels = held = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        # files that are small may hold many labels: none of them goes through the driver, as it would to be broadcast
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(labels.join(near, F.col("node") == F.col("a")).join(jump, "label").select("node", F.least("label", "near", "further").alias("label"), F.col("label").alias("old")))
+        new = written(labels.join(near.hint("merge"), F.col("node") == F.col("a")).join(jump.hint("merge"), "label").select("node", F.least("label", "near", "further").alias("label"), F.col("label").alias("old")))
         if new.where("label != old").isEmpty():
             done_with(held, both)
             return new.select("node", F.col("label").alias("component"))

@@ -88,3 +88,18 @@ def test_rounds_write_once(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "caller long, callee long")
     assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_components_send_no_table_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from sievemill.operators import graph
+
+    plans, plain = [], graph.written
+    graph.written = lambda df: plans.append(df._jdf.queryExecution().toString()) or plain(df)
+    try:
+        got = {r.node: r.component for r in graph.components(spark.range(1, 40).select(F.col("id").alias("caller"), (F.col("id") - F.col("id") % 10).alias("callee")).where("callee > 0")).collect()}
+    finally:
+        graph.written = plain
+    assert got == {n: n - n % 10 for n in range(10, 40)}
+    assert not any("Broadcast" in p for p in plans)
