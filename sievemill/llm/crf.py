@@ -18,6 +18,8 @@ GRAMS = (2, 3, 4, 5)
 BLOCK = 64
 #: Words that a worker keeps scored; beyond it the store starts anew, which costs time and changes no result.
 STORE = 150_000
+#: UTF-8 bytes of text that a worker tags at a time.
+TAGGED = 1 << 18
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LEFT, _RIGHT = "\x02", "\x03"
 
@@ -189,10 +191,14 @@ class Model:
     start: np.ndarray
     lexicon: dict[str, int]
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        number, begin = features(words, self.lexicon)
-        sizes = np.diff(np.append(begin, len(number)))
-        return np.add.reduceat(self.weights[number].astype(np.float64), begin, axis=0) / np.sqrt(sizes)[:, None]
+    def emissions(self, words: list[str], slice_: int = 2048) -> np.ndarray:
+        """Scores of words, a slice at a time: features take some hundred times the room of a word."""
+        out = np.empty((len(words), self.weights.shape[1]))
+        for lo in range(0, len(words), slice_):
+            number, begin = features(words[lo : lo + slice_], self.lexicon)
+            sizes = np.diff(np.append(begin, len(number)))
+            out[lo : lo + slice_] = np.add.reduceat(self.weights[number].astype(np.float64), begin, axis=0) / np.sqrt(sizes)[:, None]
+        return out
 
 
 def in_context(table: np.ndarray, tokens: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:

@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out")
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), run, "doc_id long, held_out boolean, lang_pred string, score double", size=crf.TAGGED)
 
 
 def word_tags(texts: list[str | None], model: crf.Model) -> list[list[tuple[str, str]]]:
@@ -151,7 +151,7 @@ def filter_languages(docs: DataFrame, model: crf.Model | None, min_score: float
         keep = [lang != UNKNOWN and s >= min_score for lang, s in zip(langs, sure, strict=True)]
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_slices(docs, run, docs.schema)
+    return map_slices(docs, run, docs.schema, size=crf.TAGGED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

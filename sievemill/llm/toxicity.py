@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out")
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), run, "doc_id long, held_out boolean, score double, predicted int", size=crf.TAGGED)
 
 
 def spans(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -210,7 +210,7 @@ def spans(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], ["doc_id", "start", "stop", "span", "marginal"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, stop long, span string, marginal double")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, stop long, span string, marginal double", size=crf.TAGGED)
 
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -220,7 +220,7 @@ def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(judge.score(batch.column("text").to_pylist()) < threshold))
 
-    return map_slices(docs, run, docs.schema)
+    return map_slices(docs, run, docs.schema, size=crf.TAGGED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
