@@ -82,3 +82,11 @@ def test_redaction_at_edges(spark):
     once = mask([*cases, None])
     assert once == want
     assert mask(once) == want
+
+
+def test_excerpt_cuts_its_text_once(spark):
+    """However often the lines are named: cutting them again for each line of the excerpt took most of the time."""
+    df = spark.createDataFrame([("a\nb(", "b", 0)], "t string, n string, h int").select(markdown.excerpt(F.col("t"), F.col("n"), F.col("h"), 2).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert tuple(df.first()["x"]) == ("    1| a\n    2| b(", 1)
