@@ -152,3 +152,24 @@ def test_settings_files_are_thinned_out(spark):
     (best,) = top.collect()
     assert (best.scope, best.place, best["size"], best.representatives, best.dropped, best.sample, len(best["shape"])) == (1, 1, 6, ["svc0/perf/app4.yml", "svc1/prod/app3.yml"], 4, "svc1/prod/app3.yml", 12)
     assert configs.roles(done.select("scope", "ord", "path", "size", F.lit(None).cast("string").alias("text")).limit(0)).collect() == []
+
+
+def test_names_beyond_ascii_and_of_lines_that_fit_no_form(spark):
+    text = "def größe(a):\n  x = añadir (1)\nfn sub_(x) { kurz(1) }\nundefined(1)\nexport function* zwei(a) {\npublic int drei(int a)\nint vier(int a) {"
+    got = callgraph.function_lines(spark.createDataFrame([(1, "a", text), (1, "b", None)], FILES)).collect()
+    assert [(r["line"], r["name"], r["calls"]) for r in sorted(got, key=lambda r: r["line"])] == [
+        (1, "größe", ["größe"]), (2, None, ["añadir"]), (3, "sub_", ["sub_", "kurz"]), (4, None, ["undefined"]), (5, "zwei", ["zwei"]), (6, "drei", ["drei"]), (7, "vier", ["vier"]),
+    ]
+
+
+def test_names_take_one_pass(spark):
+    """Each form is searched once in a line: neither a filter on rows nor a condition repeats it."""
+    plan = callgraph.definitions(spark.createDataFrame([(1, "a", "def f(x):")], FILES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"def\s+(\w+)") == 2  # with and without Unicode classes
+
+
+def test_key_paths_of_many_texts_stand_in_their_rows(spark):
+    rows = [(i, None if i % 7 == 3 else f"a{i}: 1\nb:\n  c{i}: 2") for i in range(200)]
+    got = spark.createDataFrame(rows, "i long, text string").coalesce(1).select("i", keypaths.key_paths("text", F.lit(".yml")).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: None if t is None else [f"a{i}", "b", f"b.c{i}"] for i, t in rows}
+    assert keypaths._ROWS < 200
