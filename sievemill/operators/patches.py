@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sievemill.functions import commands, diffs
 
 
-def file_diffs(files: DataFrame, exact: bool = False) -> DataFrame:
-    """(scope, ord, path, diff): the files of ``files`` (scope, ord, path, before, after) that have changed.
+def file_diffs(files: DataFrame, exact: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, ord, path, diff, and what ``keep`` names): the files of ``files`` (scope, ord, path, before, after) that have changed.
 
     A path that leaves its repository, or names another host, takes no part; of repeated paths the first counts.  Paths
     lose ``.`` and ``..``.  Versions meet in their own row, so no text is held beyond it.
@@ -19,7 +19,7 @@ def file_diffs(files: DataFrame, exact: bool = False) -> DataFrame:
     rows = files.withColumn("path", F.substring(inside, len(root) + 2, 1 << 30)).where("path != ''")
     first = Window.partitionBy("scope", "path").orderBy("ord")
     once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return once.where(~F.coalesce("before", F.lit("")).eqNullSafe(F.coalesce("after", F.lit("")))).select("scope", "ord", "path", diffs.diff(F.col("before"), F.col("after"), F.col("path"), exact).alias("diff"))
+    return once.where(~F.coalesce("before", F.lit("")).eqNullSafe(F.coalesce("after", F.lit("")))).select("scope", "ord", "path", diffs.diff(F.col("before"), F.col("after"), F.col("path"), exact).alias("diff"), *keep)
 
 
 def patches(found: DataFrame) -> DataFrame:

@@ -41,9 +41,14 @@ def feed(spark: SparkSession, path: str, schema: str, field: str = "cves", requi
     return text.select(F.explode(items).alias("item")).select("item.*").where(F.col(required).isNotNull())
 
 
-def changed_paths(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
-    """key, path, place: paths that a unified diff changes, each at its first place, without the null device."""
-    lines = diffs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("place", "line"))
+def changed_paths(diffs: DataFrame, key: str, text: str = "diff", part: str | None = None) -> DataFrame:
+    """key, path, place: paths that a unified diff changes, each at its first place, without the null device.
+
+    A long diff may come in parts that end with a line, in the order of ``part``: ``place`` is then (part, line in it).
+    """
+    lines = diffs.select(key, *([part] if part else []), F.posexplode(F.split(text, "\r?\n")).alias("place", "line"))
+    if part:
+        lines = lines.withColumn("place", F.struct(part, "place"))
     old = F.regexp_extract("line", r"^(?:diff --git|---) (?:a/)?(\S+)", 1)
     new = F.coalesce(F.nullif(F.regexp_extract("line", r"^diff --git \S+ (?:b/)?(\S+)", 1), F.lit("")), F.regexp_extract("line", r"^\+\+\+ (?:b/)?(\S+)", 1))
     found = lines.where(F.col("line").rlike(r"^(diff --git|---|\+\+\+) ")).select(key, "place", F.explode(F.array(old, new)).alias("path"))

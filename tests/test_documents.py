@@ -118,3 +118,18 @@ def test_fix_sections(spark):
     )
     again = notes.fix_sections(spark.createDataFrame([(1, out[1])], "scope long, text string"), fixes).first().text
     assert again == out[1]
+
+
+def test_paths_of_a_patch_in_parts(spark):
+    one, two = "diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -1 +1 @@\n-a\n+b\n", "diff --git a/y.c b/y.c\n--- /dev/null\n+++ b/y.c\n@@ -0,0 +1 @@\n+b\n"
+    parts = spark.createDataFrame([(1, 5, two), (1, 3, one), (1, 9, one), (2, 1, None)], "scope long, ord long, diff string")
+    got = readers.changed_paths(parts, "scope", part="ord").orderBy("place").collect()
+    assert [(r["scope"], r["path"], tuple(r["place"])) for r in got] == [(1, "x.c", (3, 0)), (1, "y.c", (5, 0))]
+
+
+def test_no_row_holds_a_patch_and_versions_are_read_once(spark):
+    from sievemill.plans import documents
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan(documents.patch_paths(spark, "/root/testdata/sf0.001"))
+    assert plan(documents.diff_synth(spark, "/root/testdata/sf0.001")).count("Relation") == 1
