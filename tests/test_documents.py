@@ -133,3 +133,11 @@ def test_no_row_holds_a_patch_and_versions_are_read_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan(documents.patch_paths(spark, "/root/testdata/sf0.001"))
     assert plan(documents.diff_synth(spark, "/root/testdata/sf0.001")).count("Relation") == 1
+
+
+def test_reports_are_noted_once(spark):
+    """A step names its reports twice; without a table between, two steps made and scored them four times and twice."""
+    from sievemill.plans import documents
+
+    plan = documents.report_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and "/CR:" not in plan and "## Appendix" not in plan
