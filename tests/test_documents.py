@@ -141,3 +141,16 @@ def test_reports_are_noted_once(spark):
 
     plan = documents.report_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and "/CR:" not in plan and "## Appendix" not in plan
+
+
+def test_fixes_are_put_into_reports_in_parts(spark):
+    """The text of each report was put together twice, joined with its fixes twice and put together again."""
+    from sievemill.plans import documents
+
+    plan = documents.fix_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "## Appendix" not in plan and "collect_list" not in plan
+    reports = spark.createDataFrame([(1, "### 1. [HIGH] a\nb\n"), (2, "none"), (3, "")], "scope long, text string")
+    fixes = spark.createDataFrame([], "scope long, id long, title string, state string, reason string, summary string, files array<string>, rejected boolean")
+    parts = [(r.scope, r.place) for r in notes.fix_section_parts(reports, fixes).orderBy("scope", "step", "place").collect()]
+    assert parts == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    assert {r.scope: r.text for r in notes.fix_sections(reports, fixes).where("scope != 1").collect()} == {2: "none", 3: ""}

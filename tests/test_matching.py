@@ -135,3 +135,15 @@ def test_results_by_their_beginning(spark):
     args = spark.createDataFrame(reports, "scope long, id long, file string, line_start long, title string"), spark.createDataFrame(results, "scope long, ord long, file string, line long, text string")
     assert {r.id: (r.result, r.how) for r in matching.match_results(*args, "scope").collect()} == {1: (10, "title"), 2: (11, "place"), 3: (10, "title"), 4: (None, None), 5: (None, None), 6: (None, None)}
     assert {r.id: r.result for r in matching.match_results(*args, "scope", unique=True).collect()} == {1: None, 2: 11, 3: 10, 4: None, 5: None, 6: None}
+
+
+def test_texts_offer_only_stretches_that_may_be_asked_for(spark, monkeypatch):
+    """A long text offered each of its stretches of each asked length; few of them end as one that is asked for does."""
+    long = spark.createDataFrame([(1, "title <123456>")], "k long, long string")
+    asked = spark.createDataFrame([(1, "<7>"), (1, "<77>"), (1, "<123456>")], "k long, _gram string")
+    assert [r["_gram"] for r in matching._held(asked, long, "k").collect()] == ["<123456>"]
+    short = spark.createDataFrame([(1, "<123456>"), (1, "<7>"), (1, "title"), (2, "title"), (1, "")], "k long, short string")
+    for few, ends in ((64, 100), (0, 100), (0, 0)):
+        monkeypatch.setattr(matching, "_FEW", few)
+        monkeypatch.setattr(matching, "_ENDS", ends)
+        assert sorted(r.short for r in matching.containing(short, long, "k").collect()) == ["<123456>", "title"]
