@@ -98,17 +98,18 @@ def cohesive(files: DataFrame, modules: DataFrame, edges: DataFrame) -> DataFram
     ``modules`` (module, ord, path), ``edges`` (caller, callee) between paths; a component joins files without a module
     only and bears the stem of its first path; a folder group is the first two parts, ``.`` for bare names.
     """
+    # paths shuffle to small files, so they would be broadcast: none of them goes through the driver
     files = files.select("path").dropna().distinct()
-    placed = modules.groupBy("path").agg(F.min_by("module", "ord").alias("module"))
+    placed = modules.groupBy("path").agg(F.min_by("module", "ord").alias("module")).hint("merge")
     met = files.join(placed, "path", "left")
-    pending = met.where("module is null").select("path")
+    pending = met.where("module is null").select("path").hint("merge")
     both = edges.where("caller != callee").select("caller", "callee")
     touched = both.select(F.col("caller").alias("path")).unionByName(both.select(F.col("callee").alias("path"))).distinct().join(pending, "path", "left_semi")
-    inner = both.join(pending.withColumnRenamed("path", "caller"), "caller", "left_semi").join(pending.withColumnRenamed("path", "callee"), "callee", "left_semi")
-    linked = touched.join(graph.components(inner).withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+    inner = both.join(pending.withColumnRenamed("path", "caller").hint("merge"), "caller", "left_semi").join(pending.withColumnRenamed("path", "callee").hint("merge"), "callee", "left_semi")
+    linked = touched.join(graph.components(inner).withColumnRenamed("node", "path").hint("merge"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
     stem = F.regexp_replace(F.substring_index("component", "/", -1), r"(?<=.)\.[^.]*$", "")
     folder = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 2)).otherwise(".")
-    out = met.join(linked, "path", "left")
+    out = met.join(linked.hint("merge"), "path", "left")
     how = F.when(F.col("module").isNotNull(), "module").when(F.col("component").isNotNull(), "calls").otherwise("folder")
     return out.select("path", F.coalesce("module", F.concat(F.lit("cg:"), stem), folder).alias("group"), how.alias("how"))
 

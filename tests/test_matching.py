@@ -147,3 +147,19 @@ def test_texts_offer_only_stretches_that_may_be_asked_for(spark, monkeypatch):
         monkeypatch.setattr(matching, "_FEW", few)
         monkeypatch.setattr(matching, "_ENDS", ends)
         assert sorted(r.short for r in matching.containing(short, long, "k").collect()) == ["<123456>", "title"]
+
+
+def test_no_paths_of_cohesive_files_are_broadcast(spark):
+    """Tables of paths were broadcast, through the driver, as long as they shuffled to less than the broadcast threshold."""
+    import io
+    from contextlib import redirect_stdout
+
+    files = spark.range(40).select(F.concat(F.lit("a/b/f"), F.col("id").cast("string")).alias("path"))
+    modules = files.limit(5).select(F.lit("m").alias("module"), F.lit(1).cast("long").alias("ord"), "path")
+    edges = files.select(F.col("path").alias("caller"), F.concat(F.col("path"), F.lit("0")).alias("callee"))
+    out = clusters.cohesive(files, modules, edges)
+    assert out.count() == 40
+    said = io.StringIO()
+    with redirect_stdout(said):
+        out.explain()
+    assert "Broadcast" not in said.getvalue()
