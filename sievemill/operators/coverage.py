@@ -58,14 +58,19 @@ def hop_files(candidates: DataFrame, anchors: DataFrame, most: int) -> DataFrame
     """(path, file, place): the first ``most`` files of each path, those sharing the longest leading parts with an anchor first.
 
     ``candidates`` (path, ord, file), ``anchors`` (path, file).  Without more than ``most`` files, or with 0 for it, they
-    keep their order.  Prefixes of the few anchors are the key, so a file meets only anchors it shares parts with.
+    keep their order.  Files are dealt by path once and stay there; the leading parts of a path's few anchors come to
+    them, and a file shares as many parts as its own leading parts are among these.
     """
-    parts = F.split("file", "/")
-    leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("lead")))
-    once = candidates.groupBy("path", "file").agg(F.min("ord").alias("ord"))
-    ahead = anchors.where("file != ''").select("path", F.explode(leads).alias("x")).select("path", "x.lead").distinct()
-    near = once.select("path", "file", F.explode(leads).alias("x")).select("path", "file", "x.*").join(ahead, ["path", "lead"]).groupBy("path", "file").agg(F.max("depth").alias("depth"))
-    met = once.join(near, ["path", "file"], "left").withColumn("_n", F.count("*").over(Window.partitionBy("path")))
+
+    def leads(file: Column) -> Column:
+        parts = F.split(file, "/")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
+
+    once = candidates.select("path", "file", "ord").repartition("path").groupBy("path", "file").agg(F.min("ord").alias("ord"))
+    ahead = anchors.where("file != ''").groupBy("path").agg(F.collect_set("file").alias("_anchors"))
+    ahead = ahead.select("path", F.array_distinct(F.flatten(F.transform("_anchors", leads))).alias("_ahead")).hint("merge")
+    shared = F.when(F.col("_ahead").isNotNull(), F.size(F.filter(leads(F.col("file")), lambda x: F.array_contains("_ahead", x))))
+    met = once.withColumn("_n", F.count("*").over(Window.partitionBy("path"))).join(ahead, "path", "left").withColumn("depth", shared)
     few = F.lit(most <= 0) | (F.col("_n") <= most)
     order = Window.partitionBy("path").orderBy(F.when(few, F.col("ord")), F.when(~few, -F.coalesce("depth", F.lit(0))), "file")
     ranked = met.withColumn("place", F.row_number().over(order))

@@ -163,3 +163,20 @@ def test_no_paths_of_cohesive_files_are_broadcast(spark):
     with redirect_stdout(said):
         out.explain()
     assert "Broadcast" not in said.getvalue()
+
+
+def test_files_of_a_path_are_dealt_once(spark):
+    """Candidates were shuffled by path and file, by path and lead and by path again, each lead on a row of its own."""
+    import io
+    from contextlib import redirect_stdout
+
+    from sievemill.operators import coverage
+
+    files = spark.createDataFrame([(1, 1, "a/b/x"), (1, 2, "a/c/y"), (1, 3, "z"), (1, 0, "z"), (1, 4, "a/c"), (2, 9, "q"), (2, 5, "r"), (3, 1, "b"), (3, 2, "a"), (3, 0, None)], "path long, ord long, file string")
+    anchors = spark.createDataFrame([(1, "a/c/w"), (1, "a/c/w"), (1, "b/x"), (2, ""), (3, None)], "path long, file string")
+    out = coverage.hop_files(files, anchors, 2)
+    said = io.StringIO()
+    with redirect_stdout(said):
+        out.explain()
+    assert said.getvalue().count("Exchange") == 2 and "Generate" not in said.getvalue()
+    assert {(r.path, r.place): r.file for r in out.collect()} == {(1, 1): "a/c", (1, 2): "a/c/y", (2, 1): "r", (2, 2): "q", (3, 1): None, (3, 2): "a"}
