@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import cvss
@@ -60,18 +60,44 @@ def pattern(words: tuple[str, ...]) -> str:
     return "|".join(re.sub(r"([.\[\]-])", r"\\\1", w) for w in words)
 
 
+def _body(title: Column, category: Column, description: Column) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.when(x != "", x) for x in (title, category, description)]))
+
+
+def facts(body: Column, category: Column, vector: Column, external: Column) -> dict[str, Column]:
+    """What the tier depends on; each word is looked up in ``body``, so those who can hold that in a column, and the facts too."""
+    # one short expression a list: a hundred searches written out make a method that is too long to be compiled
+    says = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(body, w))
+    return {
+        "code": says(CODE_KNOWLEDGE) | F.coalesce(F.lower(category).contains("hardcoded"), F.lit(False)), "says_internal": says(INTERNAL), "says_high": says(HIGH_PRIVILEGE), "obtainable": says(OBTAINABLE), "no_login": says(NO_LOGIN),
+        "av": cvss.metric(vector, "AV"), "pr": cvss.metric(vector, "PR"), "ac": cvss.metric(vector, "AC"), "external": external,
+    }
+
+
+def tiered(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, priority, reason) of rows; ``columns`` name what :func:`tier` takes, in its order.  Texts are searched once."""
+    title, category, description, vector, external = (F.col(c) for c in columns)
+    known = facts(F.col("_body"), category, vector, external)
+    held = rows.withColumn("_body", _body(title, category, description)).select(key, *[c.alias(f"_{k}") for k, c in known.items()])
+    priority, reason = told({k: F.col(f"_{k}") for k in known})
+    return held.select(key, priority.alias("priority"), reason.alias("reason"))
+
+
 def tier(title: Column, category: Column, description: Column, vector: Column, external: Column) -> tuple[Column, Column]:
     """priority and reason.  ``external`` is null where no application is known; a metric that the vector lacks counts as AV:N, PR:L, AC:L."""
-    body = F.lower(F.concat_ws(" ", *[F.when(x != "", x) for x in (title, category, description)]))
-    says = lambda words: body.rlike(pattern(words))
-    metric = lambda name, lack: F.coalesce(F.when(cvss.metric(vector, name) != "", cvss.metric(vector, name)), F.lit(lack))
-    av, pr, ac = metric("AV", "N"), metric("PR", "L"), metric("AC", "L")
-    explicit = F.coalesce(cvss.metric(vector, "PR") != "", F.lit(False))
+    return told(facts(_body(title, category, description), category, vector, external))
+
+
+def told(known: dict[str, Column]) -> tuple[Column, Column]:
+    """priority and reason from :func:`facts`."""
+    metric = lambda name, lack: F.coalesce(F.when(known[name] != "", known[name]), F.lit(lack))
+    av, pr, ac = metric("av", "N"), metric("pr", "L"), metric("ac", "L")
+    explicit = F.coalesce(known["pr"] != "", F.lit(False))
+    external, code = known["external"], known["code"]
     outside, inside = F.coalesce(external, F.lit(False)), F.coalesce(~external, F.lit(False))
-    code = says(CODE_KNOWLEDGE) | F.coalesce(F.lower(category).contains("hardcoded"), F.lit(False))
-    internal = inside | av.isin("A", "L", "P") | says(INTERNAL)
-    high = (pr == "H") | says(HIGH_PRIVILEGE)
-    free = ~(explicit & pr.isin("L", "H")) & (says(NO_LOGIN) | ((pr == "N") & ~says(OBTAINABLE) & ~high))
+    internal = inside | av.isin("A", "L", "P") | known["says_internal"]
+    high = (pr == "H") | known["says_high"]
+    free = ~(explicit & pr.isin("L", "H")) & (known["no_login"] | ((pr == "N") & ~known["obtainable"] & ~high))
     unknown = external.isNull() & (av == "N") & ~internal & ~high
     shut = ~((av == "N") & ~internal & outside) | high
     priority = F.when(code, "P4").when(unknown | shut, "P3").when(free, "P1").otherwise("P2")

@@ -135,5 +135,4 @@ def priority_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("ord")
     vector = F.when(n % 9 == 0, "").when(n % 9 == 1, F.replace(F.col("vector"), F.lit("/PR:"), F.lit("/XX:"))).otherwise(F.col("vector"))
     rows = v.select("ord", vector.alias("vector"), pick(_TITLES, n).alias("title"), pick(_CATEGORIES, F.expr("ord div 3")).alias("category"), pick(_NOTES, F.expr("ord div 7")).alias("note"), F.when(n % 4 != 0, F.col("known")).alias("external"))
-    tier, reason = priority.tier(*[F.col(c) for c in ("title", "category", "note", "vector", "external")])
-    return rows.select("ord", tier.alias("priority"), reason.alias("reason"))
+    return priority.tiered(rows, "ord", ["title", "category", "note", "vector", "external"])

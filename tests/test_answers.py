@@ -93,3 +93,14 @@ def test_many_brackets_take_linear_time():
         assert answers.json_of(text[:200_000] + '\n"] {"a": [1]}') in ('{"a": [1]}', "[1]", None)
         assert time.perf_counter() - start < 60
     assert answers.json_of('{ { {"a": 1}') == '{"a": 1}' and answers.json_of('"{" [2]') == "[2]"
+
+
+def test_texts_are_searched_once_for_their_tier(spark):
+    """Each list of words was searched as one pattern wherever priority and reason name it, and the text was lower-cased there again."""
+    rows = [(1, "Unauthenticated upload", "", "", "CVSS:3.1/AV:N/PR:N", True), (2, "on the VPN", "auth", "", "", True), (3, "x", "Hardcoded-Secret", "", "", None), (4, "x", None, None, None, None), (5, "[AllowAnonymous] 127.0.0.1", "", "an admin user", "AV:N/PR:H/AC:H", False)]
+    df = spark.createDataFrame(rows, "k long, t string, c string, d string, v string, e boolean")
+    out = priority.tiered(df, "k", list("tcdve"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("loopback") == 1 and plan.count("lower(concat_ws") == 1
+    both = priority.tier(*[F.col(x) for x in "tcdve"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.select("k", *both).collect()))
