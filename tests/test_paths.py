@@ -103,3 +103,17 @@ def test_components_send_no_table_through_the_driver(spark):
         graph.written = plain
     assert got == {n: n - n % 10 for n in range(10, 40)}
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_first_paths_meet_only_what_leads_to_a_sink(spark, monkeypatch):
+    """A hub's callees that lead to no sink in the calls left are on no level."""
+    held = []
+    monkeypatch.setattr(paths, "written", lambda df: held.append(rounds.written(df)) or held[-1])
+    monkeypatch.setattr(paths, "done_with", lambda *tables: None)
+    edges = [("a", f"x{i}") for i in range(50)] + [("a", "b"), ("b", "c"), ("c", "d"), ("x0", "x1"), ("x2", "c"), ("x3", "y"), ("y", "c")]
+    given = spark.createDataFrame([(1, *e) for e in edges], EDGE)
+    starts, sinks = spark.createDataFrame([(1, "a"), (1, "y"), (1, "x9")], "scope long, start string"), spark.createDataFrame([(1, "d")], SINK)
+    got = sorted((r.start, r.place, r.sink, list(r.path)) for r in paths.first_paths(given, starts, sinks, 3).collect())
+    assert got == [("a", 1, "d", ["a", "b", "c", "d"]), ("y", 1, "d", ["y", "c", "d"])]
+    met = {(r.start, r.node) for df in held if {"start", "node"} <= set(df.columns) for r in df.select("start", "node").collect()}
+    assert met == {("a", n) for n in ("a", "b", "x2", "c", "d")} | {("y", n) for n in ("y", "c", "d")}
