@@ -57,7 +57,9 @@ def masked(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     kinds = {c: rows.schema[c].dataType for c in columns}
     found = rows.select(key, F.explode(F.array_distinct(F.concat(*[leaves(F.col(c), k) for c, k in kinds.items()]))).alias("_leaf")).where("_leaf != ''")
-    changed = redact.redact(found.select("_leaf").distinct(), "_leaf").where("redacted != _leaf").select("_leaf", "redacted")
+    # the condition looks at the count, too: one on the string alone would be tested on each row, before strings are made one
+    each = found.groupBy("_leaf").agg(F.count("*").alias("_n"))
+    changed = redact.redact(each, "_leaf").where(F.when(F.col("_n") > 0, F.col("redacted") != F.col("_leaf"))).select("_leaf", "redacted")
     tables = found.join(changed, "_leaf").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_leaf", "redacted"))).alias("_table"))
     met = rows.join(tables, key, "left")
     swap = lambda x: F.coalesce(F.try_element_at(F.col("_table"), x), x)
