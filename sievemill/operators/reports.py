@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,21 @@ def _unconfirmed_framed(reports: DataFrame, counts: DataFrame, tool: str) -> Dat
     return reports.join(counts, "scope", "left").select("scope", head.alias("head"), F.when(F.col("n").isNull(), "_None._\n").otherwise("").alias("tail"))
 
 
+def _told(c: Column) -> Column:
+    """Null for an empty text; ``nullif`` alone would work the text out twice."""
+    return markdown.once(c, lambda x: F.nullif(x, F.lit("")))
+
+
+def _field(name: str) -> Column:
+    """What a line of ``part`` says, null without one; parts without the line's mark are not searched, others once."""
+    rx, i = FIELDS[name]
+    mark = re.sub(r"\\(.)", r"\1", re.match(r"\(\?mdU\)\^(\\\*\\\*.+?:\\\*\\\*)", rx)[1])
+    said = _told(F.regexp_extract("part", rx, i))
+    if name == "verdict_reason":  # may be empty
+        said = F.when(F.col("part").rlike(rx), F.regexp_extract("part", rx, i))
+    return F.when(F.contains("part", F.lit(mark)), said)
+
+
 def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
@@ -183,13 +200,15 @@ def parsed(reports: DataFrame) -> DataFrame:
     0.  ``sections`` maps headings of the fourth level, in lower case, to their texts; what stands before the first is
     under the empty one, and of repeated ones the last counts.
     """
-    rows = reports.select("scope", F.posexplode(F.split(markdown.one_separator(F.col("text")), "(?=" + HEADER + ")")).alias("place", "part")).where(F.col("part").rlike(r"\A" + HEADER.replace("(?mdiU)^", "(?mdiU)")))
+    # a part begins with its heading, which is not looked for further on
+    heading = HEADER.replace("^", r"\A", 1)
+    rows = reports.select("scope", F.posexplode(F.split(markdown.one_separator(F.col("text")), "(?=" + HEADER + ")")).alias("place", "part")).where(F.col("part").rlike(heading))
     get = lambda rx, i: F.regexp_extract("part", rx, i)
-    ref = F.nullif(_stripped(get(r"(?mdU)^[^\S\n]*\*\*File:\*\*\s*`([^`]+)`", 1)), F.lit(""))
+    ref = _told(_stripped(get(r"(?mdU)^[^\S\n]*\*\*File:\*\*\s*`([^`]+)`", 1)))
     place = lambda i: F.nullif(F.regexp_extract("ref", r"(?s)^(.*?):(\d+)(?:-(\d+))?$", i), F.lit(""))
-    rows = rows.select("scope", "place", get(HEADER, 1).cast("int").alias("index"), F.upper(get(HEADER, 2)).alias("severity"), _stripped(get(HEADER, 3)).alias("title"), (get(HEADER, 4) != "").alias("done"), ref.alias("ref"), "part")
+    rows = rows.select("scope", "place", get(heading, 1).cast("int").alias("index"), F.upper(get(heading, 2)).alias("severity"), _stripped(get(heading, 3)).alias("title"), (get(heading, 4) != "").alias("done"), ref.alias("ref"), "part")
     first = place(2).cast("int")
-    fields = [F.when(F.col("part").rlike(rx), get(rx, i)).alias(name) for name, (rx, i) in FIELDS.items()]
+    fields = [_field(name).alias(name) for name in FIELDS]
     pieces = F.transform(F.split("part", r"(?mdU)^####[^\S\n]+(?=\S)"), lambda x, i: F.struct(F.when(i == 0, "").otherwise(F.lower(_stripped(F.substring_index(x, "\n", 1)))).alias("k"), _stripped(F.when(i == 0, x).when(F.contains(x, F.lit("\n")), F.regexp_replace(x, r"\A[^\n]*\n", "")).otherwise("")).alias("v")))
     rows = rows.select("*", F.coalesce(F.trim(place(1)), "ref").alias("file"), F.coalesce(first, F.lit(0)).alias("line_start"), F.coalesce(place(3).cast("int"), first, F.lit(0)).alias("line_end"), *fields, pieces.alias("pieces"), _stripped(F.col("part")).alias("body"))
     known = F.array_distinct(F.col("pieces.k"))
