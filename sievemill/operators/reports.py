@@ -174,7 +174,7 @@ def _unconfirmed_framed(reports: DataFrame, counts: DataFrame, tool: str) -> Dat
 
 
 def _told(c: Column) -> Column:
-    """Null for an empty text; ``nullif`` alone would work the text out twice."""
+    """Null for an empty text; within a condition ``nullif`` alone would work the text out twice."""
     return markdown.once(c, lambda x: F.nullif(x, F.lit("")))
 
 
