@@ -67,3 +67,12 @@ def test_fields_are_searched_once(spark):
     assert got == [("FALSE", "3", "", None, None, None), (None, None, None, "0.5", "1", None), (None,) * 6]
     plan = out.select("scope", "confidence")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\*\*Confidence:\*\*") == 1
+
+
+def test_parts_are_read_as_their_whole(spark):
+    lines = ["# T", "x", "### 1. [LOW] a", "**File:** `f.c:1`", "#### Impact", "bad", "### 2. [HIGH] b", "#### Impact", "", "worse", "### 3. [LOW] c", "end"]
+    want = reports.parsed(spark.createDataFrame([(1, "\n".join(lines))], "scope long, text string")).drop("place").orderBy("index").collect()
+    for size in (1, 3, 5):
+        parts = spark.createDataFrame([(1, i, "\n".join(lines[i : i + size]) + "\n") for i in range(0, len(lines), size)], "scope long, place long, part string")
+        for near in (2, 100):
+            assert reports.parsed_parts(parts, near).drop("place").orderBy("index").collect() == want
