@@ -173,3 +173,20 @@ def test_key_paths_of_many_texts_stand_in_their_rows(spark):
     got = spark.createDataFrame(rows, "i long, text string").coalesce(1).select("i", keypaths.key_paths("text", F.lit(".yml")).alias("p")).collect()
     assert {r["i"]: r["p"] for r in got} == {i: None if t is None else [f"a{i}", "b", f"b.c{i}"] for i, t in rows}
     assert keypaths._ROWS < 200
+
+
+def test_frontier_looks_for_every_name(spark):
+    """More names than the six hundred that a round once went on with: none is left out, and each bears its round."""
+    text = "".join(f"def top{i}(x):\n  mid{i}(1)\ndef mid{i}(x):\n  low{i}(2)\n" for i in range(700))
+    df = spark.createDataFrame([(1, "a/x", text)], FILES)
+    got = callgraph.frontier(df, spark.createDataFrame([(1, f"mid{i}") for i in range(700)], "scope long, name string"), 2).collect()
+    assert sorted((r.caller, r.callee, r["round"]) for r in got) == sorted((f"a/x::top{i}", f"a/x::mid{i}", 1) for i in range(700))
+
+
+def test_texts_are_read_in_one_pass(spark):
+    """Names that a bracket follows on the next line are known but not called, as one line after the other tells it."""
+    text = "def run(a):\n  if (go(1)) {\n  later\n (2)\nrun(3)\ndef go(x):\n  go(1); été(2); ab(3)"
+    (r, none) = sorted(callgraph.texts_read(spark.createDataFrame([(1, "a", text), (1, "b", None)], FILES)).collect(), key=lambda r: r["path"])
+    assert (r.defined, sorted(r.known)) == (["run", "go"], ["go", "later", "run"])
+    assert list(zip(r.within, r.name, r.own, strict=True)) == [("run", "go", True), ("go", "été", False), ("go", "ab", False)]
+    assert none.defined == none.known == none.name == []
