@@ -180,3 +180,10 @@ def test_files_of_a_path_are_dealt_once(spark):
         out.explain()
     assert said.getvalue().count("Exchange") == 2 and "Generate" not in said.getvalue()
     assert {(r.path, r.place): r.file for r in out.collect()} == {(1, 1): "a/c", (1, 2): "a/c/y", (2, 1): "r", (2, 2): "q", (3, 1): None, (3, 2): "a"}
+
+
+def test_callers_of_a_folder_share_their_nearest_files(spark):
+    calls = spark.createDataFrame([(1, "f", "a/b/x"), (1, "f", "a/b/y"), (1, "f", "top"), (2, "f", "a/b/x"), (1, "f", None)], "scope long, name string, caller_file string")
+    defs = spark.createDataFrame([(1, "f", f) for f in ("a/b/y", "a/c/1", "a/c/2", "a/c/3", "z", "a/b/k/1")] + [(1, "g", "a/b/x"), (2, "f", "q/w")], "scope long, name string, file string")
+    got = sorted((r.scope, r.caller_file, r.place, r.file) for r in matching.resolve_calls(calls, defs, 2, ["scope", "name"]).collect())
+    assert got == [(1, "a/b/x", 1, "a/b/k/1"), (1, "a/b/x", 2, "a/b/y"), (1, "a/b/y", 1, "a/b/y"), (1, "top", 1, "a/b/k/1"), (1, "top", 2, "a/b/y"), (2, "a/b/x", 1, "q/w")]
